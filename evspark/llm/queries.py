@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evspark.llm import bpe, exact_dedup
+from evspark.llm import bpe, exact_dedup, langid, quality_qda, quality_rules
 from evspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +23,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = "crc32(cast(doc_id AS string)) % 4 = 2"
+    model = langid.train(langid.sample(docs, f"NOT ({held_out})"))
+    return langid.label(docs.withColumn("held_out", F.expr(f"coalesce({held_out}, true)")), model, extra=("held_out",), spans=False)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_qda.score_quality(table(spark, sf_dir, "documents"), labels, "crc32(cast(doc_id AS string)) % 5 = 0")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op5_quality_rules, op6_language_id, op7_quality_classifier, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
