@@ -117,10 +117,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS at, w FROM w),
-win AS (SELECT doc_id, at, w[at:at + 4] AS win FROM x),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS k, w FROM w),
+win AS (SELECT doc_id, k, w[k:k + 4] AS win FROM x),
 often AS (SELECT doc_id, win FROM win GROUP BY ALL HAVING count(*) > 1),
-covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(at, at + 5)) AS place FROM win SEMI JOIN often USING (doc_id, win)) GROUP BY 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS place FROM win SEMI JOIN often USING (doc_id, win)) GROUP BY 1),
 b AS (SELECT w.doc_id, t, lines, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
