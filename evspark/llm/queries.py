@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import bpe, exact_dedup, langid, quality_qda, quality_rules
+from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, quality_qda, quality_rules
 from evspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.score_quality(table(spark, sf_dir, "documents"), labels, "crc32(cast(doc_id AS string)) % 5 = 0")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return arrow_sequences.write_and_read(spark, docs, tokenizer("word_bpe_49k.json"), 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op5_quality_rules, op6_language_id, op7_quality_classifier, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
