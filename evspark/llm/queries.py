@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, ngram_join, quality_qda, quality_rules
+from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, line_dedup, ngram_join, quality_qda, quality_rules
 from evspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -53,8 +57,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
