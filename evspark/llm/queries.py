@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, line_dedup, ngram_join, quality_qda, quality_rules
-from evspark.llm.common import table
+from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, warc_fixity
+from evspark.llm.common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -52,13 +56,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.write_and_read(spark, docs, tokenizer("word_bpe_49k.json"), 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC files in two replicas; the second is given damage in about 1.6 % of its records, which the audit is to find."""
+    primary, replica = new_folder(spark, "warc"), new_folder(spark, "warc-replica")
+    index = warc_fixity.write(table(spark, sf_dir, "pages"), primary, int(spark.conf.get("spark.sql.shuffle.partitions")), "2024-01-01T00:00:00Z")
+    warc_fixity.copy_replica(index, primary, replica, "substring(md5(cast(page_id AS string)), 1, 2) < '04'")
+    return warc_fixity.audit(index, primary, replica).select("page_id", "record_length", "record_sha256", "intact")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op9_warc_fixity": warc_fixity.SQL, "op10_exact_dedup": exact_dedup.SQL}
