@@ -284,14 +284,18 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), "ids").mapInPandas(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_tokens, ids_sha256, decoded_sha256. Ids and bytes are hashed where they are made and not sent on."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. A null text counts as empty. Else ids are hashed where they are made and not sent on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            ids = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x, _ in own.encode([t or "" for t in batch["text"]])]
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "n_tokens": [x[0] for x in ids], "ids_sha256": [x[1] for x in ids], "decoded_sha256": [x[2] for x in ids]})
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest(), x) for x, _ in own.encode([t or "" for t in part["text"]])]
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                out.insert(0, "id", part["id"].to_numpy())
+                yield out if keep_ids else out.drop(columns="ids")
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * keep_ids}").withColumnRenamed("id", id_col)

@@ -204,3 +204,15 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield out.assign(spans=[[{"first_word": a, "n_words": b, "lang": c} for a, b, c in x[2]] for x in got]) if spans else out
 
     return kept.mapInPandas(run, f"{fields}, lang_pred string, score double{span}").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose language is not `und`, with all their columns; a null language is filled in by the predicted one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.array([x[0] for x in identify(model, [t or "" for t in batch[text_col]])], object)
+            lang = batch[lang_col].where(batch[lang_col].notna(), found)
+            yield batch.assign(**{lang_col: lang})[found != UNDETERMINED]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -256,3 +256,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     by_class = lookup(placed, in_group, "root", "classes", total).select("digest", "copies", "component_id")
     alone = sig.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return lookup(full.select("id", "n", "digest"), by_class, "digest", "copies", total).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the document of the least id of each component, with all columns. Rows without an id stay."""
+    groups = written(near_duplicates(docs, width, percent, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")), "near-duplicates")
+    gone = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

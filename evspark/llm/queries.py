@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, warc_fixity
-from evspark.llm.common import new_folder, table
+from evspark.llm.common import new_folder, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -68,8 +63,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
