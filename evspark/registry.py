@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evspark.suite import ingest, retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = {k: v for m in (ingest, retrieval) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return queries()["r2_bm25_search"](spark, sf_dir)
