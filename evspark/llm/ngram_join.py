@@ -132,23 +132,42 @@ def _words(bits: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
 
 
+def _tile_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs under each shingle of `rows`, which stand by shingle and size: each row meets the one that is 1, 2, ... places on, all rows at once."""
+    shingle, n = rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    bits, digest = _words(rows["bits"]), rows["digest"].to_numpy()
+    at, a, b, step = np.arange(len(rows)), [], [], 1
+    while len(at := at[at + step < len(rows)]):
+        # places on, the shingle ends or the sets get too large, and both stay so
+        at = at[(shingle[at] == shingle[at + step]) & (100 * n[at] >= percent * n[at + step])]
+        hit = at[may_link(n[at], bits[at], n[at + step], bits[at + step], percent)]
+        a.append(hit)
+        b.append(hit + step)
+        step += 1
+    x, y = (digest[np.concatenate(k)] if k else digest[:0] for k in (a, b))
+    swap = np.array([p > q for p, q in zip(x, y, strict=True)], bool)
+    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}).drop_duplicates()
+
+
 def narrow_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of digests that share a shingle of TILE classes at most and pass the bounds. `members`: shingle, digest, n, bits."""
+    """Pairs (a, b) of digests that share a shingle of TILE classes at most and pass the bounds. `members`: shingle, digest, n, bits.
 
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "digest"], kind="stable")
-        n, bits, digest = rows["n"].to_numpy(np.int64), _words(rows["bits"]), rows["digest"].to_numpy()
-        a, b = [], []
-        top = np.searchsorted(n, 100 * n // percent, side="right")  # sets that are not too large for it
-        for i in range(len(n) - 1):
-            if top[i] > i + 1:
-                hit = np.flatnonzero(may_link(n[i + 1 : top[i]], bits[i + 1 : top[i]], n[i], bits[i], percent)) + i + 1
-                a += [digest[i]] * len(hit)
-                b += list(digest[hit])
-        pairs = [(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return members.groupBy("shingle").applyInPandas(tile, "a binary, b binary").distinct()
+    The classes of a shingle come one after the other to a task, which tests whole batches of shingles at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole = int(np.searchsorted(rows["shingle"].to_numpy(np.int64), rows["shingle"].iat[-1])) if len(rows) else 0
+            held = rows.iloc[whole:]  # of the last shingle more may come; it has TILE classes at most
+            if whole:
+                yield _tile_pairs(rows.iloc[:whole], percent)
+        if held is not None and len(held):
+            yield _tile_pairs(held, percent)
+
+    dealt = members.repartition("shingle").sortWithinPartitions("shingle", "n", "digest")
+    return dealt.mapInPandas(run, "a binary, b binary").distinct()
 
 
 def wide_links(members: DataFrame, percent: int) -> DataFrame:
