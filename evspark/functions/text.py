@@ -82,7 +82,10 @@ def trimmed(text: Column | str) -> Column:
 
 
 def _pairs(run: Column) -> Column:
-    return F.when(F.length(run) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
+    """Neighbouring characters, in one pass over the characters."""
+    chars = F.split(run, "")
+    n = F.greatest(F.length(run) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
 
 
 def tokenize(text: Column | str) -> Column:

@@ -1,0 +1,227 @@
+"""Citations in answers: parsing, checking, attributing, and the refusals that follow."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from evspark.config import DEFAULT, Config
+from evspark.functions import text as fx
+
+GROUP = r"[\[［]\s*(\d+(?:\s*[-–,，、]\s*\d+)*)\s*[\]］]"
+#: Lines that need no citation, and sentences that disclaim.
+NO_CITE = [
+    r"^[#*\->\s]*$",
+    r"^(安全提示|提示|注意|说明|小结|结论)[:：]?$",
+    r"^\s*建议",
+    r"^[\s\-*\d.、]*依据\s*[:：]",
+    r"^[\s\-*\d.、]*\[\d+(?:\s*[,，]\s*\d+)*\]",
+    r"^\*{1,2}[^*\n]{1,40}\*{1,2}\s*[：:]?\s*$",
+]
+DISCLAIMER = "知识库未覆盖|未检索到|无法确认|未找到|不确定|请人工确认|建议转人工|以上内容摘自|以设备实际型号与版本为准|现场作业请"
+STRUCTURAL = [r"^\s*\|.*\|\s*$", r"^\s*```", r"^\s*[-*_]{3,}\s*$", r"^\s*#{1,6}\s"]
+ATTRIBUTION = r"《[^》]*》|第\s*\d+\s*页|章节\s*\d|§\s*\d"
+ATTRIBUTION_PARTS = [GROUP, r"《[^》]*》", r"V?\d+(?:\.\d+)*", "第|页|章节|版本|示例数据|目录|unknown"]
+ATTRIBUTION_REST = r"[\s\-*、.,，。:：;；()（）\[\]「」『』\"'*#|]+"
+#: Shapes of device models, and of numbers with a unit.
+MODEL = r"[A-Za-z]{1,6}[-\s]?\d{2,4}"
+UNITS = "h|s|min|Pa|kPa|MPa|sccm|slm|L|mL|mm|cm|kg|W|kW|MHz|ppm|r/min|rpm|片|次|天|小时|分钟|秒"
+NUMBER = rf"(?<![-\w])\d+(?:\.\d+)?\s*(?:{UNITS})"
+REFUSAL_HEADER = r"(?m)^\s*知识库未覆盖该问题[，,][^\n]*?步骤[。.：:]?\s*$"
+#: Weights of sources by category or type.
+AUTHORITY = {"标准": 1.0, "设备维护": 0.9, "工艺": 0.85, "ticket": 0.6, "image": 0.5}
+OTHER_AUTHORITY = 0.8
+
+
+def parse_citation_ids(text: Column | str) -> Column:
+    """Numbers cited, in order and once each; a range of 51 at most counts as its numbers."""
+    parts = F.flatten(F.transform(fx.found(text, GROUP, 1), lambda g: F.split(g, "[,，、]")))
+    bounds = lambda p: F.transform(F.split(p, "[-–]"), lambda x: F.trim(x).try_cast("long"))
+
+    def numbers(p: Column) -> Column:
+        b = bounds(p)
+        lo, hi = F.get(b, F.lit(0)), F.get(b, F.lit(1))
+        fine = (F.size(b) == 2) & (lo <= hi) & (hi - lo <= 50)
+        return F.when(F.size(b) == 1, F.array(lo)).when(fine, F.sequence(lo, F.when(fine, hi).otherwise(lo))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(parts, numbers)), lambda x: x.isNotNull()))
+
+
+def is_bare_attribution(sentence: Column) -> Column:
+    """Whether a sentence only says where something stands: under 12 characters are left without the parts of a reference."""
+    rest = reduce(lambda t, p: F.regexp_replace(t, p, " "), ATTRIBUTION_PARTS, sentence)
+    return sentence.rlike(ATTRIBUTION) & (F.length(F.regexp_replace(rest, ATTRIBUTION_REST, "")) < 12)
+
+
+def is_structural(line: Column) -> Column:
+    return reduce(lambda a, p: a | line.rlike(p), STRUCTURAL, F.lit(False))
+
+
+def sentence_kind(sentence: Column) -> Column:
+    """'short', 'attribution', 'exempt', 'disclaimer' or 'claim'."""
+    exempt = reduce(lambda a, p: a | sentence.rlike(p), NO_CITE, F.lit(False))
+    return F.when(F.length(sentence) < 8, "short").when(is_bare_attribution(sentence), "attribution").when(exempt, "exempt").when(sentence.rlike(DISCLAIMER), "disclaimer").otherwise("claim")
+
+
+def classify_sentences(answers: DataFrame, id_col: str = "answer_id", text_col: str = "text") -> DataFrame:
+    """answer, line_no, indent, no, sentence, kind, ids: sentences of each line; a structural or empty line is one row of kind 'line'."""
+    lines = answers.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
+    whole = is_structural(F.col("line")) | (fx.trimmed("line") == "")
+    parts = F.when(whole, F.array("line")).otherwise(fx.split_sentences(fx.trimmed("line")))
+    each = lines.select(id_col, "line_no", F.regexp_extract("line", r"^\s*", 0).alias("indent"), whole.alias("whole"), F.posexplode(parts).alias("no", "sentence"))
+    kind = F.when(F.col("whole"), "line").otherwise(sentence_kind(F.col("sentence")))
+    return each.select(id_col, "line_no", F.when(F.col("whole"), "").otherwise(F.col("indent")).alias("indent"), "no", "sentence", kind.alias("kind"), parse_citation_ids("sentence").alias("ids"))
+
+
+def check_citations(answers: DataFrame, blocks: DataFrame, id_col: str = "answer_id", text_col: str = "text") -> DataFrame:
+    """answer, used, valid, fake, unused, total_claims, cited_claims, coverage (0 without claims). `blocks`: answer, n.
+
+    A sentence with a number is a claim unless it only says where something stands; numbers of blocks that aren't there don't cite.
+    """
+    known = blocks.groupBy(id_col).agg(F.sort_array(F.collect_set("n")).alias("known"))  # as many as a context has blocks
+    none = F.array().cast("array<bigint>")
+    rows = classify_sentences(answers, id_col, text_col).filter("kind != 'line'").join(known, id_col, "left").withColumn("known", F.coalesce(F.col("known").cast("array<bigint>"), none))
+    claim = (F.col("kind") == "claim") | ((F.size("ids") > 0) & (F.col("kind") != "attribution"))
+    cited = claim & (F.size(F.array_intersect("ids", "known")) > 0)
+    counted = rows.groupBy(id_col).agg(F.sum(claim.cast("long")).alias("total_claims"), F.sum(cited.cast("long")).alias("cited_claims"))
+    used = parse_citation_ids(F.coalesce(text_col, F.lit("")))
+    out = answers.select(id_col, used.alias("used")).join(known, id_col, "left").join(counted, id_col, "left")
+    known_ids = F.coalesce(F.col("known").cast("array<bigint>"), none)
+    total, ok = F.coalesce("total_claims", F.lit(0)), F.coalesce("cited_claims", F.lit(0))
+    return out.select(
+        id_col, "used", F.array_intersect("used", known_ids).alias("valid"), F.array_except("used", known_ids).alias("fake"), F.array_except(known_ids, "used").alias("unused"),
+        total.alias("total_claims"), ok.alias("cited_claims"), F.round(F.when(total > 0, ok / total).otherwise(0.0), 6).alias("coverage"),
+    )
+
+
+def best_support(sentences: DataFrame, blocks: DataFrame, threshold: float = DEFAULT.attribution, keys: tuple[str, ...] = ("answer_id", "line_no", "no")) -> DataFrame:
+    """keys, n, score: the block with the largest share of a sentence's character pairs, the first of equals; none under the threshold. `blocks`: answer, n, text."""
+    by = keys[0]
+    s = sentences.select(*keys, fx.char_bigrams("sentence").alias("pairs")).withColumn("size", F.size("pairs")).withColumn("pair", F.explode("pairs")).drop("pairs")
+    b = blocks.select(by, "n", F.explode(fx.char_bigrams("text")).alias("pair"))
+    shared = s.join(b, [by, "pair"]).groupBy(*keys, "n").agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "n")
+    return shared.withColumn("__r", F.row_number().over(w)).filter((F.col("__r") == 1) & (F.col("score") >= threshold)).select(*keys, "n", F.round("score", 6).alias("score"))
+
+
+def enforce_citations(answers: DataFrame, blocks: DataFrame, threshold: float = DEFAULT.attribution, id_col: str = "answer_id", text_col: str = "text") -> DataFrame:
+    """answer, text, attributed, kept, dropped: uncited claims get the number of the block that supports them, before their end mark, and those without support go. Cited sentences stay as they are, wrong numbers too."""
+    rows = classify_sentences(answers, id_col, text_col)
+    bare = (F.col("kind") == "claim") & (F.size("ids") == 0)
+    support = best_support(rows.filter(bare), blocks, threshold, (id_col, "line_no", "no"))
+    rows = rows.join(support.select(id_col, "line_no", "no", "n"), [id_col, "line_no", "no"], "left").withColumn("bare", bare)
+    end = F.regexp_extract("sentence", f"[{fx.SENTENCE_END}]*$", 0)
+    body = F.substring(F.col("sentence"), F.lit(1), F.length("sentence") - F.length(end))
+    text = F.when(~F.col("bare"), F.col("sentence")).when(F.col("n").isNotNull(), F.concat_ws("", body, F.lit(" ["), F.col("n").cast("string"), F.lit("]"), end))
+    rows = rows.withColumn("text", text)
+    line = rows.groupBy(id_col, "line_no").agg(
+        F.first("indent").alias("indent"), F.expr("listagg(text, '') WITHIN GROUP (ORDER BY no)").alias("line"),
+        F.sum((F.col("bare") & F.col("n").isNotNull()).cast("long")).alias("attributed"), F.sum(((F.col("kind") == "claim") & (F.size("ids") > 0)).cast("long")).alias("kept"), F.sum((F.col("bare") & F.col("n").isNull()).cast("long")).alias("dropped"),
+    )
+    joined = line.withColumn("line", F.when(F.col("line").isNotNull(), F.concat("indent", "line"))).groupBy(id_col).agg(
+        F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"), *[F.sum(c).alias(c) for c in ("attributed", "kept", "dropped")]
+    )
+    return joined.withColumn("text", fx.trimmed(F.coalesce("text", F.lit(""))))
+
+
+def anchors(question: Column) -> tuple[Column, Column, Column]:
+    """Device models, numbers with units, and content terms (of two characters or more) of a question."""
+    models = F.array_distinct(F.transform(fx.found(question, MODEL), F.trim))
+    scrubbed = F.aggregate(models, question, lambda t, m: F.replace(t, m, F.lit(" ")))
+    numbers = F.array_distinct(F.transform(fx.found(scrubbed, NUMBER), F.trim))
+    fragments = F.flatten(F.transform(models, lambda m: F.split(F.lower(m), r"[-\s]")))
+    terms = F.array_distinct(F.filter(fx.tokenize(question), lambda t: (F.length(t) >= 2) & ~F.array_contains(fragments, t)))
+    return models, numbers, terms
+
+
+def anchor_check(questions: DataFrame, blocks: DataFrame, vocabulary: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """query_id, missing_models, missing_numbers, term_coverage, missing_terms, corpus_missing, ok. `questions`: query_id, text; `blocks`: query_id, text; `vocabulary`: term (tokens of the whole corpus).
+
+    Models and numbers must stand in the blocks; half of the terms too; and not over two fifths of them may be absent from the corpus.
+    """
+    models, numbers, terms = anchors(F.col("text"))
+    hay = blocks.groupBy("query_id").agg(F.lower(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY n)")).alias("hay"))
+    q = questions.select("query_id", models.alias("models"), numbers.alias("numbers"), terms.alias("terms")).join(hay, "query_id", "left").withColumn("hay", F.coalesce("hay", F.lit("")))
+    absent = lambda c: F.filter(F.col(c), lambda x: ~F.col("hay").contains(F.lower(x)))
+    out = q.select("query_id", "terms", absent("models").alias("missing_models"), absent("numbers").alias("missing_numbers"), absent("terms").alias("missing_terms"))
+    if vocabulary is not None:
+        gone = q.select("query_id", F.explode("terms").alias("term")).join(vocabulary.select("term").distinct(), "term", "left_anti").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("corpus_missing"))
+        out = out.join(gone, "query_id", "left")
+    else:
+        out = out.withColumn("corpus_missing", F.lit(None).cast("array<string>"))
+    n = F.size("terms")
+    coverage = F.when(n == 0, 1.0).otherwise(1 - F.size("missing_terms") / n)
+    lost = F.coalesce("corpus_missing", F.array().cast("array<string>"))
+    ok = (F.size("missing_models") == 0) & (F.size("missing_numbers") == 0) & (coverage >= cfg.anchor_coverage) & ((n == 0) | (F.size(lost) / F.greatest(n, F.lit(1)) <= cfg.anchor_corpus_missing))
+    return out.select("query_id", "missing_models", "missing_numbers", F.round(coverage, 4).alias("term_coverage"), "missing_terms", lost.alias("corpus_missing"), ok.alias("ok"))
+
+
+def authority(blocks: DataFrame, by: str = "query_id", weights: dict[str, float] = AUTHORITY) -> DataFrame:
+    """query, authority: the largest weight of a block's category, else of its source type, else 0.8."""
+    w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    return blocks.groupBy(by).agg(F.max(F.coalesce(w[F.col("category")], w[F.col("source_type")], F.lit(OTHER_AUTHORITY))).alias("authority"))
+
+
+def confidence(top: Column, coverage: Column, weight: Column) -> Column:
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+    return F.round(0.40 * held(top) + 0.35 * held(coverage) + 0.25 * held(weight), 4)
+
+
+def confidence_label(score: Column, cfg: Config = DEFAULT) -> Column:
+    return F.when(score >= cfg.confidence_high, "high").when(score >= cfg.confidence_medium, "medium").otherwise("low")
+
+
+def refusal(rows: DataFrame, cfg: Config = DEFAULT, followup_hint: str = "name the part or parameter that the question is about") -> DataFrame:
+    """Adds reasons, status (OK, NOT_COVERED), and holds the confidence of a refused answer to 0.59.
+
+    `rows`: text, n_blocks, used, fake, total_claims, coverage, top, confidence, anchors_ok, followup, missing_models.
+    """
+    required = F.when(F.col("confidence") < cfg.confidence_high, 0.8).otherwise(1.0)
+    why = [
+        (F.col("n_blocks") == 0, "no evidence"),
+        (F.coalesce(fx.trimmed("text"), F.lit("")) == "", "no answer"),
+        ((F.col("n_blocks") > 0) & (F.size("used") == 0), "nothing cited"),
+        (F.size("fake") > 0, "cites what is not there"),
+        (F.col("top") < cfg.sufficiency, "weak evidence"),
+        (~F.col("anchors_ok"), "anchors missing"),
+        ((F.col("n_blocks") > 0) & (F.col("total_claims") > 0) & (F.col("coverage") < required), "coverage too low"),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in why]))
+    hint = F.col("followup") & (F.size(reasons) > 0) & (F.size("missing_models") == 0)
+    out = rows.withColumn("reasons", F.when(hint, F.array_append(reasons, F.lit(followup_hint))).otherwise(reasons))
+    refused = F.size("reasons") > 0
+    return out.withColumn("status", F.when(refused, "NOT_COVERED").otherwise("OK")).withColumn("confidence", F.when(refused, F.least("confidence", F.lit(0.59))).otherwise(F.col("confidence")))
+
+
+def extractive_answer(blocks: DataFrame, questions: DataFrame, n: int = 6, training: bool = False) -> DataFrame:
+    """query_id, text: the sentences of the blocks that have most of the question's characters, one a line with its number, and the list of sources. `blocks`: query_id, n, header, text."""
+    marked = F.regexp_replace("text", f"([{fx.SENTENCE_END}\n])", "$1\u001f")
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^[-*•·]+\s*", ""), r"^\d+[.、)]\s*", "")
+    cut = F.filter(F.transform(F.split(marked, "\u001f"), tidy), lambda x: F.length(x) >= 8)
+    rows = blocks.select("query_id", "n", "header", F.posexplode(cut).alias("at", "sentence")).join(questions.select("query_id", F.array_distinct(F.filter(F.split("text", ""), lambda c: ~c.rlike(r"^\s*$"))).alias("chars")), "query_id")
+    share = F.when(F.size("chars") == 0, 0.0).otherwise(F.size(F.array_intersect("chars", F.split("sentence", ""))) / F.size("chars"))
+    scored = rows.withColumn("score", F.round(share - 0.01 * F.col("n") - 0.005 * F.col("at"), 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "n", "at")
+    best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
+    line = F.concat_ws("", F.lit("- "), F.regexp_replace("sentence", f"[{fx.SENTENCE_END}，,]+$", ""), F.lit(" ["), F.col("n").cast("string"), F.lit("]。"))
+    agg = best.withColumn("line", line).groupBy("query_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY r)").alias("body"), F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("- "), "header"))), "\n").alias("sources"))
+    head, tail = (F.lit("**基础理解**\n"), F.lit("\n\n**操作要点**\n以上内容摘自知识库原文，现场作业请以设备实际型号与版本为准。")) if training else (F.lit(""), F.lit(""))
+    return agg.select("query_id", F.concat(head, "body", tail, F.lit("\n\n依据：\n"), "sources").alias("text"))
+
+
+def strip_refusal_header(text: Column | str) -> Column:
+    """Without one leading line that refuses what the rest answers; if nothing is left, empty."""
+    t = F.col(text) if isinstance(text, str) else text
+    at = F.regexp_instr(t, F.lit(REFUSAL_HEADER))
+    line = F.regexp_extract(t, REFUSAL_HEADER, 0)
+    rest = F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + F.length(line), F.length(t)))
+    return F.when(at > 0, fx.trimmed(rest)).otherwise(t)
+
+
+def notices(status: Column, text: Column, operation_words: list[str], images: Column, recognised: Column, safety: str, image: str) -> Column:
+    """The answer with the safety notice before an OK answer that speaks of an operation, and the image notice if images were given and not recognised; each once."""
+    need = (status == "OK") & text.rlike("|".join(operation_words)) & ~text.contains(safety)
+    out = F.when(need, F.concat(F.lit(safety + "\n"), text)).otherwise(text)
+    return F.when((images > 0) & ~F.coalesce(recognised, F.lit(False)) & ~text.contains(image), F.concat(F.lit(image + "\n"), out)).otherwise(out)
