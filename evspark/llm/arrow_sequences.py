@@ -24,6 +24,10 @@ from evspark.llm.common import new_folder
 LENGTH = 2048
 #: Rows of a record batch; tokens after which a file ends with the document.
 BATCH_ROWS, FILE_TOKENS = 512, 1 << 23
+#: Words that are encoded as one text.
+TOGETHER = 4096
+#: Marks that are a token of their own after a letter.
+END_MARKS = tuple(".,;:!?")
 #: Words that the cache of a Python worker holds before it begins anew.
 CACHE_WORDS = 600_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -51,14 +55,35 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def learn(self, words: set[str]) -> None:
+        """Words that differ in an end mark after a letter, or in the case of ASCII letters, are encoded once."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+        if len(self) + 2 * len(new) > CACHE_WORDS:
             self.clear()
             new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        bare = [w[:-1] if w[-1:] in END_MARKS and w[-2:-1].lower().isalpha() else w for w in new]
+        bare = [w.lower() if w.isascii() else w for w in bare]
+        first = [w for w in {*bare, *END_MARKS} if w not in self]
+        plain = [w for w in first if w.lower().isalpha()]  # one piece each, and a piece ends with a token that says so
+        for lo in range(0, len(plain), TOGETHER):
+            part = plain[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(ends) != len(part):
+                raise AssertionError("a word of letters is not one piece")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self[w] = raw[at:end]
+                at = end
+        rest = [w for w in first if w not in self]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u2").tobytes()
+        for w, b in zip(new, bare, strict=True):
+            self[w] = self[b] if len(w) == len(b) else self[b] + self[w[-1]]
 
 
 _words: dict[str, Words] = {}
@@ -73,7 +98,7 @@ def encode_texts(texts: list[str], path: str, most: int = 1 << 20) -> Iterator[n
     for i, t in enumerate(texts):
         size += len(t)
         if size > most or i + 1 == len(texts):
-            split = [x.split(" ") for x in texts[lo : i + 1]]
+            split = [x.replace("\n", " ").split(" ") for x in texts[lo : i + 1]]
             own.learn(set().union(*split))
             for words in split:
                 yield np.frombuffer(b"".join(map(own.__getitem__, words)), "<u2")
