@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.suite import answers, ingest, retrieval
+from evspark.suite import answers, business, ingest, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {k: v for m in (ingest, retrieval, answers) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (ingest, retrieval, answers, business) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Query]:

@@ -126,7 +126,8 @@ QUERIES = {
       SELECT answer_id, sum(attributed)::BIGINT AS attributed, sum(kept)::BIGINT AS kept, sum(dropped)::BIGINT AS dropped, md5(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_no), ''), '^\\s+|\\s+$', '', 'g')) AS md5 FROM l GROUP BY 1"""),
     "c8_anchor_check": (lambda s, sf: citations.anchor_check(documents(s, sf).filter("n_chars < 1200").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("text")), _blocks(s, sf).filter("n = 2").withColumnRenamed("answer_id", "query_id")).select("query_id", "term_coverage", F.size("missing_terms").alias("missing"), "ok"), f"""
       WITH {ANSWERS}, q AS (SELECT doc_id AS query_id, substr(text, 1, 120) AS text FROM documents WHERE n_chars < 1200),
-      t AS (SELECT query_id, text, list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2)) AS terms, regexp_extract_all(text, '[A-Za-z]{{1,6}}[-\\s]?\\d{{2,4}}') AS models FROM q),
+      m AS (SELECT query_id, text, regexp_extract_all(text, '[A-Za-z]{{1,6}}[-\\s]?\\d{{2,4}}') AS models FROM q),
+      t AS (SELECT query_id, text, models, list_filter(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2)), lambda x: NOT list_contains(flatten(list_transform(models, lambda z: string_split_regex(lower(z), '[-\\s]'))), x)) AS terms FROM m),
       h AS (SELECT t.*, lower(blk.text) AS hay FROM t JOIN blk ON answer_id = query_id AND n = 2), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone FROM h)
       SELECT query_id, round(CASE WHEN len(terms) = 0 THEN 1 ELSE 1 - len(gone) / len(terms) END, 4) AS term_coverage, len(gone) AS missing, (len(terms) = 0 OR 1 - len(gone) / len(terms) >= 0.5) AND len(models) = 0 AS ok FROM r"""),
     "c9_authority": (lambda s, sf: citations.authority(documents(s, sf).select((F.col("doc_id") % 30).alias("query_id"), F.col("lang").alias("category"), F.col("source").alias("source_type")), "query_id", {"en": 0.7, "de": 0.95, "src3": 0.99}), """
