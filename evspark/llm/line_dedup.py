@@ -9,6 +9,8 @@ functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,21 @@ FIELD = "<*>"
 #: Keys that are broadcast at most (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: A token with a digit. The guard and the possessive repeats keep it linear on long tokens.
+_TOKEN = r"[^\x20\x09-\x0D]"
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(line: Column) -> Column:
-    return F.regexp_replace(line, _FIELD, FIELD)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, FIELD)).otherwise(line)
+
+
+def leaf(line: Column) -> Column:
+    """The leaf of a masked line: its number of tokens and its leading tokens. Where single spaces alone part them, no expression is matched."""
+    odd = reduce(Column.__or__, [line.contains(x) for x in ("  ", "\t", "\x0b", "\x0c", "\r")], line.startswith(" ") | line.endswith(" "))
+    leading = F.regexp_extract(line, rf"^[\x20\x09-\x0D]*({WORD}(?:[\x20\x09-\x0D]+{WORD}){{0,{DEPTH - 1}}})", 1)
+    n = F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    first = F.when(odd, F.regexp_replace(leading, r"[\x20\x09-\x0D]+", " ")).otherwise(F.substring_index(line, " ", DEPTH))
+    return _key(F.concat_ws(" ", n.cast("string"), first))
 
 
 def tokens(line: Column) -> Column:
@@ -32,7 +44,8 @@ def tokens(line: Column) -> Column:
 
 
 def _key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+    """Never null, so that a join by it needs no test for null, which would be pushed down and make the expression anew."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(bytearray()))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -40,11 +53,14 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line (masked, of at least one token), its key and its leaf."""
+    """doc, line (masked) for each line with a token."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line"))
-    cut = lines.select("doc", masked(F.col("line")).alias("line")).withColumn("tokens", tokens(F.col("line"))).filter(F.size("tokens") > 0)
-    leaf = _key(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, DEPTH)))
-    return cut.select("doc", "line", "tokens", _key(F.col("line")).alias("key"), leaf.alias("leaf"))
+    return lines.filter(F.col("line").rlike(_TOKEN)).select("doc", masked(F.col("line")).alias("line"))
+
+
+def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, key (of the masked line), leaf: the one pass over all lines."""
+    return written(_with_text(docs, id_col, text_col).select("doc", _key(F.col("line")).alias("key"), leaf(F.col("line")).alias("leaf")), "line-keys")
 
 
 def _leaf_templates(distinct: DataFrame) -> DataFrame:
@@ -57,16 +73,16 @@ def _leaf_templates(distinct: DataFrame) -> DataFrame:
     return best.groupBy("leaf").agg(F.transform(ordered, lambda x: x["token"]).alias("constants"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (of a masked line), first_doc (the least document with its template), times: for lines whose template recurs."""
-    lines = _with_text(docs, id_col, text_col)
+def recurring_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (of a masked line), first_doc (the least document with its template), times: for lines whose template recurs. `lines`: those of line_keys."""
     by_key = lines.groupBy("leaf", "key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("times"))
     by_key = written(by_key, "lines")
     crowded = by_key.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
     crowded = written(crowded, "crowded-leaves")
     # only the lines of crowded leaves are read again with their text
-    text = lines.join(_few(crowded.select("leaf")), "leaf", "left_semi")
-    distinct = written(text.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("times")), "crowded-lines")
+    text = _with_text(docs, id_col, text_col).withColumn("leaf", leaf(F.col("line"))).join(_few(crowded.select("leaf")), "leaf", "left_semi")
+    distinct = text.groupBy("leaf", _key(F.col("line")).alias("key")).agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("times"))
+    distinct = written(distinct.select("leaf", "key", tokens(F.col("line")).alias("tokens"), "times"), "crowded-lines")
     leaves = crowded.join(_leaf_templates(distinct), "leaf")
     agreeing = F.size(F.filter(F.zip_with("tokens", "constants", lambda a, b: a == b), lambda x: x))
     near = lookup(distinct, written(leaves, "leaves"), "leaf", "lines", distinct.count()).filter(10 * agreeing >= AGREE * F.size("tokens"))
@@ -77,25 +93,24 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(with_template, found, "template", "keys", with_template.count()).select("key", "first_doc", "times")
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the recurring lines dropped from its text, and the columns n_lines (with a token) and n_dropped.
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """`docs` with the recurring lines dropped from its text and, if asked for, the columns n_lines (with a token) and n_dropped, in place of columns of that name.
 
     Lines are cut at line feeds; those without a token stay. A null text stays null, with no lines. Rows that repeat an id are one
     document; rows without an id are one that comes before all others. An id must be an integer. Other columns pass through.
     """
-    lines = written(_with_text(docs, id_col, text_col).select("doc", "key").distinct(), "document-lines")
-    gone = written(recurring_lines(docs, id_col, text_col), "recurring")
-    dropped = lookup(lines, gone, "key", "times", lines.count()).filter("doc > first_doc")
+    lines = line_keys(docs, id_col, text_col)
+    gone = written(recurring_lines(docs, lines, id_col, text_col), "recurring")
+    dropped = lookup(lines.select("doc", "key"), gone, "key", "times", lines.count()).filter("doc > first_doc")
     by_doc = written(dropped.groupBy("doc").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc", "__doc"), "dropped")  # as many as the document has lines
     every = F.split(F.coalesce(text_col, F.lit("")), "\n")
     out = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).join(by_doc, F.col("__id") == F.col("__doc"), "left")
     stays = F.filter(every, lambda x: ~F.coalesce(F.array_contains("__keys", _key(masked(x))), F.lit(False)))
     out = out.withColumn("__kept", F.when(F.col("__keys").isNotNull(), stays).otherwise(every))
-    has = lambda lines: F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(WORD)) > 0)).cast("long")
+    has = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(_TOKEN))).cast("long")
     text = F.when(F.col("__keys").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], has(every).alias("n_lines"), (F.size(every) - F.size("__kept")).cast("long").alias("n_dropped")
-    )
+    added = {"n_lines": has(every), "n_dropped": (F.size(every) - F.size("__kept")).cast("long")} if counts else {}
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
