@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ SLOTS, SWITCH = 1 << 15, 8.0
 #: Languages with less than this share of a script's letters are not tried on its words.
 SCRIPT_SHARE = 0.001
 UNDETERMINED = "und"
-#: Code points at a time; word scores (words times languages) at a time.
+#: Code points at a time; characters times languages at a time.
 WINDOW, SCORES = 1 << 19, 1 << 23
+#: Rows at a time where whole rows are passed on.
+PASSED = 512
 #: Where blocks of a script begin. Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and Lao, other, Georgian, Hangul, other, Latin, Greek, other, kana, Han, other, Hangul, other.
 SCRIPT_FROM = [0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0xF00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3400, 0xA000, 0xAC00, 0xD7B0]
 SCRIPT_IS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 8, 0, 1, 8, 11, 12, 8, 10, 8]
@@ -119,7 +123,7 @@ def identify(model: Model, texts: list[str]) -> Iterator[tuple[str, float, list[
     at, size, n = 0, 0, len(texts)
     for i in range(n):
         size += len(texts[i])
-        if i + 1 == n or size * len(model.langs) > 4 * SCORES:
+        if i + 1 == n or size * len(model.langs) > SCORES:
             yield from _identify(model, texts[at : i + 1])
             at, size = i + 1, 0
 
@@ -209,10 +213,14 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose language is not `und`, with all their columns; a null language is filled in by the predicted one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([x[0] for x in identify(model, [t or "" for t in batch[text_col]])], object)
-            lang = batch[lang_col].where(batch[lang_col].notna(), found)
-            yield batch.assign(**{lang_col: lang})[found != UNDETERMINED]
+            for lo in range(0, batch.num_rows, PASSED):  # the texts are passed on, so that fewer are held at a time
+                part = batch.slice(lo, PASSED)
+                found = pa.array([x[0] for x in identify(model, [t or "" for t in part.column(at).to_pylist()])], pa.string())
+                lang = pc.coalesce(part.column(lang_at), found.cast(part.schema.field(lang_at).type))
+                yield part.set_column(lang_at, part.schema.field(lang_at), lang).filter(pc.not_equal(found, UNDETERMINED))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

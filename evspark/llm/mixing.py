@@ -7,11 +7,13 @@ slots and blocks are joined by number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from evspark.llm.textscan import mix
 BLOCK, SHARD = 64, 4096
 #: The weights of sources by code point, repeating; a source is used so many times at most.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Rows whose texts are held at a time.
+PASSED = 512
 #: A source's documents are numbered in so many parts side by side.
 PARTS = 1024
 SEED = 20240607
@@ -77,10 +81,13 @@ class Mixture:
     slots: DataFrame
     pieces: DataFrame
 
+    def times(self) -> DataFrame:
+        """s, block, times. It grows with the corpus though it begins with a small range of shards, from which Spark takes its size: hence the hint."""
+        return self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
+
     def taken(self) -> DataFrame:
         """s, start, taken: words that the mix takes of each document that it takes any of."""
-        times = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-        return self.pieces.join(times, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        return self.pieces.join(self.times(), ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> Mixture:
@@ -149,7 +156,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = mixture(docs, id_col, text_col, source_col)
     facts = docs.sparkSession.createDataFrame(plan.sources[["s", "source_size", "target"]].astype({"s": "int32"}), "s int, source_size long, target double")
     # (s, start) names a document with words; one without has none taken
-    taken = plan.taken()
+    taken = plan.taken().hint("merge")
     full, empty = plan.documents.filter("size > 0"), plan.documents.filter("size = 0")
     rows = full.join(taken, ["s", "start"], "left").unionByName(empty.withColumn("taken", F.lit(0).cast("long")))
     return rows.join(F.broadcast(facts), "s").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -161,32 +168,36 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of which nothing is taken are not in the mix. Ids must not repeat; other columns pass through.
     """
     plan = mixture(docs, id_col, text_col, source_col)
-    times = plan.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-    cut = plan.pieces.join(times, ["s", "block"]).groupBy("s", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("__cut"))  # as many as the document has blocks
-    by_id = plan.documents.filter("size > 0").join(cut, ["s", "start"]).select(F.col("id").alias("__id"), "__cut")
-    rows = docs.join(by_id, F.col(id_col).eqNullSafe(F.col("__id")))
+    cut = plan.pieces.join(plan.times(), ["s", "block"]).groupBy("s", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("__cut"))  # as many as the document has blocks
+    by_id = plan.documents.filter("size > 0").join(cut.hint("merge"), ["s", "start"]).select(F.col("id").alias("__id"), "__cut")
+    rows = docs.join(by_id.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+    names = docs.columns
+    at = names.index(text_col)
 
-        gap = re.compile(WORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cuts in zip(batch[text_col], batch["__cut"], strict=True):
-                at = [m.span() for m in gap.finditer(text)]
-                lines = []
-                for k in range(MOST):
-                    runs: list[list[int]] = []
-                    for x in cuts:
-                        if x["times"] > k:
-                            lo, hi = x["from_word"], x["from_word"] + x["words"]
-                            if runs and runs[-1][1] == lo:
-                                runs[-1][1] = hi
-                            else:
-                                runs.append([lo, hi])
-                    if runs:
-                        lines.append(" ".join(text[at[lo][0] : at[hi - 1][1]] for lo, hi in runs))
-                out.append("\n".join(lines))
-            yield batch.drop(columns=["__cut", "__id"]).assign(**{text_col: out})
-
-    return rows.mapInPandas(run, docs.schema)
+            for lo in range(0, batch.num_rows, PASSED):
+                part = batch.slice(lo, PASSED)
+                texts = [_taken_text(t, cuts) for t, cuts in zip(part.column(at).to_pylist(), part.column("__cut").to_pylist(), strict=True)]
+                arrays = [pa.array(texts, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.select(*[docs[c] for c in docs.columns], "__cut").mapInArrow(run, docs.schema)
+
+
+def _taken_text(text: str, cuts: list[dict[str, int]]) -> str:
+    places = [m.span() for m in re.finditer(WORD, text)]
+    lines = []
+    for k in range(MOST):
+        runs: list[list[int]] = []
+        for x in cuts:
+            if x["times"] > k:
+                lo, hi = x["from_word"], x["from_word"] + x["words"]
+                if runs and runs[-1][1] == lo:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+        if runs:
+            lines.append(" ".join(text[places[lo][0] : places[hi - 1][1]] for lo, hi in runs))
+    return "\n".join(lines)

@@ -1,14 +1,16 @@
 """Jaccard join of word-shingle sets: all links at a threshold, and the groups that they make.
 
 Documents with the same set form a class, and classes are joined. Two sets that reach the threshold share a shingle among the first
-few of each in one global order, so that classes meet under those shingles only. Under one shingle they stand in tiles by size, and
-each has a bitmap of hashed shingles: a bit that only one of two sets has stands for a shingle that the other lacks, which bounds
-their overlap from above. Pairs that pass the bound are settled by intersecting the sorted arrays.
+few of each in one global order, so that classes meet under those shingles only. Under one shingle they stand by size, so that a set
+meets those of its size band, and each has a bitmap of hashed shingles: a bit that only one of two sets has stands for a shingle that
+the other lacks, which bounds their overlap from above. What passes the bound falls into groups of candidates; the whole sets go to
+the tiles of their group once, where they are compared by size and bitmap again and settled by intersecting the sorted arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ BITS = 1024
 LAST = 1 << 17
 #: Documents with a shingle, in a thousandth of those that a task sees together, for it to be put last.
 OFTEN = 4
-#: Classes under one shingle that are compared in one tile. More are dealt out to pairs of tiles that carry whole sets.
+#: Classes under one shingle of which pairs are made, at most; blocks of twice as many make the tiles of a group.
 TILE = 256
 #: Classes whose ids are broadcast to fetch their texts; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -170,37 +172,66 @@ def narrow_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, "a binary, b binary").distinct()
 
 
-def wide_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the classes of shingles that more than TILE classes share. `members`: shingle, size (its classes), digest, n, bits, hashes.
+def tiles(members: DataFrame, percent: int, total: int) -> DataFrame:
+    """id, digest, places: the tiles that each class of a group goes to. `members`: root (of the group), digest, id, n.
 
-    The classes of a shingle are dealt out to blocks by hash; each pair of blocks is a tile with a task's share of work. A tile gives
-    enough of its links to connect what they connect, and not all pairs.
+    Bands are so wide that linked sets are in the same or in neighbouring ones. A tile has two neighbouring bands of a group; one of
+    many classes is dealt out to blocks by hash, of which each pair is a tile, so that no task gets more than two blocks.
     """
-    blocks = F.ceil(F.col("size") / (4 * TILE)).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", own)
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
+    each = members.withColumn("band", band).withColumn("low", F.explode(F.array("band", F.col("band") - 1)))
+    each = each.select("id", "digest", "band", "low", F.concat_ws("/", F.hex("root"), F.col("low").cast("string")).alias("tile"))
+    sizes = each.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sized = lookup(written(each, "bands"), sizes, "tile", "size", total)
+    blocks = F.ceil(F.col("size") / (2 * TILE)).cast("int")
+    placed = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    place = F.struct("tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", (F.col("band") > F.col("low")).alias("upper"))
+    return placed.groupBy("id", "digest").agg(F.collect_list(place).alias("places"))  # twice the blocks of its tiles
+
+
+def tile_links(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of each tile. `docs`: id, text; `placed`: id (of a document of the class), digest, places.
+
+    The texts are read and cut again, and a whole set goes to each tile of its class. A tile gives enough of its links to connect what
+    they connect, and not all pairs.
+    """
+    n = placed.count()
+    wanted = (F.broadcast(placed) if n <= BROADCAST_ROWS else placed).withColumnRenamed("digest", "want")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                sets = shingle_sets(_texts(part), width)
+                own = [hashlib.md5(s.tobytes()).digest() for s in sets]
+                same = np.array([bytes(w) == d for w, d in zip(part["want"], own, strict=True)], bool)  # rows may repeat an id with another text
+                yield pd.DataFrame({"digest": own, "places": list(part["places"]), "hashes": [s.view(np.int64) for s in sets]})[same]
+
+    sets = docs.join(wanted, "id").select("text", "want", "places").mapInPandas(cut, f"digest binary, places {placed.schema['places'].dataType.simpleString()}, hashes array<bigint>")
+    spread = sets.select("digest", "hashes", F.explode("places").alias("p")).select("digest", "hashes", "p.*")
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "digest"], kind="stable")
-        n, bits, digest, block = rows["n"].to_numpy(np.int64), _words(rows["bits"]), rows["digest"].to_numpy(), rows["own"].to_numpy()
-        sets = [np.asarray(x, np.int64) for x in rows["hashes"]]
+        rows = rows.assign(n=rows["hashes"].map(len)).sort_values(["n", "digest"], kind="stable")
+        n, digest, block, upper = rows["n"].to_numpy(np.int64), rows["digest"].to_numpy(), rows["own"].to_numpy(), rows["upper"].to_numpy(bool)
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["hashes"]]
+        bits = np.stack([bitmap(s) for s in sets]).view(np.uint64)
         across = rows["lo"].iat[0] != rows["hi"].iat[0]
-        root = np.arange(len(n))
-        out = []
-        top = np.searchsorted(n, 100 * n // percent, side="right")
+        root, out = np.arange(len(n)), []
+        top = np.searchsorted(n, 100 * n // percent, side="right")  # sets that are not too large for it
         for i in range(len(n) - 1):
             at = np.arange(i + 1, top[i])
-            at = at[(root[at] != root[i]) & ((block[at] != block[i]) if across else True)]
+            # two sets of the upper band meet in the next tile
+            at = at[(root[at] != root[i]) & ((block[at] != block[i]) if across else True) & ~(upper[at] & upper[i])]
             if len(at):
                 for j in at[may_link(n[at], bits[at], n[i], bits[i], percent)]:
                     if root[j] != root[i] and linked(sets[i], sets[j], percent):
                         root[root == root[j]] = root[i]
-                        out.append((digest[i], digest[j]) if digest[i] < digest[j] else (digest[j], digest[i]))
+                        if digest[i] != digest[j]:
+                            out.append((digest[i], digest[j]) if digest[i] < digest[j] else (digest[j], digest[i]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.groupBy("shingle", "lo", "hi").applyInPandas(tile, "a binary, b binary").distinct()
+    return spread.groupBy("tile", "lo", "hi").applyInPandas(tile, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,20 +260,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """digest, hashes of the sets of the classes `wanted` (digest, id): their texts are read and cut again."""
-    n = wanted.count()
-    side = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = shingle_sets(_texts(batch), width)
-            yield pd.DataFrame({"digest": [hashlib.md5(s.tobytes()).digest() for s in sets], "hashes": [s.view(np.int64) for s in sets]})
-
-    rows = docs.join(side.select("id"), "id", "left_semi").mapInPandas(run, "digest binary, hashes array<long>")
-    return rows.groupBy("digest").agg(F.first("hashes").alias("hashes"))  # an id may be repeated
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the least id that links lead to, its own included).
 
@@ -262,13 +279,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     head = classes.select("digest", "n", "bits")
     narrow = members.filter(F.col("size") <= TILE).join(head, "digest").drop("size")
     pairs = written(narrow_pairs(narrow, percent), "pairs")
+    # a shingle of many classes makes no pairs: its classes are one group, in which the tiles go on
     wide = members.filter(F.col("size") > TILE)
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(wide.select("digest")).distinct()
-    sets = written(_fetch(rows, wanted.join(classes, "digest").select("digest", F.col("least").alias("id")), width), "sets")
-    settled = pairs.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("left")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("right")), "b")
-    both = F.size(F.array_intersect("left", "right"))
-    found = settled.filter(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
-    roots = components(found.unionByName(wide_links(wide.join(head, "digest").join(sets, "digest"), percent)))
+    least = wide.groupBy("shingle").agg(F.min("digest").alias("b"), F.first("size").alias("n"))
+    stars = lookup(wide.select("shingle", F.col("digest").alias("a")), least, "shingle", "n", total).select("a", "b")
+    near = written(components(pairs.unionByName(stars)), "candidate-groups")
+    sized = near.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    grouped = lookup(near, sized, "root", "size", total).select("root", "size", F.col("node").alias("digest")).unionByName(sized.select("root", "size", F.col("root").alias("digest")))
+    grouped = written(grouped, "grouped")
+    members = grouped.join(classes, "digest").select("root", "digest", F.col("least").alias("id"), "n")
+    roots = components(tile_links(rows, written(tiles(members, percent, total), "tiles"), width, percent))
     placed = classes.select("digest", "least", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest")).drop("node")
     placed = written(placed, "placed")
     in_group = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
