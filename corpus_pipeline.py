@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template an earlier document has go; the documents stay, with the lines that are left."""
-    return _measured(line_dedup.drop_recurring(docs).select(docs.columns), docs)
+    return _measured(line_dedup.drop_recurring(docs, counts=False), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
