@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GOLDEN = "id string, question string, category string, device_model string, answer_points array<string>, must_cite array<string>, negative boolean, expect string, note string, allow_external_sources boolean"
 TICKETS = "ticket_no string, device_model string, symptom string, root_cause string, action string, parts_used array<string>, conclusion string, date date, related_doc string"
@@ -13,7 +14,7 @@ GLOSSARY = "canonical string, kind string, ordinal int, synonyms array<string>"
 ROUNDS = "rounds array<struct<concurrency: int, n_ok: int, n_failed: int, error_rate: double, wall_s: double, total_p50_s: double, total_p95_s: double, verdict: string>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(raw: pd.Series) -> pd.Series:
     def one(b: bytes) -> str:
         for encoding in ("utf-8-sig", "gb18030"):
@@ -30,7 +31,7 @@ def scan_corpus(spark: SparkSession, path: str, decode: bool = True) -> DataFram
     """path, length, modificationTime and text of the .md, .markdown and .txt files below `path`, hidden ones left out: UTF-8, else GB18030, else what of it is UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.lower("path").rlike(r"\.(md|markdown|txt)$"))
     files = files.filter(~F.col("path").rlike(r"/\.[^/]+$"))
-    plain = F.decode("content", F.lit("utf-8"))
+    plain = F.decode("content", "utf-8")
     return files.select("path", "length", "modificationTime", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(plain, r"^\x{FEFF}", "")).otherwise(_decoded("content")).alias("text")) if decode else files
 
 
