@@ -42,3 +42,8 @@ def answer_batch(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame |
     )
     out = citations.refusal(rows, cfg)
     return out.select("query_id", F.when(F.col("status") == "OK", F.col("text")).otherwise("").alias("text"), "status", "confidence", citations.confidence_label(F.col("confidence"), cfg).alias("label"), "reasons", "coverage")
+
+
+def relaxed(queries: DataFrame, chunks: DataFrame, sufficient: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """query_id, chunk_id, score, rank: a second search for the questions that `sufficient` (query_id) lacks, without filters and for twice as many chunks."""
+    return lexical.bm25_search(queries.join(sufficient.select("query_id"), "query_id", "left_anti"), chunks, 2 * cfg.top_k, None, cfg)
