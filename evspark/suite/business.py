@@ -93,7 +93,8 @@ def _certificates(s, sf):
     return a.select(F.col("attempt_id").alias("id"), "trainee", F.when(F.col("attempt_id") % 11 == 0, "revoked").otherwise("valid").alias("status"), (F.col("issued_at") + F.expr("INTERVAL 365 DAYS")).alias("expires_at"))
 
 
-NOW = F.lit("1998-06-01 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("1998-06-01 00:00:00").cast("timestamp")
 
 
 QUERIES = {
@@ -128,9 +129,9 @@ QUERIES = {
     "q8_issue_certificates": (lambda s, sf: training.issue_certificates(_attempts(s, sf).select((F.col("attempt_id") * 2).alias("request_id"), (F.col("attempt_id") + F.when(F.col("attempt_id") % 13 == 0, 10000000).otherwise(0)).alias("attempt_id"), F.when(F.col("attempt_id") % 6 == 0, "x").otherwise(F.col("trainee")).alias("trainee"), "issued_at"), _attempts(s, sf), 365), """
       WITH r AS (SELECT o_orderkey, o_orderdate, o_totalprice::BIGINT AS x, CASE WHEN o_orderkey % 13 = 0 THEN 'no attempt' WHEN trunc(o_totalprice)::BIGINT % 101 < 60 THEN 'not passed' END AS reject FROM orders)
       SELECT o_orderkey * 2 AS request_id, o_orderkey + CASE WHEN o_orderkey % 13 = 0 THEN 10000000 ELSE 0 END AS attempt_id, CASE WHEN reject IS NULL THEN o_orderdate + INTERVAL 365 DAYS END AS expires_at, reject, reject IS NULL AND o_orderkey % 6 = 0 AS mismatch FROM r"""),
-    "q9_days_to_expiry": (lambda s, sf: _certificates(s, sf).select("id", training.days_to_expiry(F.col("expires_at"), NOW).alias("days")), """
+    "q9_days_to_expiry": (lambda s, sf: _certificates(s, sf).select("id", training.days_to_expiry(F.col("expires_at"), _now()).alias("days")), """
       WITH d AS (SELECT o_orderkey AS id, (epoch(o_orderdate + INTERVAL 365 DAYS) - epoch(TIMESTAMP '1998-06-01')) / 86400 AS days FROM orders WHERE trunc(o_totalprice)::BIGINT % 101 >= 60) SELECT id, (CASE WHEN days > 0 THEN ceil(days) ELSE floor(days) END)::BIGINT AS days FROM d"""),
-    "q10_expiring": (lambda s, sf: training.expiring(_certificates(s, sf), 60, NOW).select("id", "expires_at", "days"), """
+    "q10_expiring": (lambda s, sf: training.expiring(_certificates(s, sf), 60, _now()).select("id", "expires_at", "days"), """
       WITH c AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 365 DAYS AS expires_at FROM orders WHERE trunc(o_totalprice)::BIGINT % 101 >= 60 AND o_orderkey % 11 <> 0), d AS (SELECT *, (epoch(expires_at) - epoch(TIMESTAMP '1998-06-01')) / 86400 AS x FROM c)
       SELECT id, expires_at, (CASE WHEN x > 0 THEN ceil(x) ELSE floor(x) END)::BIGINT AS days FROM d WHERE expires_at BETWEEN TIMESTAMP '1998-06-01' - INTERVAL 30 DAYS AND TIMESTAMP '1998-06-01' + INTERVAL 60 DAYS ORDER BY expires_at, id LIMIT 500"""),
     "p1_cycle_sentences": (lambda s, sf: maintenance.cycle_sentences(_clauses(s, sf)), """SELECT p_partkey AS chunk_id, 0 AS no, p_name || '每 ' || p_size || CASE p_partkey % 3 WHEN 0 THEN ' 小时' WHEN 1 THEN ' 万片' ELSE ' 个月' END || '更换；滤芯累计 500 小时清洗' AS sentence FROM part"""),
