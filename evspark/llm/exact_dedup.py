@@ -7,6 +7,8 @@ are shuffled by their hash. DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,26 +20,30 @@ BITS_A_ROW, MAX_BITS = 16, 1 << 29
 _BUCKET = 32768  # bits of a bitmap of bitmap_construct_agg
 
 
-def _slots(digest: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(digest), F.lit(i)), F.lit(bits)) + 1 for i in (1, 2)]
+def _slots(digest: str, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(digest), F.lit(i)), F.lit(bits)) + 1 for i in range(1, hashes + 1)]
 
 
-def repeated_slots(rows: DataFrame, digest: str, bits: int) -> DataFrame:
+def repeated_slots(rows: DataFrame, digest: str, bits: int, hashes: int = 2) -> DataFrame:
     """Bitmaps (bucket, bitmap) of the slots that two or more hashes hit: bits / 32768 rows of 4 KB at most."""
-    hits = rows.select(F.explode(F.array(*_slots(digest, bits))).alias("slot")).groupBy("slot").count().filter("count > 1")
+    hits = rows.select(F.explode(F.array(*_slots(digest, bits, hashes))).alias("slot")).groupBy("slot").count().filter("count > 1")
     return hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
-def possibly_repeated(rows: DataFrame, digest: str, bits: int) -> DataFrame:
+def filter_bits(rows: int, bits_a_row: int) -> int:
+    return min(MAX_BITS, 1 << max(15, (bits_a_row * rows - 1).bit_length()))
+
+
+def possibly_repeated(rows: DataFrame, digest: str, bits: int, hashes: int = 2) -> DataFrame:
     """`rows` with a column `maybe`: false only if no other row has the same `digest`."""
-    bitmaps, out, columns = repeated_slots(rows, digest, bits), rows, rows.columns
-    for i, slot in enumerate(_slots(digest, bits)):
+    bitmaps, out, columns = repeated_slots(rows, digest, bits, hashes), rows, rows.columns
+    for i, slot in enumerate(_slots(digest, bits, hashes)):
         side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{i}"), F.col("bitmap").alias(f"bitmap{i}")))  # MAX_BITS / 8 bytes at most
         at = F.pmod(slot - 1, F.lit(_BUCKET))
         byte = F.conv(F.hex(F.substring(f"bitmap{i}", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.getbit(byte.cast("long"), F.pmod(at, F.lit(8)).cast("int")) == 1
         out = out.join(side, F.bitmap_bucket_number(slot) == F.col(f"bucket{i}"), "left").withColumn(f"hit{i}", F.coalesce(hit, F.lit(False)))
-    return out.select(*columns, (F.col("hit0") & F.col("hit1")).alias("maybe"))
+    return out.select(*columns, reduce(Column.__and__, [F.col(f"hit{i}") for i in range(hashes)]).alias("maybe"))
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_a_row: int = BITS_A_ROW) -> DataFrame:
@@ -49,8 +55,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(ascii_lower(F.coalesce(text_col, F.lit(""))).cast("binary"), 256)).alias("digest")), "digests")
     total = rows.count()
-    bits = min(MAX_BITS, 1 << max(15, (bits_a_row * total - 1).bit_length()))
-    tested = possibly_repeated(rows, "digest", bits)
+    tested = possibly_repeated(rows, "digest", filter_bits(total, bits_a_row))
     maybe = written(tested.filter("maybe").drop("maybe"), "maybe-repeated")
     groups = maybe.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"))
     alone = tested.filter("not maybe").select("digest", "id", F.lit(1).cast("long").alias("group_size"), F.col("id").alias("keep_id"))

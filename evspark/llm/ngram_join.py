@@ -19,16 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm.common import lookup, written
+from evspark.llm.exact_dedup import filter_bits, possibly_repeated
 from evspark.llm.textscan import TO_LOWER, groups, mix, windows, words_of
 
-#: Bits of a signature.
-BITS = 1024
+#: Bits of a signature: four for each shingle, as a power of two in these bounds.
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 #: Shingles that are put last in the order because many documents have them, at most (1 MB). Any order gives the same links.
 LAST = 1 << 17
 #: Documents with a shingle, in a thousandth of those that a task sees together, for it to be put last.
 OFTEN = 4
 #: Classes under one shingle of which pairs are made, at most; blocks of twice as many make the tiles of a group.
 TILE = 256
+#: Bits for each shingle of the filter that sorts out shingles of one class (up to 64 MB in all).
+BITS_A_SHINGLE = 8
 #: Classes whose ids are broadcast to fetch their texts; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -72,12 +75,21 @@ def prefix(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
     return s[:k]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(s >> np.uint64(7)).astype(np.int64) % BITS] = True
+def width_of(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[(s >> np.uint64(7)).astype(np.int64) % width] = True
     return np.packbits(bits)
 
 
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A signature at a smaller width: its parts laid over each other."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), axis=0)
+
+
 def may_link(n: np.ndarray, bits: np.ndarray, m: np.ndarray | int, other: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes n can link with one of size m, by their sizes and their signatures (rows of 64-bit words)."""
     n_only = np.bitwise_count(bits & ~other).sum(axis=1, dtype=np.int64)
@@ -123,41 +135,36 @@ def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> D
             sets = shingle_sets(_texts(batch), width)
             yield pd.DataFrame({
                 "id": batch["id"].to_numpy(), "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).digest() for s in sets],
-                "prefix": [prefix(s, late.value, percent).view(np.int64) for s in sets], "bits": [bitmap(s).tobytes() for s in sets],
+                "prefix": [prefix(s, late.value, percent).view(np.int64) for s in sets], "bits": [bitmap(s, width_of(len(s))).tobytes() for s in sets],
             })
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInPandas(run, f"id {kind}, n long, digest binary, prefix array<long>, bits binary")
 
 
-def _words(bits: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
-
-
 def _tile_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs under each shingle of `rows`, which stand by shingle and size: each row meets the one that is 1, 2, ... places on, all rows at once."""
-    shingle, n = rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    bits, digest = _words(rows["bits"]), rows["digest"].to_numpy()
+    shingle, n, digest = rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["digest"].to_numpy()
     at, a, b, step = np.arange(len(rows)), [], [], 1
     while len(at := at[at + step < len(rows)]):
         # places on, the shingle ends or the sets get too large, and both stay so
         at = at[(shingle[at] == shingle[at + step]) & (100 * n[at] >= percent * n[at + step])]
-        hit = at[may_link(n[at], bits[at], n[at + step], bits[at + step], percent)]
-        a.append(hit)
-        b.append(hit + step)
+        a.append(at)
+        b.append(at + step)
         step += 1
     x, y = (digest[np.concatenate(k)] if k else digest[:0] for k in (a, b))
     swap = np.array([p > q for p, q in zip(x, y, strict=True)], bool)
     return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}).drop_duplicates()
 
 
-def narrow_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of digests that share a shingle of TILE classes at most and pass the bounds. `members`: shingle, digest, n, bits.
+def narrow_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of digests that share a shingle of TILE classes at most and pass the bounds. `members`: shingle, digest, n; `classes`: digest, n, bits.
 
-    The classes of a shingle come one after the other to a task, which tests whole batches of shingles at a time.
+    The classes of a shingle come one after the other to a task, which pairs whole batches of shingles at a time by size; each pair
+    is then tested once by its signatures.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -168,8 +175,19 @@ def narrow_pairs(members: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held):
             yield _tile_pairs(held, percent)
 
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch["na"], batch["nb"], batch["xa"], batch["xb"], strict=True):
+                width = 8 * min(len(x), len(y))
+                keep.append(bool(may_link(n, folded(x, width)[None], m, folded(y, width)[None], percent)[0]))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
     dealt = members.repartition("shingle").sortWithinPartitions("shingle", "n", "digest")
-    return dealt.mapInPandas(run, "a binary, b binary").distinct()
+    pairs = dealt.mapInPandas(meet, "a binary, b binary").distinct()
+    for k in "ab":
+        pairs = pairs.join(classes.select(F.col("digest").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")), k)
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(passing, "a binary, b binary")
 
 
 def tiles(members: DataFrame, percent: int, total: int) -> DataFrame:
@@ -215,7 +233,7 @@ def tile_links(docs: DataFrame, placed: DataFrame, width: int, percent: int) ->
         rows = rows.assign(n=rows["hashes"].map(len)).sort_values(["n", "digest"], kind="stable")
         n, digest, block, upper = rows["n"].to_numpy(np.int64), rows["digest"].to_numpy(), rows["own"].to_numpy(), rows["upper"].to_numpy(bool)
         sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["hashes"]]
-        bits = np.stack([bitmap(s) for s in sets]).view(np.uint64)
+        bits = np.stack([bitmap(s, width_of(int(n[-1]))) for s in sets]).view(np.uint64)
         across = rows["lo"].iat[0] != rows["hi"].iat[0]
         root, out = np.arange(len(n)), []
         top = np.searchsorted(n, 100 * n // percent, side="right")  # sets that are not too large for it
@@ -274,11 +292,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     same = full.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = written(same, "classes")
     posted = classes.select(F.explode("prefix").alias("shingle"), "digest")
+    # most shingles have one class: a filter sorts out those before classes are dealt out by shingle
+    bits = filter_bits(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0, BITS_A_SHINGLE)
+    posted = written(possibly_repeated(posted, "shingle", bits, 1).filter("maybe").drop("maybe"), "posted")
     shared = written(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     members = written(lookup(posted, shared, "shingle", "size", total), "members")
-    head = classes.select("digest", "n", "bits")
-    narrow = members.filter(F.col("size") <= TILE).join(head, "digest").drop("size")
-    pairs = written(narrow_pairs(narrow, percent), "pairs")
+    narrow = members.filter(F.col("size") <= TILE).join(classes.select("digest", "n"), "digest").drop("size")
+    pairs = written(narrow_pairs(narrow, classes, percent), "pairs")
     # a shingle of many classes makes no pairs: its classes are one group, in which the tiles go on
     wide = members.filter(F.col("size") > TILE)
     least = wide.groupBy("shingle").agg(F.min("digest").alias("b"), F.first("size").alias("n"))
