@@ -108,13 +108,13 @@ def encode_texts(texts: list[str], path: str, most: int = 1 << 20) -> Iterator[n
 class Writer:
     """Files of one task, `part`-0, `part`-1, ... Each is written under another name and then renamed, so that a task can run twice."""
 
-    def __init__(self, folder: str, part: str, length: int):
-        self.folder, self.part, self.length, self.done = folder, part, length, 0
-        self.manifest: list[tuple[str, int, int, int]] = []
+    def __init__(self, folder: str, partition: int, length: int, file_tokens: int = FILE_TOKENS):
+        self.folder, self.partition, self.length, self.file_tokens, self.done = folder, partition, length, file_tokens, 0
+        self.manifest: list[tuple[str, int, int, int, int, int]] = []
         self._open()
 
     def _open(self) -> None:
-        self.name = f"{self.part}-{self.done}"
+        self.name = f"part-{self.partition:06d}-{self.done}"
         self.temp = f"{self.folder}/.{self.name}-{uuid.uuid4().hex}"
         self.file = pa.ipc.new_file(self.temp + ".ids", schema(self.length))
         self.index, self.left, self.waiting, self.tokens = [], [], 0, 0
@@ -134,7 +134,7 @@ class Writer:
         self.tokens += len(ids)
         while self.waiting >= self.length * BATCH_ROWS:
             self._rows(self.length * BATCH_ROWS)
-        if self.tokens >= FILE_TOKENS:
+        if self.tokens >= self.file_tokens:
             self.close()
             self.done += 1
             self._open()
@@ -148,13 +148,13 @@ class Writer:
                 out.write_table(pa.table([pa.array(c, pa.int64()) for c in zip(*self.index, strict=True)], schema=INDEX), max_chunksize=1 << 16)
             for kind in ("ids", "index"):
                 os.replace(f"{self.temp}.{kind}", f"{self.folder}/{self.name}.{kind}")
-            self.manifest.append((self.name, self.index[0][0], len(self.index), self.tokens))
+            self.manifest.append((self.name, self.index[0][0], len(self.index), self.tokens, self.partition, self.done))
         else:
             os.remove(self.temp + ".ids")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text, append `end_id`, and write the files; gives the manifest: file, first_id, n_docs, n_tokens, base (ids in all files before).
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Encode every text, append `end_id`, and write the files; gives the manifest: file, first_id, n_docs, n_tokens, partition, number (of the file in its partition), base (ids in all files before).
 
     A null or empty text has the end id alone. Rows must have an integer id: one without is refused, as it has no place in the order;
     rows that repeat an id stand in any order among themselves. An empty table gives no file. The texts are dealt out by ranges of
@@ -166,18 +166,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        out = Writer(path, f"part-{TaskContext.get().partitionId():06d}", length)
+        out = Writer(path, TaskContext.get().partitionId(), length, file_tokens)
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"], encode_texts([t or "" for t in batch["text"]], tokenizer), strict=True):
                 out.add(int(doc_id), np.append(ids, np.uint16(end_id)))
         out.close()
-        yield pd.DataFrame(out.manifest, columns=["file", "first_id", "n_docs", "n_tokens"])
+        yield pd.DataFrame(out.manifest, columns=["file", "first_id", "n_docs", "n_tokens", "partition", "number"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a row has no id")).cast("long")))
     dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInPandas(run, "file string, first_id long, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file; files are named in the order of their ids
+    dealt.mapInPandas(run, "file string, first_id long, n_docs long, n_tokens long, partition int, number int").write.parquet(f"{folder}/manifest")
+    before = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file; names sort -10 before -2
     return docs.sparkSession.read.parquet(f"{folder}/manifest").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 

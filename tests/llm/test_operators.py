@@ -232,6 +232,18 @@ def test_token_files(spark, odd, nothing):
     assert arrow_sequences.write_and_read(spark, nothing, path, 2, 3).count() == 0
 
 
+def test_token_files_beyond_ten_in_a_partition(spark):
+    path = tokenizer("word_bpe_49k.json")
+    docs = spark.createDataFrame(rows_of([(i, "one two three " * (i % 5 + 1)) for i in range(40)]), SCHEMA)
+    folder = new_folder(spark, "test-sequences")
+    manifest = arrow_sequences.write(docs, folder, path, 2, 1, length=4, file_tokens=8)
+    assert manifest.count() > 10
+    start = 0
+    for r in sorted(arrow_sequences.read_documents(manifest, folder).collect()):
+        assert r.start == start
+        start += r.n_tokens
+
+
 def test_warc_audit(spark, sf, nothing):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "é\r\n\r\nx")], "page_id long, url string, html string"))
     a, b = new_folder(spark, "test-warc"), new_folder(spark, "test-warc")
