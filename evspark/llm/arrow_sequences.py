@@ -8,6 +8,7 @@ Arrow streams with a footer, so that any batch, and in it any row, is read by it
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,11 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer, which composes and lower-cases first, sees letters alone: composition splits some letters (U+095C, U+FB2A) into a letter and a mark."""
+    return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower().isalpha()
+
+
 class Words(dict):
     """The packed ids of words between spaces. White space always ends a token of this vocabulary, so that a text's ids are those of its words."""
 
@@ -65,16 +71,16 @@ class Words(dict):
         if len(self) + 2 * len(new) > CACHE_WORDS:
             self.clear()
             new = list(words)
-        bare = [w[:-1] if w[-1:] in END_MARKS and w[-2:-1].lower().isalpha() else w for w in new]
+        bare = [w[:-1] if w[-1:] in END_MARKS and _letters(w[-2:-1]) else w for w in new]
         bare = [w.lower() if w.isascii() else w for w in bare]
         first = [w for w in {*bare, *END_MARKS} if w not in self]
-        plain = [w for w in first if w.lower().isalpha()]  # one piece each, and a piece ends with a token that says so
+        plain = [w for w in first if _letters(w)]  # one piece each, and a piece ends with a token that says so
         for lo in range(0, len(plain), TOGETHER):
             part = plain[lo : lo + TOGETHER]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(ends) != len(part):
-                raise AssertionError("a word of letters is not one piece")
+            if len(ends) != len(part):  # a letter that only one of the two Unicode versions knows: word by word, below
+                continue
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, ends.tolist(), strict=True):
                 self[w] = raw[at:end]
@@ -110,7 +116,7 @@ class Writer:
 
     def __init__(self, folder: str, partition: int, length: int, file_tokens: int = FILE_TOKENS):
         self.folder, self.partition, self.length, self.file_tokens, self.done = folder, partition, length, file_tokens, 0
-        self.manifest: list[tuple[str, int, int, int, int, int]] = []
+        self.manifest: list[tuple[str, int | None, int, int, int, int]] = []
         self._open()
 
     def _open(self) -> None:
@@ -127,7 +133,7 @@ class Writer:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat[:upto], mask)]
         self.file.write_batch(pa.record_batch(lists, schema=schema(self.length)))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.index.append((doc_id, self.tokens, len(ids)))
         self.left.append(ids)
         self.waiting += len(ids)
@@ -156,8 +162,8 @@ class Writer:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every text, append `end_id`, and write the files; gives the manifest: file, first_id, n_docs, n_tokens, partition, number (of the file in its partition), base (ids in all files before).
 
-    A null or empty text has the end id alone. Rows must have an integer id: one without is refused, as it has no place in the order;
-    rows that repeat an id stand in any order among themselves. An empty table gives no file. The texts are dealt out by ranges of
+    A null or empty text has the end id alone. Rows without an id come before all others, in the order of a hash of
+    their texts; rows that repeat an id stand in any order among themselves. An empty table gives no file. The texts are dealt out by ranges of
     their id; a task holds one batch of texts and one batch of rows.
     """
     path = local_path(folder)
@@ -168,14 +174,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
 
         out = Writer(path, TaskContext.get().partitionId(), length, file_tokens)
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"], encode_texts([t or "" for t in batch["text"]], tokenizer), strict=True):
-                out.add(int(doc_id), np.append(ids, np.uint16(end_id)))
+            for doc_id, lacks, ids in zip(batch["doc_id"], batch["lacks"], encode_texts([t or "" for t in batch["text"]], tokenizer), strict=True):
+                out.add(None if lacks else int(doc_id), np.append(ids, np.uint16(end_id)))
         out.close()
-        yield pd.DataFrame(out.manifest, columns=["file", "first_id", "n_docs", "n_tokens", "partition", "number"])
+        yield pd.DataFrame(out.manifest, columns=["file", "first_id", "n_docs", "n_tokens", "partition", "number"]).astype({"first_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a row has no id")).cast("long")))
-    dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    # a column of ids without nulls stays in integers; rows without an id are dealt out by their texts
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("lacks"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("among"))
+    order = [F.desc("lacks"), F.asc("doc_id"), F.asc("among")]
+    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop("among")
     dealt.mapInPandas(run, "file string, first_id long, n_docs long, n_tokens long, partition int, number int").write.parquet(f"{folder}/manifest")
     before = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file; names sort -10 before -2
     return docs.sparkSession.read.parquet(f"{folder}/manifest").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -214,7 +222,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch["file"], batch["base"], strict=True):
                 own = Reader(path, name)
-                index = own.index.to_pandas()
+                index = own.index.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
                 crc = [zlib.crc32(own.tokens(s, n).astype("<u4").tobytes()) for s, n in zip(index["start"], index["n_tokens"], strict=True)]
                 yield index.assign(start=index["start"] + base, ids_crc32=crc)
 

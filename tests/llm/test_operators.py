@@ -244,6 +244,27 @@ def test_token_files_beyond_ten_in_a_partition(spark):
         start += r.n_tokens
 
 
+def test_token_files_split_letters_and_rows_without_an_id(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["सड़क", "सड़. सड़क, a", "\ufb2a\u05d0 ok", "\ufb2a.", "Page सड़क सडक"]
+    texts += [f"{chr(c)} a{chr(c)} {chr(c)}b {chr(c)}. a{chr(c)}," for c in range(0x80, 0x30000) if chr(c).isalpha() and not 0x3400 <= c < 0xD7A4 and c < 0x20000]
+    assert [x.tolist() for x in arrow_sequences.encode_texts(texts, path)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    big = 2**53 + 1
+    docs = odd.unionByName(spark.createDataFrame(rows_of([(None, "सड़क"), (big, "सड़क")]), SCHEMA))
+    rows = arrow_sequences.write_and_read(spark, docs, path, 2, 3).collect()
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in rows) == sorted((str(r.doc_id), crc(r.text)) for r in docs.collect())
+    start = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids[:3] == [None] * 3 and ids[-1] == big
+
+
 def test_warc_audit(spark, sf, nothing):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "é\r\n\r\nx")], "page_id long, url string, html string"))
     a, b = new_folder(spark, "test-warc"), new_folder(spark, "test-warc")
