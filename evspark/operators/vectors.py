@@ -74,18 +74,24 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str =
     return top_k(hits, query_col, "score", id_col, k)
 
 
-def vector_search_ann(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bits: int = 6, tables: int = 16, seed: int = 7, id_col: str = "vec_id", query_col: str = "query_id", col: str = "embedding") -> DataFrame:
-    """query, id, score, rank: vectors that share a bucket of signs of random projections with the query in one of `tables`, scored exactly. Approximate by nature."""
+def vector_search_ann(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bits: int = 6, tables: int = 16, seed: int = 7, id_col: str = "vec_id", query_col: str = "query_id", col: str = "embedding", probes: int = 4) -> DataFrame:
+    """query, id, score, rank: vectors in the query's bucket of signs of random projections in one of `tables`, or in one of the `probes` beside it (one sign changed, those nearest to zero first), scored exactly. Approximate by nature."""
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
 
-    @F.pandas_udf("array<int>")
-    def buckets(v: pd.Series) -> pd.Series:
-        signs = (_unit(v) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32) + np.arange(tables, dtype=np.int32) * (1 << bits)))
+    def buckets(near: int):
+        @F.pandas_udf("array<int>")
+        def own(v: pd.Series) -> pd.Series:
+            at = (_unit(v) @ planes.T).reshape(len(v), tables, bits)
+            home = ((at > 0) * (1 << np.arange(bits))).sum(axis=2)[:, :, None]
+            beside = home ^ (1 << np.argsort(np.abs(at), axis=2, kind="stable")[:, :, :near])
+            found = np.concatenate([home, beside], axis=2) + np.arange(tables)[:, None] * (1 << bits)
+            return pd.Series(list(found.reshape(len(v), -1).astype(np.int32)))
+
+        return own(col)
 
     v = vectors.filter(F.col(col).isNotNull())
-    left = queries.select(query_col, F.explode(buckets(col)).alias("bucket"))
-    right = v.select(id_col, F.explode(buckets(col)).alias("bucket"))
+    left = queries.filter(F.col(col).isNotNull()).select(query_col, F.explode(buckets(probes)).alias("bucket"))
+    right = v.select(id_col, F.explode(buckets(0)).alias("bucket"))
     pairs = left.join(right, "bucket").select(query_col, id_col).distinct()
     scored = pairs.join(queries.select(query_col, fx.l2_normalize(col).alias("q")), query_col).join(v.select(id_col, fx.l2_normalize(col).alias("v")), id_col)
     return top_k(scored.select(query_col, id_col, F.round(fx.dot(F.col("q"), F.col("v")), 6).alias("score")), query_col, "score", id_col, k)

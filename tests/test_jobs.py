@@ -1,7 +1,9 @@
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from evspark import registry
 from evspark.operators import context, maintenance, parts, retrieve, training, vectors
 from evspark.sources import files
 from evspark.streaming import tables
@@ -28,6 +30,16 @@ def test_ann_recall(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_ann_recall_of_the_query(spark, sf, size):
+    big = sf.replace("0.001", size)
+    found = {(r.query_id, r.vec_id) for r in registry.queries()["r4_vector_search_ann"](spark, big).collect()}
+    v = spark.read.parquet(f"{big}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in vectors.vector_search(v.filter(F.col("vec_id").isin({q for q, _ in found})).withColumnRenamed("vec_id", "query_id"), v, 10).collect()}
+    others = {(q, i) for q, i in exact if q != i}
+    assert len(found & others) >= 0.9 * len(others) > 0
+
+
 def test_glossary_and_forms(spark):
     g = spark.createDataFrame([("密封圈", "term", 0, ["O型圈", "胶圈"])], "canonical string, kind string, ordinal int, synonyms array<string>")
     assert retrieve.glossary_lookup(spark.createDataFrame([("胶圈",)], "term string"), g).first().canonical == "密封圈"
