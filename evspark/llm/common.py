@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that end a word, `[\x20\x09-\x0D]`.
@@ -51,6 +52,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def null_safe(left: list[str], right: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+
+
+def ordinals(rows: DataFrame, repeated: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`rows` with `name`: the number, from 1, of a row among those that have equal `keys`, in any order. `repeated`: the keys that several rows have, each once; a table, empty as a rule."""
+    if repeated.isEmpty():
+        return rows.withColumn(name, F.lit(1))
+    again = [f"__again{i}" for i in range(len(keys))]
+    keyed, on = repeated.select(*keys).toDF(*again), null_safe(keys, again)
+    numbered = rows.join(keyed, on, "left_semi").withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return rows.join(keyed, on, "left_anti").withColumn(name, F.lit(1)).unionByName(numbered)
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of `rows` with `groups`, which has each key once and in `size` its number of rows.
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import ascii_lower, lookup, written
+from evspark.llm.common import ascii_lower, lookup, null_safe, ordinals, written
 
 #: Bits of the filter for each row. The filter stops growing at MAX_BITS (64 MB): with more rows than it is made for, more of them
 #: are shuffled than need be, and the result is the same.
@@ -66,9 +66,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    gone = duplicate_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of `docs` that stay, with all their columns: one of each group, of rows that repeat the largest id any one."""
+    groups = written(duplicate_groups(docs, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("__key"), F.col("text_sha256").alias("__sha"), "kept"), "groups")
+    gone = groups.filter("not kept").distinct().toDF("__gone", "__gone_sha", "kept")
+    again = written(groups.filter("kept").groupBy("__key", "__sha").count().filter("count > 1"), "kept-again")
+    rows = docs.withColumn("__key", F.col(id_col)).withColumn("__sha", F.sha2(ascii_lower(F.coalesce(text_col, F.lit(""))).cast("binary"), 256))
+    keys = ["__key", "__sha"]
+    return ordinals(rows.join(gone, null_safe(keys, ["__gone", "__gone_sha"]), "left_anti"), again, keys, "__nth").filter("__nth = 1").select(*docs.columns)
 
 
 SQL = """

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import WORD, written
+from evspark.llm.common import WORD, null_safe, ordinals, written
 from evspark.llm.textscan import mix
 
 #: Words of a block; slots of an output shard.
@@ -73,7 +73,7 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
 
 @dataclass
 class Mixture:
-    """documents: id, source, size, s (source number), start (of its words in the source). sources: source, source_size, s, weight, target, blocks, slots (one row a source, in pandas).
+    """documents: id, source, size, digest (of the text), s (source number), start (of its words in the source). sources: source, source_size, s, weight, target, blocks, slots (one row a source, in pandas).
     slots: shard, s, pass, block. pieces: s, block, start, from_word (in the document), words."""
 
     documents: DataFrame
@@ -90,11 +90,15 @@ class Mixture:
         return self.pieces.join(self.times(), ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_col)).alias("digest")
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> Mixture:
     """Plan the mix of `docs`. Sources with a null name are one source, the last. What comes to the driver is a row for each source."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _digest(text_col)), "sizes")
     # a row for each source; UTF-8 order is that of code points
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").isNull(), "source").toPandas()
     sources["s"] = np.arange(len(sources))
@@ -135,11 +139,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     names = spark.createDataFrame([(x, i) for i, x in enumerate(sources["source"])], "source string, s int")
     rows = sized.join(F.broadcast(names.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-    own = Window.partitionBy("s", "part").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("s", "part").orderBy("id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("s", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(F.broadcast(parts.select("s", "part", "base")), ["s", "part"])  # PARTS rows a source
-    documents = written(placed.select("id", "source", "size", "s", (F.col("base") + F.col("within")).alias("start")), "placed")
+    documents = written(placed.select("id", "source", "size", "digest", "s", (F.col("base") + F.col("within")).alias("start")), "placed")
     end = F.col("start") + F.col("size")
     cut = documents.filter("size > 0").select("s", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     lo, hi = F.greatest("start", F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
@@ -165,12 +169,18 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """`docs` with the text that the mix takes of each: its pieces in their order, neighbours together; a second and third pass over it on lines of their own.
 
-    Documents of which nothing is taken are not in the mix. Ids must not repeat; other columns pass through.
+    Documents of which nothing is taken are not in the mix. Rows that repeat an id, or lack one, are documents of their own: a row has
+    the cuts of its id, source and text, and of rows that are equal in these each has the cuts of one. Other columns pass through.
     """
     plan = mixture(docs, id_col, text_col, source_col)
     cut = plan.pieces.join(plan.times(), ["s", "block"]).groupBy("s", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("__cut"))  # as many as the document has blocks
-    by_id = plan.documents.filter("size > 0").join(cut.hint("merge"), ["s", "start"]).select(F.col("id").alias("__id"), "__cut")
-    rows = docs.join(by_id.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
+    keys, own = ["id", "source", "digest"], ["__id", "__source", "__digest"]
+    full = plan.documents.filter("size > 0")
+    again = written(full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toDF(*own, "n"), "equal-rows")
+    full = ordinals(full.withColumnsRenamed(dict(zip(keys, own, strict=True))), again, own, "__nth")
+    by_key = full.join(cut.hint("merge"), ["s", "start"]).select(*own, "__nth", "__cut").withColumnsRenamed({k: f"{k}_cut" for k in [*own, "__nth"]})
+    keyed = ordinals(docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), _digest(text_col).alias("__digest")), again, own, "__nth")
+    rows = keyed.join(by_key.hint("merge"), null_safe([*own, "__nth"], [f"{k}_cut" for k in [*own, "__nth"]]))
 
     names = docs.columns
     at = names.index(text_col)
@@ -183,7 +193,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 arrays = [pa.array(texts, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.select(*[docs[c] for c in docs.columns], "__cut").mapInArrow(run, docs.schema)
+    return rows.select(*docs.columns, "__cut").mapInArrow(run, docs.schema)
 
 
 def _taken_text(text: str, cuts: list[dict[str, int]]) -> str:

@@ -318,7 +318,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the document of the least id of each component, with all columns. Rows without an id stay."""
-    groups = written(near_duplicates(docs, width, percent, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")), "near-duplicates")
-    gone = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """`docs` with one document of each component, with all columns: that of the least id; one without an id only if all lack one, and of rows that repeat the id the one of the least text digest.
+
+    Rows are numbered, written, and compared by their numbers, so that repeated and missing ids are rows of their own.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = near_duplicates(rows, width, percent, "__row", text_col).select("__row", "component_id")
+    groups = written(groups, "near-duplicates")
+    linked = groups.filter(F.col("__row") != F.col("component_id"))  # a component has its least row besides these
+    members = linked.unionByName(linked.select(F.col("component_id").alias("__row"), "component_id").distinct())
+    place = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.md5(text_col).alias("digest"), F.col("__row").alias("row"))
+    ranked = written(rows.select("__row", place.alias("place")).join(members, "__row"), "members")
+    kept = ranked.groupBy("component_id").agg(F.min("place").alias("best")).select(F.col("best.row").alias("__kept"))
+    gone = written(ranked.select("__row").join(kept, F.col("__row") == F.col("__kept"), "left_anti"), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

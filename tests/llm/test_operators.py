@@ -265,6 +265,24 @@ def test_token_files_split_letters_and_rows_without_an_id(spark, odd):
     assert ids[:3] == [None] * 3 and ids[-1] == big
 
 
+def test_rows_that_share_an_id(spark, odd):
+    long, other = " ".join(f"u{i}" for i in range(300)), " ".join(f"o{i}" for i in range(70))
+    texts = [(1, long), (1, other), (1, other), (2, long), (None, long), (None, long), (None, BASE), (3, BASE), (1, "alone a b c d e f")]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = [(1, long), (1, other), (3, BASE), (1, "alone a b c d e f")]
+    assert of(ngram_join.drop_near_duplicates(docs)) == sorted(kept, key=str)
+    assert of(exact_dedup.exact_dedup(docs)) == sorted([(2, long), (1, other), (3, BASE), (1, "alone a b c d e f")], key=str)
+    for rows in (docs, odd):
+        report = [(str(r.doc_id), r.taken) for r in mixing.mix_report(rows).collect() if r.taken]
+        mixed = mixing.mixed_documents(rows)
+        assert mixed.schema.simpleString() == rows.schema.simpleString()
+        assert sorted(report) == sorted((str(r.doc_id), len(WORD.findall(r.text))) for r in mixed.collect())
+    nobody = spark.createDataFrame(rows_of([(None, f"{BASE} w{i % 2}") for i in range(4)]), SCHEMA)
+    assert ngram_join.drop_near_duplicates(nobody).count() == 1
+    assert len({r.text for r in exact_dedup.exact_dedup(odd).collect()}) == exact_dedup.exact_dedup(odd).count()
+
+
 def test_warc_audit(spark, sf, nothing):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "é\r\n\r\nx")], "page_id long, url string, html string"))
     a, b = new_folder(spark, "test-warc"), new_folder(spark, "test-warc")
