@@ -2,7 +2,8 @@
 
 Texts are cut without a regular expression. Each code point has a class; each class is a transition function on a few states, and
 as composition of functions is associative, the state before every code point comes from a scan over blocks of the code points.
-State and class say where a piece begins. The merges of a piece are made once and kept in a bounded cache.
+State and class say where a piece begins. The merges of a piece are made once and kept in a bounded cache. Where each piece begins in
+the text and in the ids is kept, so that decoding goes by runs of pieces and holds each run against its place in the text.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from sys import maxunicode
 from unicodedata import category
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from evspark.llm.common import per_text, slices, small_batches
 
 # Classes of code points; APO2 and APO3 are apostrophes that can begin a contraction of two or three characters.
 LETTER, NUMBER, SPACE, BLANK, OTHER, APO2, APO3, BREAK = range(8)
@@ -36,6 +38,8 @@ LATER_LETTERS = [
 LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Code points that are scanned at a time.
 WINDOW = 1 << 20
+#: Pieces that are decoded at a time.
+RUN = 1 << 16
 #: Pieces that the cache holds before it begins anew, and the bytes of the longest.
 CACHE_PIECES, CACHE_BYTES = 600_000, 64
 #: Up to so many bytes, all pairs are looked up again after each merge; beyond, a heap holds them. NEVER: above every rank.
@@ -209,8 +213,8 @@ class Codec:
         with open(path, "rb") as lines:
             return cls({b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers, and where its pieces begin in its UTF-8 bytes."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """Of each text, its ids as little-endian unsigned 32-bit integers, and where its pieces begin in its UTF-8 bytes and in its ids."""
         group: list[str] = []
         size = 0
         for text in texts:
@@ -222,7 +226,7 @@ class Codec:
         if group:
             yield from self._encode(group)
 
-    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
         joined = "\n".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts])  # one after the separator that follows
@@ -233,16 +237,26 @@ class Codec:
         place = np.concatenate([[0], np.cumsum(lengths)])
         cuts = np.append(place[begins], len(raw)).tolist()
         packed = list(map(self.pieces.__getitem__, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+        ids_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) >> 2)])
         firsts = np.searchsorted(begins, np.concatenate([[0], ends[:-1]])).tolist()
         lasts = np.append(np.searchsorted(begins, ends[:-1] - 1), len(packed)).tolist()
         for k, (i, j) in enumerate(zip(firsts, lasts, strict=True)):
             text_at = int(place[ends[k] - 1 - len(texts[k])])
-            yield b"".join(packed[i:j]), np.asarray(cuts[i:j], np.int64) - text_at
+            yield b"".join(packed[i:j]), np.asarray(cuts[i:j], np.int64) - text_at, ids_at[i:j] - ids_at[i]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decoded_runs(self, ids: bytes, piece_at: np.ndarray, ids_at: np.ndarray) -> Iterator[bytes]:
+        """The bytes of runs of RUN pieces, one after the other. Each but the last has to reach from its first piece's place in the text to that of the next run's."""
+        for lo in range(0, len(piece_at), RUN):
+            hi, last = lo + RUN, lo + RUN >= len(piece_at)
+            run = self.decode(ids[4 * int(ids_at[lo]) : len(ids) if last else 4 * int(ids_at[hi])])
+            if not last and len(run) != piece_at[hi] - piece_at[lo]:
+                raise ValueError("the ids do not fit the offsets of their pieces")
+            yield run
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -255,47 +269,47 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, ids (packed little-endian unsigned 32-bit), n_tokens, piece_at (byte offsets of the pieces in the text).
+    """One row per row of `docs`: id, ids (packed little-endian unsigned 32-bit), n_tokens, piece_at and ids_at (where pieces begin in the text's bytes and in the ids).
 
     A null or empty text has no ids. Rows keep their partition: nothing is shuffled. The rank file must be readable on executors.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                out = list(own.encode([t or "" for t in part["text"]]))
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": [a for a, _ in out], "n_tokens": [len(a) // 4 for a, _ in out], "piece_at": [b for _, b in out]})
+    def work(texts: list[str]) -> list:
+        out = list(codec(path).encode(texts))
+        return [[a for a, _, _ in out], [len(a) // 4 for a, _, _ in out], [b for _, b, _ in out], [c for _, _, c in out]]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids binary, n_tokens long, piece_at array<long>").withColumnRenamed("id", id_col)
+    made = pa.schema([("ids", pa.binary()), ("n_tokens", pa.int64()), ("piece_at", pa.list_(pa.int64())), ("ids_at", pa.list_(pa.int64()))])
+    return per_text(docs, id_col, text_col, made, work)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of `rows` (id, ids): id, decoded (bytes). Null ids give no bytes."""
+    """One row per row of `rows` (id, ids, piece_at, ids_at): id, decoded (bytes). Null ids give no bytes."""
+    columns = [id_col, "ids", "piece_at", "ids_at"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "decoded": [own.decode(x or b"") for x in batch["ids"]]})
+        for part in slices(batches):
+            of = lambda i, k, part=part: np.array(part.column(k)[i].as_py() or [], np.int64)
+            found = [b"".join(own.decoded_runs(x or b"", of(i, 2), of(i, 3))) for i, x in enumerate(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "decoded"])
 
+    small_batches(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), "ids").mapInPandas(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return rows.select(*columns).mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per row of `docs`: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. A null text counts as empty. Else ids are hashed where they are made and not sent on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest(), x) for x, _ in own.encode([t or "" for t in part["text"]])]
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-                out.insert(0, "id", part["id"].to_numpy())
-                yield out if keep_ids else out.drop(columns="ids")
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * keep_ids}").withColumnRenamed("id", id_col)
+    def work(texts: list[str]) -> list:
+        own, rows = codec(path), []
+        for ids, piece_at, ids_at in own.encode(texts):
+            decoded = hashlib.sha256()
+            for run in own.decoded_runs(ids, piece_at, ids_at):
+                decoded.update(run)
+            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), ids if keep_ids else None))
+        columns = list(zip(*rows, strict=True))
+        return columns if keep_ids else columns[:3]
+
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())]
+    return per_text(docs, id_col, text_col, pa.schema(kinds if keep_ids else kinds[:3]), work)

@@ -10,13 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm.bpe import LETTER, classes
+from evspark.llm.common import per_text, slices, small_batches
 
 #: Labelled texts to learn from, about: a bounded sample by a hash of the text's id.
 TRAIN_ROWS = 8000
@@ -90,8 +90,9 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     length = counts[order]
     first = (np.cumsum(counts) - counts)[order]
     active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")  # texts with more than t words
-    back = np.zeros(scores.shape, np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    small = np.uint8 if scores.shape[1] <= 256 else np.uint32
+    back = np.zeros(scores.shape, small)
+    own = np.arange(scores.shape[1], dtype=small)
     best = np.zeros((len(counts), scores.shape[1]), np.float32)
     final = np.zeros(len(counts), np.int64)
     for t, k in enumerate(active.tolist()):
@@ -101,7 +102,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
             top = b.argmax(axis=1)
             change = b[np.arange(k), top] - switch
             stay = b >= change[:, None]
-            back[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+            back[at] = np.where(stay, own, top[:, None].astype(small))
             b = np.where(stay, b, change[:, None])
         best[:k] = b + scores[at]
     final = best.argmax(axis=1)
@@ -159,19 +160,22 @@ def _identify(model: Model, texts: list[str]) -> Iterator[tuple[str, float, list
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """From rows with a text and a language. Tasks count trigrams, Spark adds the counts, and languages x SLOTS sums come back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, part in batch.groupby("lang"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, PASSED):
+            langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for lang in sorted(set(langs)):
                 grams, scripts = np.zeros(SLOTS, np.int64), np.zeros(SCRIPTS, np.int64)
-                for slots, begins, _, script in _trigrams([t.lower() for t in part["text"]]):
+                for slots, begins, _, script in _trigrams([t.lower() for t, x in zip(texts, langs, strict=True) if x == lang]):
                     grams += np.bincount(slots, minlength=SLOTS)
                     if len(begins):
                         scripts += np.bincount(script, weights=np.diff(np.append(begins, len(slots))), minlength=SCRIPTS).astype(np.int64)
                 every = np.concatenate([grams, scripts])
                 at = np.flatnonzero(every)
-                yield pd.DataFrame({"lang": lang, "at": at, "n": every[at]})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(every[at])], ["lang", "at", "n"])
 
-    counted = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(run, "lang string, at long, n long")
+    small_batches(labelled.sparkSession)
+    known = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    counted = known.mapInArrow(run, "lang string, at long, n long")
     rows = counted.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     sums = np.zeros((SLOTS + SCRIPTS, len(langs)))
@@ -197,30 +201,26 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     `und` with score 0 if the text is null or has no letter, or if nothing was learned. The score is the share of the text's letters
     in spans of the language, times how sure the whole text's trigrams are of it. Equal texts get equal results.
     """
-    span = ", spans array<struct<first_word: int, n_words: int, lang: string>>" if spans else ""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c) for c in extra])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = list(identify(model, [t or "" for t in batch["text"]]))
-            out = batch.drop(columns="text").reset_index(drop=True).assign(lang_pred=[x[0] for x in got], score=[x[1] for x in got])
-            yield out.assign(spans=[[{"first_word": a, "n_words": b, "lang": c} for a, b, c in x[2]] for x in got]) if spans else out
+    def work(texts: list[str]) -> list:
+        got = list(identify(model, texts))
+        found = [[x[0] for x in got], [x[1] for x in got]]
+        return [*found, [[{"first_word": a, "n_words": b, "lang": c} for a, b, c in x[2]] for x in got]] if spans else found
 
-    return kept.mapInPandas(run, f"{fields}, lang_pred string, score double{span}").withColumnRenamed("id", id_col)
+    kinds = [("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])))]
+    return per_text(docs, id_col, text_col, pa.schema(kinds if spans else kinds[:2]), work, extra, PASSED)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose language is not `und`, with all their columns; a null language is filled in by the predicted one."""
 
+    small_batches(docs.sparkSession)
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PASSED):  # the texts are passed on, so that fewer are held at a time
-                part = batch.slice(lo, PASSED)
-                found = pa.array([x[0] for x in identify(model, [t or "" for t in part.column(at).to_pylist()])], pa.string())
-                lang = pc.coalesce(part.column(lang_at), found.cast(part.schema.field(lang_at).type))
-                yield part.set_column(lang_at, part.schema.field(lang_at), lang).filter(pc.not_equal(found, UNDETERMINED))
+        for part in slices(batches, PASSED):
+            found = pa.array([x[0] for x in identify(model, [t or "" for t in part.column(at).to_pylist()])], pa.string())
+            lang = pc.coalesce(part.column(lang_at), found.cast(part.schema.field(lang_at).type))
+            yield part.set_column(lang_at, part.schema.field(lang_at), lang).filter(pc.not_equal(found, UNDETERMINED))
 
     return docs.mapInArrow(run, docs.schema)

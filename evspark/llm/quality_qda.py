@@ -10,11 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import written
+from evspark.llm.common import per_text, written
 from evspark.llm.quality_rules import base_features
 from evspark.llm.textscan import WHITE, groups, words_of
 
@@ -109,30 +109,28 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, x (the statistics) of each row of `docs`. A null text counts as empty."""
+    return per_text(docs, id_col, text_col, pa.schema([("x", pa.list_(pa.float64()))]), lambda texts: [list(statistics([t.encode() for t in texts]))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "x": list(statistics([(t or "").encode() for t in batch["text"]]))})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, x array<double>").withColumnRenamed("id", id_col)
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
 
 
 def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, sum and sum of products of `x` for each `label`. Tasks send partial sums, Spark adds them; two rows of fixed width come back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
+            label, x = batch.column(0).to_numpy(zero_copy_only=False), _rows(batch.column(1))
             for k in (0, 1):
-                x = batch.loc[batch["label"] == k, "x"]
-                if len(x):
-                    n, s, q = moments(np.stack(x.to_numpy()))
+                if (label == k).any():
+                    n, s, q = moments(x[label == k])
                     total[k] = total.get(k, 0) + np.concatenate([[n], s, q.ravel()])
-        yield pd.DataFrame({"label": list(total), "v": [list(v) for v in total.values()]}, columns=["label", "v"]).astype({"label": "int32"})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["label", "v"])
 
     width = 1 + FEATURES + FEATURES**2
-    parts = labelled.select(F.col("label").cast("int"), "x").mapInPandas(run, "label int, v array<double>")
+    parts = labelled.select(F.col("label").cast("int"), "x").mapInArrow(run, "label int, v array<double>")
     added = parts.select("label", F.posexplode("v").alias("at", "value")).groupBy("label", "at").agg(F.sum("value").alias("value"))
     sums = {k: np.zeros(width) for k in (0, 1)}
     for label, at, value in added.collect():
@@ -152,11 +150,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str
     known = labels.filter("quality IN (0, 1)").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     model = fit(class_sums(x.filter(f"NOT ({held_out})").join(known, id_col)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(np.stack(batch["x"].to_numpy())) if len(batch) else np.empty(0)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "score": s, "predicted": (s >= THRESHOLD).astype("int32")})
+            s = model.score(_rows(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = x.select(F.col(id_col).alias("id"), F.expr(f"coalesce({held_out}, true)").alias("held_out"), "x")
-    return rows.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -14,22 +14,25 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.llm.arrow_sequences import local_path
-from evspark.llm.common import written
+from evspark.llm.common import slices, small_batches, written
 
 #: Children of a node; bytes after which a file ends with the record.
 FANOUT, FILE_BYTES = 32, 1 << 26
+#: Repeated page ids that are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 RECORDS = "file string, seq long, offset long, length long, digest binary"
 
 
-def record(page_id: object, url: str, html: str, date: str) -> bytes:
-    """A resource record."""
-    body = html.encode()
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+def record(page_id: object, url: str, html: str, date: str, repeat: str | None = None) -> bytes:
+    """A resource record. Line ends in the url are percent-encoded, so that a url stays one header; `repeat` tells apart records of one page id."""
+    body, uri = html.encode(), url.replace("\r", "%0D").replace("\n", "%0A")
+    own = f"urn:page:{page_id}" + (f":{repeat}" if repeat else "")
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{own}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
@@ -48,22 +51,24 @@ def read_record(stored: bytes) -> tuple[dict[str, str], bytes]:
 def write(pages: DataFrame, folder: str, partitions: int, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the WARC files; gives file, seq, offset, length, digest (of the stored bytes), the page's id and record_length and record_sha256 (of the plain record).
 
-    Null urls and pages count as empty; rows without an id come first and are named None; rows that repeat an id are records of their
-    own. An empty table gives no file.
+    Null urls and pages count as empty; rows without an id come first and are named None; rows that share an id, or have none, have
+    besides it a hash of url and page, and their number among equal rows, in the record's id. An empty table gives no file.
     """
     path = local_path(folder)
     os.makedirs(path, exist_ok=True)
     kind = pages.schema[id_col].dataType.simpleString()
+    names = ["file", "seq", "offset", "length", "digest", "page", "record_length", "record_sha256"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), None, pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, count = TaskContext.get().partitionId(), 0
         out: BinaryIO | None = None
         name, temp, seq, offset = "", "", 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for page_id, url, html in batch.itertuples(index=False, name=None):
+            for page_id, url, html, repeat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out and offset >= FILE_BYTES:
                     out.close()
                     os.replace(temp, f"{path}/{name}")
@@ -72,37 +77,52 @@ def write(pages: DataFrame, folder: str, partitions: int, date: str, id_col: str
                     name = f"part-{part:06d}-{count:04d}.warc.gz"
                     temp, seq, offset = f"{path}/.{name}-{uuid.uuid4().hex}", 0, 0
                     out = open(temp, "wb")  # noqa: SIM115
-                raw = record(page_id, url or "", html or "", date)
+                raw = record(page_id, url or "", html or "", date, repeat)
                 stored = _member(raw)
                 out.write(stored)
-                rows.append((name, seq, offset, len(stored), hashlib.sha256(stored).digest(), page_id, len(raw), hashlib.sha256(raw).hexdigest()))
+                rows.append((name, seq, offset, len(stored), hashlib.sha256(stored).digest(), None, len(raw), hashlib.sha256(raw).hexdigest()))
                 seq, offset = seq + 1, offset + len(stored)
-            yield pd.DataFrame(rows, columns=["file", "seq", "offset", "length", "digest", id_col, "record_length", "record_sha256"])
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0) if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
         if out:
             out.close()
             os.replace(temp, f"{path}/{name}")
 
-    dealt = pages.select(id_col, F.col(url_col).alias("url"), F.col(html_col).alias("html")).repartitionByRange(partitions, id_col).sortWithinPartitions(id_col)
-    return written(dealt.mapInPandas(run, f"{RECORDS}, `{id_col}` {kind}, record_length long, record_sha256 string"), "warc-records")
+    small_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = rows.withColumn("among", F.xxhash64("url", "html"))
+    again = written(rows.groupBy("page").count().filter("count > 1").select(F.col("page").alias("again")), "repeated-pages")
+    once, repeat = rows.withColumn("repeat", F.lit(None).cast("string")), Window.partitionBy("page", "among").orderBy("url", "html")
+    if n := again.count():
+        own, on = F.broadcast(again) if n <= BROADCAST_ROWS else again, F.col("page").eqNullSafe(F.col("again"))
+        several = rows.join(own, on, "left_semi").withColumn("repeat", F.concat_ws("-", F.lower(F.hex("among")), F.row_number().over(repeat)))
+        once = once.join(own, on, "left_anti").unionByName(several)
+    order = [F.asc_nulls_first("page"), F.asc("repeat")]  # a second attempt of a task writes the same files
+    dealt = once.select("page", "url", "html", "repeat").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    made = dealt.mapInArrow(run, f"file string, seq long, offset long, length long, digest binary, page {kind}, record_length long, record_sha256 string")
+    return written(made.withColumnRenamed("page", id_col), "warc-records")
 
 
 def read_digests(index: DataFrame, folder: str) -> DataFrame:
     """Hash the stored bytes of a replica again: file, seq, offset, length, digest. `index` has each record's place. A record beyond the file's end, or of a file that is not there, has the digest of what is there."""
     path = local_path(folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = []
-            for name, rows in batch.groupby("file", sort=False):
-                there = os.path.exists(f"{path}/{name}")
-                with open(f"{path}/{name}" if there else os.devnull, "rb") as own:
-                    for i, offset, length in rows[["offset", "length"]].itertuples():
-                        own.seek(offset if there else 0)
-                        digests.append((i, hashlib.sha256(own.read(length)).digest()))
-            yield batch.assign(digest=pd.Series(dict(digests), dtype=object))
-
-    places = index.select("file", "seq", "offset", "length")
-    return places.mapInPandas(run, RECORDS)
+            digests, name, own = [], None, None
+            for file, offset, length in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
+                if file != name:
+                    if own:
+                        own.close()
+                    name, there = file, os.path.exists(f"{path}/{file}")
+                    own = open(f"{path}/{file}" if there else os.devnull, "rb")  # noqa: SIM115
+                own.seek(offset if there else 0)
+                digests.append(hashlib.sha256(own.read(length)).digest())
+            if own:
+                own.close()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["file", "seq", "offset", "length", "digest"])
+
+    return index.select("file", "seq", "offset", "length").mapInArrow(run, RECORDS)
 
 
 def copy_replica(index: DataFrame, source: str, folder: str, damage: str | None = None) -> DataFrame:
@@ -112,22 +132,22 @@ def copy_replica(index: DataFrame, source: str, folder: str, damage: str | None
     bad = index.filter(damage or "false").select("file", (F.col("offset") + F.expr("length div 2")).alias("at"))
     files = index.select("file").distinct().join(bad.groupBy("file").agg(F.collect_list("at").alias("at")), "file", "left")  # as many as the file has records
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, at in zip(batch["file"], batch["at"], strict=True):
+            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 temp = f"{dst}/.{name}-{uuid.uuid4().hex}"
                 with open(f"{src}/{name}", "rb") as a, open(temp, "wb+") as b:
                     while part := a.read(1 << 20):
                         b.write(part)
-                    for x in at if at is not None else []:
+                    for x in at or []:
                         b.seek(x)
                         byte = b.read(1)
                         b.seek(x)
                         b.write(bytes([byte[0] ^ 0xFF]))
                 os.replace(temp, f"{dst}/{name}")
-            yield batch[["file"]]
+            yield batch.select(["file"])
 
-    return written(files.mapInPandas(run, "file string"), "replica")
+    return written(files.mapInArrow(run, "file string"), "replica")
 
 
 def tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -164,7 +184,7 @@ def audit(index: DataFrame, primary: str, replica: str) -> DataFrame:
 
 SQL = r"""
 WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-  || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
   || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages)
 SELECT page_id, strlen(record) AS record_length, sha256(record) AS record_sha256, NOT (substr(md5(page_id::VARCHAR), 1, 2) < '04') AS intact FROM r
 """
