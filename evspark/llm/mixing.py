@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import WORD, null_safe, ordinals, written
+from evspark.llm.common import WORD, null_safe, ordinals, slices, small_batches, written
 from evspark.llm.textscan import mix
 
 #: Words of a block; slots of an output shard.
@@ -25,9 +25,11 @@ BLOCK, SHARD = 64, 4096
 #: The weights of sources by code point, repeating; a source is used so many times at most.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows whose texts are held at a time.
-PASSED = 512
-#: A source's documents are numbered in so many parts side by side.
-PARTS = 1024
+PASSED = 256
+#: Rows of a part, about: a source's documents, and its shards, are numbered by parts side by side.
+ROWS_A_PART = 4096
+#: Sources whose names and sizes are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SEED = 20240607
 
 
@@ -46,7 +48,11 @@ def targets(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndar
 
 
 def draw(shard: int, slots: int, share: np.ndarray) -> np.ndarray:
-    """How many of a shard's slots each source fills: the whole parts of its expected numbers, and a multinomial draw of what is left over by the fractions."""
+    """How many of a shard's slots each source fills: the whole parts of its expected numbers, and a multinomial draw of what is left over by the fractions.
+
+    A multinomial draw of all slots has the same expectation; with the whole parts fixed, a source is off its target by less than a
+    slot a shard, where the plain draw is off by the root of the slots.
+    """
     expected = slots * share
     counts = np.floor(expected + 1e-9).astype(np.int64)
     rest = slots - int(counts.sum())
@@ -94,13 +100,26 @@ def _digest(text_col: str) -> Column:
     return F.unhex(F.md5(text_col)).alias("digest")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _before(rows: DataFrame, size: str, order: list[str], name: str) -> DataFrame:
+    """`rows` (with s and part) with `name`: the sum of `size` over the source's earlier parts and over the earlier rows of the part."""
+    running = lambda *by: Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("s", "part").agg(F.sum(size).alias("__n"))
+    parts = parts.select("s", "part", F.coalesce(F.sum("__n").over(running(["s"], ["part"])), F.lit(0)).alias("__base"))
+    within = rows.withColumn("__within", F.coalesce(F.sum(size).over(running(["s", "part"], order)), F.lit(0)))
+    return within.join(parts, ["s", "part"]).withColumn(name, F.col("__base") + F.col("__within")).drop("__base", "__within", "part")
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> Mixture:
     """Plan the mix of `docs`. Sources with a null name are one source, the last. What comes to the driver is a row for each source."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _digest(text_col)), "sizes")
     # a row for each source; UTF-8 order is that of code points
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").isNull(), "source").toPandas()
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("source").isNull(), "source").toPandas()
     sources["s"] = np.arange(len(sources))
     sources["weight"] = [weights[i % len(weights)] for i in range(len(sources))]
     n = sources["source_size"].to_numpy(np.int64)
@@ -110,40 +129,37 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sources["blocks"], sources["slots"] = blocks, wanted
     share, total = wanted / max(wanted.sum(), 1e-9), int(round(wanted.sum()))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch["id"]:
-                counts = draw(int(shard), min(SHARD, total - int(shard) * SHARD), share)
+            for shard in batch.column(0).to_pylist():
+                counts = draw(shard, min(SHARD, total - shard * SHARD), share)
                 s = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "s": s.astype(np.int32), "n": counts[s]})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), shard, np.int64)), pa.array(s.astype(np.int32)), pa.array(counts[s])], ["shard", "s", "n"])
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, part in batch.groupby("s"):
-                count = int(blocks[s])
-                part = part[part["j"] < MOST * count]  # a draw may go a little beyond what a source can give
-                turn = (part["j"] // count).to_numpy(np.int64)
-                block = np.empty(len(part), np.int64)
-                for e in np.unique(turn):
-                    at = turn == e
-                    block[at] = permuted(part["j"].to_numpy(np.int64)[at] % count, count, (SEED + s) * 31 + int(e))
-                yield pd.DataFrame({"shard": part["shard"].to_numpy(), "s": np.int32(s), "pass": turn.astype(np.int32), "block": block})
+            shard, source, j = (batch.column(i).to_numpy() for i in range(3))
+            turn = j // np.maximum(blocks[source], 1)
+            block = np.zeros(len(j), np.int64)
+            kept = turn < MOST  # a draw may go a little beyond what a source can give
+            for s, e in np.unique(np.stack([source[kept], turn[kept]], axis=1), axis=0).tolist():
+                at = (source == s) & (turn == e)
+                block[at] = permuted(j[at] % blocks[s], int(blocks[s]), (SEED + s) * 31 + e)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (shard, source, turn.astype(np.int32), block)], ["shard", "s", "pass", "block"])
 
     shards = spark.range(-(-total // SHARD)) if total else spark.range(0)
-    counts = shards.mapInPandas(place, "shard long, s int, n long")
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    numbered = first.select("shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-    slots = numbered.mapInPandas(number, "shard long, s int, pass int, block long")
-
-    names = spark.createDataFrame([(x, i) for i, x in enumerate(sources["source"])], "source string, s int")
-    rows = sized.join(F.broadcast(names.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-    own = Window.partitionBy("s", "part").orderBy("id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("s", "part").agg(F.sum("size").alias("n"))
-    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(F.broadcast(parts.select("s", "part", "base")), ["s", "part"])  # PARTS rows a source
-    documents = written(placed.select("id", "source", "size", "digest", "s", (F.col("base") + F.col("within")).alias("start")), "placed")
+    counts = shards.mapInArrow(place, "shard long, s int, n long").withColumn("part", F.expr(f"shard div {ROWS_A_PART}"))
+    first = _before(counts, "n", ["shard"], "first").select("shard", "s", "first", "n")
+    # dealt out by shard, so that a task makes the slots of some shards and not all of a source
+    numbered = first.repartition("shard").select("shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    slots = numbered.mapInArrow(number, "shard long, s int, pass int, block long")
+
+    names = spark.createDataFrame([(x, i) for i, x in enumerate(sources["source"])], "__source string, s int")
+    rows = sized.join(_few(names, len(sources)), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    n_parts = -(-int(sources["rows"].sum()) // ROWS_A_PART) or 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.lit(n_parts)))
+    placed = _before(rows, "size", ["id", "size", "digest"], "start")
+    documents = written(placed.select("id", "source", "size", "digest", "s", "start"), "placed")
     end = F.col("start") + F.col("size")
     cut = documents.filter("size > 0").select("s", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     lo, hi = F.greatest("start", F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
@@ -163,7 +179,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = plan.taken().hint("merge")
     full, empty = plan.documents.filter("size > 0"), plan.documents.filter("size = 0")
     rows = full.join(taken, ["s", "start"], "left").unionByName(empty.withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(F.broadcast(facts), "s").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.join(_few(facts, len(plan.sources)), "s").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -186,13 +202,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PASSED):
-                part = batch.slice(lo, PASSED)
-                texts = [_taken_text(t, cuts) for t, cuts in zip(part.column(at).to_pylist(), part.column("__cut").to_pylist(), strict=True)]
-                arrays = [pa.array(texts, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        for part in slices(batches, PASSED):
+            texts = [_taken_text(t, cuts) for t, cuts in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+            arrays = [pa.array(texts, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(docs.sparkSession)
     return rows.select(*docs.columns, "__cut").mapInArrow(run, docs.schema)
 
 
