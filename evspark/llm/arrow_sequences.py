@@ -7,31 +7,39 @@ Arrow streams with a footer, so that any batch, and in it any row, is read by it
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import new_folder
+from evspark.llm.common import new_folder, small_batches, slices
 
 LENGTH = 2048
 #: Rows of a record batch; tokens after which a file ends with the document.
 BATCH_ROWS, FILE_TOKENS = 512, 1 << 23
-#: Words that are encoded as one text.
-TOGETHER = 4096
-#: Marks that are a token of their own after a letter.
-END_MARKS = tuple(".,;:!?")
-#: Words that the cache of a Python worker holds before it begins anew.
-CACHE_WORDS = 600_000
+#: Characters of a text that are split into words at a time.
+WINDOW = 1 << 20
+#: Words of a generation of the cache of a Python worker; it holds two.
+CACHE_WORDS = 400_000
+#: Marks that are one piece together after a letter, where no letter, digit or apostrophe follows.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What a tokenizer file has if white space and marks part words, so that words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+#: The letters by which byte-level vocabularies name bytes: printable ones by themselves, the others by 256, 257, ...
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def schema(length: int) -> pa.Schema:
@@ -46,13 +54,17 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
-def _letters(word: str) -> bool:
-    """Whether the tokenizer, which composes and lower-cases first, sees letters alone: composition splits some letters (U+095C, U+FB2A) into a letter and a mark."""
-    return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower().isalpha()
+def _letter(c: str) -> bool:
+    """Whether the tokenizer, which composes and lower-cases first, sees letters alone: that makes a letter and a mark of some (U+095C, U+FB2A, U+0130)."""
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha())
 
 
 class Words(dict):
-    """The packed ids of words between spaces. White space always ends a token of this vocabulary, so that a text's ids are those of its words."""
+    """The packed ids of words between spaces, as they are met.
+
+    `by_words` says whether the file's rules let a text's ids be those of its words: white space ends every token, and a word of
+    letters, or the marks after it, are one piece each. A file with other rules has its texts encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,54 +73,76 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        self.ends = np.zeros(1 << 16, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-
-    def learn(self, words: set[str]) -> None:
-        """Words that differ in an end mark after a letter, or in the case of ASCII letters, are encoded once."""
-        new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > CACHE_WORDS:
+        own = json.loads(self.tokenizer.to_str())
+        model, added = own["model"], own["added_tokens"]
+        self.by_words = (
+            own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and own["truncation"] is None and own["padding"] is None
+            and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["continuing_subword_prefix"] or model["dropout"] or model["unk_token"])
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+            # special tokens begin with a mark and have a letter or digit after it, and no space: they are in no word of letters with marks at its end
+            and all(t["content"][:1] in MARKS and any(map(str.isalnum, t["content"])) and t["content"].split() == [t["content"]] for t in added)
+        )
+        self.special = [t["content"] for t in added]
+        self.piece = self.tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+        self.of_marks: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-            new = list(words)
-        bare = [w[:-1] if w[-1:] in END_MARKS and _letters(w[-2:-1]) else w for w in new]
-        bare = [w.lower() if w.isascii() else w for w in bare]
-        first = [w for w in {*bare, *END_MARKS} if w not in self]
-        plain = [w for w in first if _letters(w)]  # one piece each, and a piece ends with a token that says so
-        for lo in range(0, len(plain), TOGETHER):
-            part = plain[lo : lo + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(ends) != len(part):  # a letter that only one of the two Unicode versions knows: word by word, below
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self[w] = raw[at:end]
-                at = end
-        rest = [w for w in first if w not in self]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u2").tobytes()
-        for w, b in zip(new, bare, strict=True):
-            self[w] = self[b] if len(w) == len(b) else self[b] + self[w[-1]]
+        self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        """A word that differs from another in ASCII capitals and in marks at its end has the ids of the other, and those of the marks."""
+        bare = word.rstrip(MARKS)
+        low = bare.lower() if bare.isascii() else bare
+        if low.isalpha() and (bare.isascii() or (max(low) < "\u0250" and low == low.lower())):  # letters that composing and lower-casing leave as they are
+            ids = None if low == word else self.get(low) or self.old.get(low)
+            if ids is None:
+                name = low if low.isascii() else low.encode().decode("latin-1").translate(_NAMES)
+                ids = array("H", [t.id for t in self.piece(name)]).tobytes()
+                if low != word:
+                    self[low] = ids
+            return ids if len(bare) == len(word) else ids + self.marks(word[len(bare) :])
+        if bare and len(bare) < len(word) and _letter(bare[-1]) and not any(x in word for x in self.special):
+            return self[bare] + self.marks(word[len(bare) :])
+        return self._whole(word)
+
+    def marks(self, word: str) -> bytes:
+        if word not in self.of_marks:
+            if len(self.of_marks) >= CACHE_WORDS:
+                self.of_marks.clear()
+            self.of_marks[word] = self._whole(word)
+        return self.of_marks[word]
+
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.frombuffer(self._whole(text), np.uint16)
+        parts, lo, text = [], 0, text.replace("\n", " ")
+        while lo <= len(text):
+            hi = text.find(" ", lo + WINDOW) if len(text) - lo > WINDOW else -1
+            hi = len(text) if hi < 0 else hi
+            parts.append(b"".join(map(self.__getitem__, text[lo:hi].split(" "))))
+            lo = hi + 1
+        return np.frombuffer(b"".join(parts), np.uint16)
 
 
 _words: dict[str, Words] = {}
 
 
-def encode_texts(texts: list[str], path: str, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
     if path not in _words:
         _words[path] = Words(path)
-    own = _words[path]
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > most or i + 1 == len(texts):
-            split = [x.replace("\n", " ").split(" ") for x in texts[lo : i + 1]]
-            own.learn(set().union(*split))
-            for words in split:
-                yield np.frombuffer(b"".join(map(own.__getitem__, words)), "<u2")
-            lo, size = i + 1, 0
+    yield from map(_words[path].encode, texts)
 
 
 class Writer:
@@ -162,29 +196,31 @@ class Writer:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every text, append `end_id`, and write the files; gives the manifest: file, first_id, n_docs, n_tokens, partition, number (of the file in its partition), base (ids in all files before).
 
-    A null or empty text has the end id alone. Rows without an id come before all others, in the order of a hash of
-    their texts; rows that repeat an id stand in any order among themselves. An empty table gives no file. The texts are dealt out by ranges of
-    their id; a task holds one batch of texts and one batch of rows.
+    A null or empty text has the end id alone. Rows without an id come before all others; rows that share an id, or have none, stand
+    in the order of a hash of their texts. An empty table gives no file. The texts are dealt out by ranges of their id; a task holds
+    one batch of texts and one batch of rows.
     """
     path = local_path(folder)
     os.makedirs(path, exist_ok=True)
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         out = Writer(path, TaskContext.get().partitionId(), length, file_tokens)
-        for batch in batches:
-            for doc_id, lacks, ids in zip(batch["doc_id"], batch["lacks"], encode_texts([t or "" for t in batch["text"]], tokenizer), strict=True):
-                out.add(None if lacks else int(doc_id), np.append(ids, np.uint16(end_id)))
+        for part in slices(batches):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode_texts(texts, tokenizer), strict=True):
+                out.add(doc_id, np.append(ids, np.uint16(end_id)))
         out.close()
-        yield pd.DataFrame(out.manifest, columns=["file", "first_id", "n_docs", "n_tokens", "partition", "number"]).astype({"first_id": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # a column of ids without nulls stays in integers; rows without an id are dealt out by their texts
-    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("lacks"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("among"))
-    order = [F.desc("lacks"), F.asc("doc_id"), F.asc("among")]
-    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop("among")
-    dealt.mapInPandas(run, "file string, first_id long, n_docs long, n_tokens long, partition int, number int").write.parquet(f"{folder}/manifest")
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        columns = list(zip(*out.manifest, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "first_id", "n_docs", "n_tokens", "partition", "number"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("among", F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("among")]
+    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text").drop("among")
+    dealt.mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long, partition int, number int").write.parquet(f"{folder}/manifest")
     before = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file; names sort -10 before -2
     return docs.sparkSession.read.parquet(f"{folder}/manifest").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -218,15 +254,17 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     path = local_path(folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch["file"], batch["base"], strict=True):
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = Reader(path, name)
-                index = own.index.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-                crc = [zlib.crc32(own.tokens(s, n).astype("<u4").tobytes()) for s, n in zip(index["start"], index["n_tokens"], strict=True)]
-                yield index.assign(start=index["start"] + base, ids_crc32=crc)
+                start, n = (own.index.column(k).to_numpy() for k in ("start", "n_tokens"))
+                crc = [zlib.crc32(own.tokens(s, k).astype("<u4").tobytes()) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+                columns = [own.index.column("doc_id").combine_chunks(), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2)).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = manifest.select("file", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2))
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, partitions: int) -> DataFrame:
