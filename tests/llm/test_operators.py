@@ -37,7 +37,7 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_bpe_is_that_of_the_library(spark, odd, nothing):
+def test_bpe_is_that_of_the_library(spark, odd, nothing, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -48,9 +48,10 @@ def test_bpe_is_that_of_the_library(spark, odd, nothing):
     parts = ["'", "s", "re", "l", "ll", " ", "\n", "  ", " ", "1", "漢", "!", "😀", "é", "\x1c", "½", "́"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 60))) for _ in range(3000)] + ["ab" * 40_000 + " " * 999 + "x'll" * 999]
     own = bpe.codec(path)
-    for text, (ids, at) in zip(texts, own.encode(texts), strict=True):
+    monkeypatch.setattr(bpe, "RUN", 7)
+    for text, (ids, at, ids_at) in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
-        assert own.decode(ids) == text.encode()
+        assert own.decode(ids) == text.encode() == b"".join(own.decoded_runs(ids, at, ids_at))
         assert b"".join(text.encode()[a:b] for a, b in zip(at, [*at[1:], None], strict=False)) == text.encode()
     for row in bpe.decode(bpe.encode(odd, path), path).join(odd.select("doc_id", "text"), "doc_id").filter("doc_id != 3").collect():
         assert bytes(row.decoded).decode() == (row.text or "")
@@ -92,6 +93,24 @@ def test_line_dedup(spark, odd, nothing):
     assert all(r.n_dropped == 0 for r in line_dedup.digest(clean).collect())
 
 
+def test_line_dedup_families_of_one_leaf(spark):
+    """Three families of a leaf, two of equal size and a small one, each with a variable name; beside them lines of one family each."""
+    name = lambda f, i: "abcdefgh"[i] + "xyz"[f] * 3
+    family = lambda f, i: " ".join(["all", "rights", "of", *(f"{'pqr'[f]}{x}" for x in "jklmnos"), name(f, i), "end"])
+    rows = rows_of([(10 * f + i, family(f, i)) for f in range(3) for i in range((8, 8, 4)[f])] + [(90 + i, f"all rights of {' '.join(c * (i + 2) for c in 'stuvwxyz')} k") for i in range(8)])
+    got = {r.doc_id: r.n_dropped for r in line_dedup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i < 90 and i % 10 > 0) for i in got}
+    assert sum(r.n_dropped for r in line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA), keep_first=False).collect()) == 20
+
+
+def test_line_dedup_rows_of_very_many_lines(spark):
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    lines = [f"{letters(i)} line {letters(i * 7)} z" for i in range(100_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(lines[::2])), (2, "\n".join([*lines[1::2], "its own line"])), (None, "\n".join(lines[:10]))]
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()))
+    assert got == [(0, 10, 0), (1, 100_000, 10), (2, 50_000, 50_000), (2, 50_001, 50_000)]
+
+
 def test_mixing(spark, odd, nothing):
     rng = random.Random(3)
     rows = rows_of([(i, " ".join(str(rng.random()) for _ in range(rng.randint(0, 400)))) for i in range(400)])
@@ -134,6 +153,7 @@ def brute_groups(rows, width, percent):
 
 @pytest.mark.parametrize("tile", [ngram_join.TILE, 1])
 def test_ngram_join(spark, odd, nothing, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "PAIRS", 64)
     monkeypatch.setattr(ngram_join, "TILE", tile)  # with tiles of one class, all shingles are wide and all groups are dealt out
     rng = random.Random(9)
     words = [f"v{i}" for i in range(300)]
@@ -151,6 +171,14 @@ def test_ngram_join(spark, odd, nothing, monkeypatch, tile):
         assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_ngram_join_rows_without_ids_and_large_ids(spark):
+    words, big = [f"v{i}" for i in range(24)], 2**53 + 1
+    near = " ".join([*words[:-1], "other"])
+    texts = [(5, " ".join(words)), (None, near), (None, near), (big, " ".join(f"x{i}" for i in range(24))), (big + 1, " ".join([*(f"x{i}" for i in range(23)), "y"])), (None, "q"), (None, None)]
+    rows = ngram_join.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in rows))) == sorted(map(str, [(5, 5), (None, 5), (None, 5), (big, big), (big + 1, big), (None, None), (None, None)]))
+
+
 def test_quality_rules(odd, nothing):
     def brute(t):
         w, seen, cover, dup = WORD.findall(t), {}, set(), 0
@@ -207,15 +235,22 @@ def test_quality_classifier(spark, sf, odd, nothing):
     assert {r.score for r in quality_qda.score_quality(odd, labels.limit(0), "doc_id % 5 = 0").collect()} == {0.5}
 
 
-def test_token_files(spark, odd, nothing):
+def test_token_files(spark, odd, nothing, monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     pick = random.Random(3)
-    parts = ["'", "s", "re", "A", "É", "é", " ", "\n", "\t", "1", "漢", "!", "İ", "Σ", "\x85", ".", "K", "a."]
+    parts = ["'", "s", "re", "A", "É", "é", " ", "\n", "\t", "1", "漢", "!", "İ", "Σ", "\x85", ".", "K", "a.", "<|endoftext|>", "ı", "ÿ", "&&&"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 30))) for _ in range(3000)]
     assert [x.tolist() for x in arrow_sequences.encode_texts(texts, path)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    long = "One two, three. " * 200_000
+    assert next(arrow_sequences.encode_texts([long], path)).tolist() == library.encode(long, add_special_tokens=False).ids
+    other = tokenizer("byte_bpe_50k.json")  # other rules: texts are encoded whole
+    assert not arrow_sequences.Words(other).by_words and arrow_sequences.Words(path).by_words
+    assert [x.tolist() for x in arrow_sequences.encode_texts(texts[:300], other)] == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts[:300]]
+    monkeypatch.setattr(arrow_sequences, "CACHE_WORDS", 50)
+    assert [x.tolist() for x in arrow_sequences.encode_texts(texts, path)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     folder = new_folder(spark, "test-sequences")
     manifest = arrow_sequences.write(docs, folder, path, 2, 3, length=64)
@@ -284,16 +319,23 @@ def test_rows_that_share_an_id(spark, odd):
 
 
 def test_warc_audit(spark, sf, nothing):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "é\r\n\r\nx")], "page_id long, url string, html string"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "é\r\n\r\nx"), (7, "u", "again"), (7, "u", "again"), (None, "http://a\r\nContent-Length: 0", "y"), (2**53 + 1, "u\r\nbroken", "z")], "page_id long, url string, html string"))
     a, b = new_folder(spark, "test-warc"), new_folder(spark, "test-warc")
     index = warc_fixity.write(pages, a, 3, "2024-01-01T00:00:00Z")
     warc_fixity.copy_replica(index, a, b, "page_id % 10 = 3")
     rows = warc_fixity.audit(index, a, b).collect()
     assert len(rows) == pages.count() and all(r.intact == (r.page_id is None or r.page_id % 10 != 3) for r in rows)
-    row = next(r for r in rows if r.record_length and r.page_id == 7 and r.length < 400)
-    with open(f"{warc_fixity.local_path(a)}/{row.file}", "rb") as own:
-        own.seek(row.offset)
-        headers, body = warc_fixity.read_record(own.read(row.length))
-    assert headers["WARC-Target-URI"] == "u" and body.decode() == "é\r\n\r\nx"
+    read = {}
+    for row in rows:
+        with open(f"{warc_fixity.local_path(a)}/{row.file}", "rb") as own:
+            own.seek(row.offset)
+            headers, body = warc_fixity.read_record(own.read(row.length))
+        assert len(headers) == 6 and headers["WARC-Record-ID"] not in read
+        read[headers["WARC-Record-ID"]] = (headers["WARC-Target-URI"], body.decode())
+    assert ("u", "é\r\n\r\nx") in read.values() and ("http://a%0D%0AContent-Length: 0", "y") in read.values()
+    assert read[f"<urn:page:{2**53 + 1}>"] == ("u%0D%0Abroken", "z") and read["<urn:page:8>"][1] == pages.filter("page_id = 8").first().html
+    whole = spark.read.parquet(f"{sf}/pages.parquet")  # a record does not depend on others
+    alone = {r.page_id: r.record_sha256 for r in warc_fixity.write(whole, new_folder(spark, "test-warc"), 2, "2024-01-01T00:00:00Z").collect()}
+    assert all(alone.get(r.page_id) == r.record_sha256 for r in rows if r.page_id not in (None, 7, 2**53 + 1))
     none = warc_fixity.write(nothing.selectExpr("doc_id AS page_id", "text AS url", "text AS html"), new_folder(spark, "test-warc"), 2, "x")
     assert none.count() == 0
