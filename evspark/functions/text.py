@@ -24,7 +24,6 @@ SECRETS = [
     (r"sk-[A-Za-z0-9_\-]{6,}", "sk-***"),
     (r"(?i)(bearer\s+)[A-Za-z0-9._\-]{8,}", "$1***"),
     (r"(?i)(api[_-]?key\"?\s*[:=]\s*\"?)[A-Za-z0-9._\-]{6,}", "$1***"),
-    (r"(?i)(dashscope[_-]?api[_-]?key\"?\s*[:=]\s*\"?)[A-Za-z0-9._\-]{6,}", "$1***"),
 ]
 
 

@@ -72,7 +72,9 @@ def classify_sentences(answers: DataFrame, id_col: str = "answer_id", text_col:
     parts = F.when(whole, F.array("line")).otherwise(fx.split_sentences(fx.trimmed("line")))
     each = lines.select(id_col, "line_no", F.regexp_extract("line", r"^\s*", 0).alias("indent"), whole.alias("whole"), F.posexplode(parts).alias("no", "sentence"))
     kind = F.when(F.col("whole"), "line").otherwise(sentence_kind(F.col("sentence")))
-    return each.select(id_col, "line_no", F.when(F.col("whole"), "").otherwise(F.col("indent")).alias("indent"), "no", "sentence", kind.alias("kind"), parse_citation_ids("sentence").alias("ids"))
+    # one row each through a generator, below which no filter goes: what is tested of a sentence is made once
+    made = F.inline_outer(F.array(F.struct(kind.alias("kind"), parse_citation_ids("sentence").alias("ids"))))
+    return each.select(id_col, "line_no", F.when(F.col("whole"), "").otherwise(F.col("indent")).alias("indent"), "no", "sentence", made)
 
 
 def check_citations(answers: DataFrame, blocks: DataFrame, id_col: str = "answer_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +134,7 @@ def anchors(question: Column) -> tuple[Column, Column, Column]:
     scrubbed = F.aggregate(models, question, lambda t, m: F.replace(t, m, F.lit(" ")))
     numbers = F.array_distinct(F.transform(fx.found(scrubbed, NUMBER), F.trim))
     fragments = F.flatten(F.transform(models, lambda m: F.split(F.lower(m), r"[-\s]")))
-    terms = F.array_distinct(F.filter(fx.tokenize(question), lambda t: (F.length(t) >= 2) & ~F.array_contains(fragments, t)))
+    terms = F.array_except(F.filter(fx.tokenize(question), lambda t: F.length(t) >= 2), fragments)  # each once
     return models, numbers, terms
 
 

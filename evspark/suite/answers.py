@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evspark.functions import text as fx
-from evspark.operators import citations, evaluate, logs
+from evspark.operators import citations, evaluate, lexical, logs
 from evspark.suite.ingest import BIGRAMS_SQL, SPLIT_SQL, TOKENS_SQL
 from evspark.suite.inputs import documents, table
 
 
 def _answers(s, sf):
-    """Short documents as answers, two of three sentences with a citation."""
-    d = documents(s, sf).filter("n_chars < 1200")
+    """Documents as answers, two of three sentences with a citation."""
+    d = documents(s, sf)
     cited = lambda x, i: F.when((i + 1) % 3 != 0, F.regexp_replace(x, "。$", F.concat(F.lit(" ["), (1 + (i + 1) % 6).cast("string"), F.lit("]。")))).otherwise(x)
     return d.select(F.col("doc_id").alias("answer_id"), F.array_join(F.transform(fx.split_sentences(F.regexp_replace("text", r"\.", "。")), cited), "").alias("text"))
 
 
 def _blocks(s, sf):
-    """Four windows of the same documents as their evidence."""
-    d = documents(s, sf).filter("n_chars < 1200")
-    return d.select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("n"), "text", "lang").withColumn("text", F.substring(F.col("text"), F.col("n").cast("int") * 150 - 149, F.lit(150)))
+    """The same documents, in four parts, as their evidence."""
+    size = F.expr("(length(text) + 3) div 4").cast("int")
+    d = documents(s, sf).select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("n"), "text", "lang")
+    return d.withColumn("text", F.substring(F.col("text"), (F.col("n").cast("int") - 1) * size + 1, size))
 
 
-ANSWERS = f"""sp AS (SELECT doc_id, {SPLIT_SQL.format("replace(text, '.', '。')")} AS s FROM documents WHERE n_chars < 1200),
+ANSWERS = f"""sp AS (SELECT doc_id, {SPLIT_SQL.format("replace(text, '.', '。')")} AS s FROM documents),
 ans AS (SELECT doc_id AS answer_id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i % 3 <> 0 THEN regexp_replace(x, '。$', ' [' || (1 + i % 6) || ']。') ELSE x END), '') AS text FROM sp),
-blk AS (SELECT doc_id AS answer_id, n, substr(text, n * 150 - 149, 150) AS text, lang FROM documents, range(1, 5) t(n) WHERE n_chars < 1200),
+blk AS (SELECT doc_id AS answer_id, n, substr(text, (n - 1) * ((length(text) + 3) // 4) + 1, (length(text) + 3) // 4) AS text, lang FROM documents, range(1, 5) t(n)),
 ln AS (SELECT answer_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM ans),
 lw AS (SELECT *, regexp_matches(line, '^\\s*\\|.*\\|\\s*$') OR regexp_matches(line, '^\\s*[-*_]{{3,}}\\s*$') OR regexp_matches(line, '^\\s*#{{1,6}}\\s') OR regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '' AS whole FROM ln),
 ls AS (SELECT *, CASE WHEN whole THEN [line] ELSE {SPLIT_SQL.format("regexp_replace(line, '^\\s+|\\s+$', '', 'g')")} END AS s FROM lw),
@@ -37,7 +38,8 @@ ck AS (SELECT answer_id, count(*) FILTER (kind = 'claim' OR (kind <> 'line' AND
 us AS (SELECT answer_id, text, list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT)) AS used FROM ans)"""
 BARE = f"""{ANSWERS}, bare AS (SELECT *, {BIGRAMS_SQL.format("regexp_replace(lower(sentence), '[^\\p{L}\\p{N}]+', '', 'g')")} AS pairs FROM kd WHERE kind = 'claim' AND len(ids) = 0),
 bb AS (SELECT answer_id, n, {BIGRAMS_SQL.format("regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')")} AS pairs FROM blk),
-sup AS (SELECT bare.answer_id, line_no, no, n, len(list_intersect(bare.pairs, bb.pairs)) / len(bare.pairs) AS score FROM bare JOIN bb ON bare.answer_id = bb.answer_id),
+sp2 AS (SELECT answer_id, line_no, no, len(pairs) AS size, unnest(pairs) AS pair FROM bare), bp AS (SELECT answer_id, n, unnest(pairs) AS pair FROM bb),
+sup AS (SELECT sp2.answer_id, line_no, no, n, count(*) / any_value(size) AS score FROM sp2 JOIN bp ON sp2.answer_id = bp.answer_id AND sp2.pair = bp.pair GROUP BY ALL),
 best AS (SELECT answer_id, line_no, no, n, round(score, 6) AS score FROM sup WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY answer_id, line_no, no ORDER BY score DESC, n) = 1)"""
 
 
@@ -51,13 +53,20 @@ def _best(s, sf):
     return citations.best_support(bare, _blocks(s, sf))
 
 
+def _anchors(s, sf):
+    """Documents as questions, their second parts as evidence, and the words of another table as the corpus's."""
+    words = lexical.build_postings(table(s, sf, "conversations").withColumn("id", F.struct("conv_id", "turn")), id_col="id")
+    questions = documents(s, sf).select(F.col("doc_id").alias("query_id"), "text")
+    return citations.anchor_check(questions, _blocks(s, sf).filter("n = 2").withColumnRenamed("answer_id", "query_id"), words.select("term"))
+
+
 def _log(s, sf):
     c = table(s, sf, "conversations").filter("role = 'user'")
     time = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60)
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("s"), F.col("conv_id") % 40).alias("session_id"), F.substring("text", 1, 12).alias("question"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.upper(F.substring(F.regexp_replace("text", "ß", "s"), 1, 40))).alias("answer"), F.when(F.col("turn") % 2 == 0, "OK").otherwise("NOT_COVERED").alias("status"), time.alias("created_at"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("s"), F.col("conv_id") % 40).alias("session_id"), F.col("text").alias("question"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.upper(F.regexp_replace("text", "ß", "s"))).alias("answer"), F.when(F.col("turn") % 2 == 0, "OK").otherwise("NOT_COVERED").alias("status"), time.alias("created_at"))
 
 
-LOG = """lg AS (SELECT conv_id * 100 + turn AS id, 's' || (conv_id % 40) AS session_id, substr(text, 1, 12) AS question, CASE WHEN turn % 3 = 0 THEN '' ELSE upper(substr(replace(text, 'ß', 's'), 1, 40)) END AS answer, CASE WHEN turn % 2 = 0 THEN 'OK' ELSE 'NOT_COVERED' END AS status,
+LOG = """lg AS (SELECT conv_id * 100 + turn AS id, 's' || (conv_id % 40) AS session_id, text AS question, CASE WHEN turn % 3 = 0 THEN '' ELSE upper(replace(text, 'ß', 's')) END AS answer, CASE WHEN turn % 2 = 0 THEN 'OK' ELSE 'NOT_COVERED' END AS status,
   TIMESTAMP '2024-01-01' + to_minutes(conv_id::INT) AS created_at FROM conversations WHERE role = 'user')"""
 STATS = LOG + r""",
 ky AS (SELECT *, substr(regexp_replace(lower(question), '[\s，。？！、；：,.?!;:"''（）()\[\]【】《》<>「」『』~～\-—_]+', '', 'g'), 1, 120) AS question_key FROM lg),
@@ -124,12 +133,13 @@ QUERIES = {
       o AS (SELECT kd.*, b.n, kind = 'claim' AND len(ids) = 0 AS bare, CASE WHEN NOT (kind = 'claim' AND len(ids) = 0) THEN sentence WHEN b.n IS NOT NULL THEN regexp_replace(sentence, '([。！？!?；;]*)$', ' [' || b.n || ']\\1') END AS t FROM kd LEFT JOIN best b USING (answer_id, line_no, no)),
       l AS (SELECT answer_id, line_no, string_agg(t, '' ORDER BY no) AS line, count(*) FILTER (bare AND n IS NOT NULL) AS attributed, count(*) FILTER (kind = 'claim' AND len(ids) > 0) AS kept, count(*) FILTER (bare AND n IS NULL) AS dropped FROM o GROUP BY 1, 2)
       SELECT answer_id, sum(attributed)::BIGINT AS attributed, sum(kept)::BIGINT AS kept, sum(dropped)::BIGINT AS dropped, md5(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_no), ''), '^\\s+|\\s+$', '', 'g')) AS md5 FROM l GROUP BY 1"""),
-    "c8_anchor_check": (lambda s, sf: citations.anchor_check(documents(s, sf).filter("n_chars < 1200").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("text")), _blocks(s, sf).filter("n = 2").withColumnRenamed("answer_id", "query_id")).select("query_id", "term_coverage", F.size("missing_terms").alias("missing"), "ok"), f"""
-      WITH {ANSWERS}, q AS (SELECT doc_id AS query_id, substr(text, 1, 120) AS text FROM documents WHERE n_chars < 1200),
+    "c8_anchor_check": (lambda s, sf: _anchors(s, sf).select("query_id", "term_coverage", F.size("missing_terms").alias("missing"), F.size("corpus_missing").alias("corpus_missing"), "ok"), f"""
+      WITH {ANSWERS}, q AS (SELECT doc_id AS query_id, text FROM documents), voc AS (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS term FROM conversations),
       m AS (SELECT query_id, text, regexp_extract_all(text, '[A-Za-z]{{1,6}}[-\\s]?\\d{{2,4}}') AS models FROM q),
       t AS (SELECT query_id, text, models, list_filter(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2)), lambda x: NOT list_contains(flatten(list_transform(models, lambda z: string_split_regex(lower(z), '[-\\s]'))), x)) AS terms FROM m),
-      h AS (SELECT t.*, lower(blk.text) AS hay FROM t JOIN blk ON answer_id = query_id AND n = 2), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone FROM h)
-      SELECT query_id, round(CASE WHEN len(terms) = 0 THEN 1 ELSE 1 - len(gone) / len(terms) END, 4) AS term_coverage, len(gone) AS missing, (len(terms) = 0 OR 1 - len(gone) / len(terms) >= 0.5) AND len(models) = 0 AS ok FROM r"""),
+      gn AS (SELECT query_id, count(*) AS lost FROM (SELECT query_id, unnest(terms) AS term FROM t) u ANTI JOIN voc ON u.term = voc.term GROUP BY 1),
+      h AS (SELECT t.*, lower(blk.text) AS hay FROM t JOIN blk ON answer_id = query_id AND n = 2), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone, coalesce(lost, 0) AS lost FROM h LEFT JOIN gn USING (query_id))
+      SELECT query_id, round(CASE WHEN len(terms) = 0 THEN 1 ELSE 1 - len(gone) / len(terms) END, 4) AS term_coverage, len(gone) AS missing, lost AS corpus_missing, (len(terms) = 0 OR (1 - len(gone) / len(terms) >= 0.5 AND lost / len(terms) <= 0.4)) AND len(list_filter(models, lambda x: NOT contains(hay, lower(x)))) = 0 AS ok FROM r"""),
     "c9_authority": (lambda s, sf: citations.authority(documents(s, sf).select((F.col("doc_id") % 30).alias("query_id"), F.col("lang").alias("category"), F.col("source").alias("source_type")), "query_id", {"en": 0.7, "de": 0.95, "src3": 0.99}), """
       SELECT doc_id % 30 AS query_id, max(CASE WHEN lang = 'en' THEN 0.7 WHEN lang = 'de' THEN 0.95 WHEN source = 'src3' THEN 0.99 ELSE 0.8 END)::DOUBLE AS authority FROM documents GROUP BY 1"""),
     "c10_confidence": (lambda s, sf: _items(s, sf).select("id", citations.confidence(F.col("rr"), F.col("coverage"), F.col("ndcg")).alias("confidence")).withColumn("label", citations.confidence_label(F.col("confidence"))), f"""
@@ -137,7 +147,7 @@ QUERIES = {
     "c11_refusal": (lambda s, sf: citations.refusal(_items(s, sf).select("id", F.when(F.col("id") % 29 == 0, " ").otherwise("a").alias("text"), F.col("claims").alias("n_blocks"), F.when(F.col("citations") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("used"), F.when(F.col("fakes") > 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")).alias("fake"), F.col("claims").alias("total_claims"), "coverage", F.col("rr").alias("top"), F.col("ndcg").alias("confidence"), (F.col("id") % 6 > 0).alias("anchors_ok"), (F.col("id") % 4 == 0).alias("followup"), F.array().cast("array<string>").alias("missing_models"))).select("id", "status", "confidence", F.size("reasons").alias("n_reasons")), f"""
       WITH {ITEMS}, n AS (SELECT id, ndcg, (claims = 0)::INT + (id % 29 = 0)::INT + (claims > 0 AND citations = 0)::INT + (fakes > 0)::INT + (rr < 0.5)::INT + (id % 6 = 0)::INT + (claims > 0 AND coverage < CASE WHEN ndcg < 0.8 THEN 0.8 ELSE 1 END)::INT AS n FROM it)
       SELECT id, CASE WHEN n > 0 THEN 'NOT_COVERED' ELSE 'OK' END AS status, CASE WHEN n > 0 THEN least(ndcg, 0.59) ELSE ndcg END AS confidence, n + (id % 4 = 0 AND n > 0)::INT AS n_reasons FROM n"""),
-    "c12_extractive_answer": (lambda s, sf: citations.extractive_answer(_blocks(s, sf).select(F.col("answer_id").alias("query_id"), "n", F.concat(F.lit("["), F.col("n"), F.lit("] d")).alias("header"), F.regexp_replace("text", r"\.", "。").alias("text")), documents(s, sf).filter("n_chars < 1200").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 30).alias("text"))), None),
+    "c12_extractive_answer": (lambda s, sf: citations.extractive_answer(_blocks(s, sf).select(F.col("answer_id").alias("query_id"), "n", F.concat(F.lit("["), F.col("n"), F.lit("] d")).alias("header"), F.regexp_replace("text", r"\.", "。").alias("text")), documents(s, sf).select(F.col("doc_id").alias("query_id"), F.substring_index("text", ".", 1).alias("text"))), None),
     "c13_strip_refusal_header": (lambda s, sf: documents(s, sf).select("doc_id", F.md5(citations.strip_refusal_header(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("知识库未覆盖该问题，不给出具体操作步骤。\n"), F.col("text"))).otherwise(F.col("text")))).alias("md5")), r"""
       SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END) AS md5 FROM documents"""),
     "c14_notices": (lambda s, sf: documents(s, sf).select("doc_id", F.md5(citations.notices(F.when(F.col("doc_id") % 2 == 0, "OK").otherwise("NOT_COVERED"), F.col("text"), ["nde", "que "], F.col("doc_id") % 4, F.col("doc_id") % 8 > 3, "安全提示", "图片未识别")).alias("md5")), """
@@ -154,8 +164,8 @@ QUERIES = {
     "l10_request_gate": (lambda s, sf: table(s, sf, "events").select("event_id", logs.request_gate(F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.repeat(F.lit("q"), (F.col("event_id") % 2500).cast("int") + 1)), F.col("event_id") % 5, F.when(F.col("event_type") == "error", "text/plain").otherwise("image/png"), F.col("value") * 100000, F.col("user_id") * 10, F.col("user_id") * 20).alias("reject"), logs.target_size(F.col("user_id") * 10 + 10, F.col("user_id") * 20 + 10).alias("t")).select("event_id", "reject", "t.width", "t.height"), """
       SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'empty question' WHEN event_id % 2500 + 1 > 2000 THEN 'question too long' WHEN event_id % 5 > 3 THEN 'too many images' WHEN event_id % 5 > 0 AND event_type = 'error' THEN 'image type' WHEN event_id % 5 > 0 AND value * 100000 > 5242880 THEN 'image too large' WHEN event_id % 5 > 0 AND user_id * 10 < 200 THEN 'image too small' END AS reject,
         greatest(1, floor((user_id * 10 + 10) * least(1, 1600 / (user_id * 20 + 10)::DOUBLE)))::BIGINT AS width, greatest(1, floor((user_id * 20 + 10) * least(1, 1600 / (user_id * 20 + 10)::DOUBLE)))::BIGINT AS height FROM events"""),
-    "e1_point_hit": (lambda s, sf: _blocks(s, sf).filter("n < 3").join(documents(s, sf).select(F.col("doc_id").alias("answer_id"), F.substring("text", 100, 80).alias("point")), "answer_id").select("answer_id", "n", evaluate.point_hit(F.col("point"), F.col("text")).alias("hit")), rf"""
-      WITH b AS (SELECT doc_id AS answer_id, n, regexp_replace(lower(substr(text, n * 150 - 149, 150)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t, regexp_replace(lower(substr(text, 100, 80)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS p FROM documents, range(1, 3) r(n) WHERE n_chars < 1200),
+    "e1_point_hit": (lambda s, sf: _blocks(s, sf).join(documents(s, sf).select(F.col("doc_id").alias("answer_id"), F.substring_index("text", ".", 1).alias("point")), "answer_id").select("answer_id", "n", evaluate.point_hit(F.col("point"), F.col("text")).alias("hit")), rf"""
+      WITH b AS (SELECT doc_id AS answer_id, n, regexp_replace(lower(substr(text, (n - 1) * ((length(text) + 3) // 4) + 1, (length(text) + 3) // 4)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t, regexp_replace(lower(split_part(text, '.', 1)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS p FROM documents, range(1, 5) r(n)),
       g AS (SELECT *, {BIGRAMS_SQL.format('t')} AS tp, {BIGRAMS_SQL.format('p')} AS pp FROM b) SELECT answer_id, n, CASE WHEN p = '' THEN false ELSE contains(t, p) OR len(list_intersect(pp, tp)) / len(pp) >= 0.5 END AS hit FROM g"""),
     "e2_retrieval_metrics": (_metrics, None),
     "e4_summarize_eval": (lambda s, sf: evaluate.summarize_eval(_items(s, sf)), f"WITH {ITEMS} SELECT * FROM sm"),

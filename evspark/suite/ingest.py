@@ -9,7 +9,7 @@ from evspark.operators import ingest
 from evspark.suite.inputs import CHUNKS, LINES, MARKED, chunks, documents, marked_lines, table
 
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in fx.STOP_WORDS if w.isascii()) + "))"
-BIGRAMS_SQL = "CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) = 1 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i::BIGINT, 2))) END"
+BIGRAMS_SQL = "CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) = 1 THEN [{0}] ELSE list_distinct(list_transform(list_zip(string_split({0}, ''), string_split({0}, '')[2:], true), lambda x: x[1] || x[2])) END"
 SPLIT_SQL = "list_filter(list_transform(string_split(regexp_replace({0}, '([。！？!?；;])', '\\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(x, '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g')), lambda x: x <> '')"
 
 
@@ -29,7 +29,7 @@ def _guard(spark, sf):
 
 def _upsert(spark, sf):
     d = documents(spark, sf).select("doc_id", "text")
-    return ingest.upsert_chunks(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0").withColumn("text", F.reverse(F.substring("text", 1, 20))), "doc_id").select("doc_id", F.substring("text", 1, 20).alias("head"))
+    return ingest.upsert_chunks(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0").withColumn("text", F.reverse("text")), "doc_id").select("doc_id", F.md5("text").alias("md5"))
 
 
 def _front(spark, sf):
@@ -42,8 +42,8 @@ QUERIES = {
       CASE WHEN doc_id % 2 = 0 THEN 'category' ELSE 'version,category' END AS missing, md5(text) AS body_md5 FROM documents"""),
     "s5_manifest": (lambda s, sf: ingest.manifest(documents(s, sf), "hash", "512", 512, "source").withColumn("documents", F.array_join("documents", ",")), """
       SELECT 'hash' AS provider, '512' AS model, 'hash:512' AS signature, 512 AS dim, count(*) AS n_chunks, array_to_string(list_sort(list(DISTINCT source)), ',') AS documents FROM documents"""),
-    "s7_upsert_chunks": (_upsert, """SELECT doc_id, substr(text, 1, 20) AS head FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
-      UNION ALL SELECT doc_id, reverse(substr(text, 1, 20)) FROM documents WHERE doc_id % 3 = 0"""),
+    "s7_upsert_chunks": (_upsert, """SELECT doc_id, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
+      UNION ALL SELECT doc_id, md5(reverse(text)) FROM documents WHERE doc_id % 3 = 0"""),
     "s8_delete_documents": (lambda s, sf: ingest.delete_documents(documents(s, sf).select("doc_id", "lang"), table(s, sf, "labels").filter("toxic = 1")), "SELECT doc_id, lang FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)"),
     "s9_rebuild_report": (lambda s, sf: ingest.rebuild_report(documents(s, sf), ingest.chunk_fixed(documents(s, sf), 800, 120)), f"""WITH {CHUNKS}
       SELECT d.doc_id, count(chunk_id) AS n_chunks, CASE WHEN count(chunk_id) > 0 THEN 'ok' ELSE 'failed' END AS status FROM documents d LEFT JOIN chunks USING (doc_id) GROUP BY 1"""),
@@ -88,8 +88,8 @@ QUERIES = {
       SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, round(avg(length(text)), 1) AS avg_chars, round(avg(k), 1) AS avg_tokens, max(k) AS max_tokens FROM t"""),
     "t1_tokenize": (lambda s, sf: documents(s, sf).select("doc_id", F.explode(fx.tokenize("text")).alias("token")).groupBy("doc_id", "token").count().withColumnRenamed("count", "n"), f"""
       SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS token FROM documents) GROUP BY ALL"""),
-    "t2_char_bigrams": (lambda s, sf: documents(s, sf).select("doc_id", F.array_join(F.sort_array(fx.char_bigrams(F.substring("text", 1, 400))), "|").alias("bigrams")), rf"""
-      WITH n AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 400)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents) SELECT doc_id, array_to_string(list_sort({BIGRAMS_SQL.format('t')}), '|') AS bigrams FROM n"""),
+    "t2_char_bigrams": (lambda s, sf: documents(s, sf).select("doc_id", F.array_join(F.sort_array(fx.char_bigrams("text")), "|").alias("bigrams")), rf"""
+      WITH n AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents) SELECT doc_id, array_to_string(list_sort({BIGRAMS_SQL.format('t')}), '|') AS bigrams FROM n"""),
     "t5_l2_normalize": (lambda s, sf: table(s, sf, "embeddings").select("vec_id", F.transform(fx.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("v")), """
       SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings"""),
     "l1_normalize_question": (lambda s, sf: table(s, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", fx.normalize_question("text").alias("key")), r"""

@@ -29,11 +29,11 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _vec(s, sf):
     v = table(s, sf, "embeddings")
-    return v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v
+    return v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v
 
 
 VEC = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
-vs AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(q.v, u.v), 6) AS score FROM u q, u WHERE q.vec_id < 20),
+vs AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(q.v, u.v), 6) AS score FROM u q, u WHERE q.vec_id % 100 = 0),
 vsr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
 
 
@@ -65,12 +65,12 @@ f AS (SELECT query_id, chunk_id, round(sum(p), 9) AS score FROM (SELECT query_id
 def _candidates(s, sf):
     hits = _bm25(s, sf, 20).withColumnRenamed("score", "fused")
     q = _queries(s, sf).withColumnRenamed("text", "query")
-    d = documents(s, sf).select("doc_id", F.substring("text", 1, 300).alias("text"), F.col("source").alias("section"), F.col("lang").alias("heading"))
+    d = documents(s, sf).select("doc_id", "text", F.col("source").alias("section"), F.col("lang").alias("heading"))
     return hits.join(q, "query_id").join(d, "doc_id")
 
 
 SCORE = f"""{BM25},
-cand AS (SELECT query_id, doc_id, score AS fused, {TOKENS_SQL.format('b.text')} AS q, {TOKENS_SQL.format("source || ' ' || d.lang || ' ' || substr(d.text, 1, 300)")} AS body, {TOKENS_SQL.format("d.lang || ' ' || source")} AS head
+cand AS (SELECT query_id, doc_id, score AS fused, {TOKENS_SQL.format('b.text')} AS q, {TOKENS_SQL.format("source || ' ' || d.lang || ' ' || d.text")} AS body, {TOKENS_SQL.format("d.lang || ' ' || source")} AS head
   FROM bmr JOIN benchmark b ON query_id = item_id JOIN documents d USING (doc_id) WHERE rank <= 20),
 sc AS (SELECT query_id, doc_id, fused, round(CASE WHEN len(q) = 0 THEN 0 ELSE 0.55 * len(list_intersect(q, body)) / len(list_distinct(q)) + 0.15 * len(list_intersect(q, head)) / len(list_distinct(q)) END, 6) AS score FROM cand)"""
 
@@ -81,14 +81,14 @@ def _rerank(s, sf):
 
 
 def _evidence(s, sf):
-    c = chunks(s, sf).filter("index < 6")
-    w = (F.col("doc_id") % 25).alias("query_id")
+    c = chunks(s, sf)
+    w = F.expr("doc_id div 8").alias("query_id")
     from pyspark.sql import Window
 
     return c.select("*", w).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("section", F.desc("doc_id"), "index"))).withColumn("source_type", F.when(F.col("doc_id") % 3 == 0, "ticket").otherwise("manual"))
 
 
-EVIDENCE = f"""{CHUNKS}, ev AS (SELECT *, doc_id % 25 AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'ticket' ELSE 'manual' END AS source_type, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY section, doc_id DESC, index) AS pos FROM chunks WHERE index < 6),
+EVIDENCE = f"""{CHUNKS}, ev AS (SELECT *, doc_id // 8 AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'ticket' ELSE 'manual' END AS source_type, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY section, doc_id DESC, index) AS pos FROM chunks),
 k AS (SELECT *, min(pos) OVER (PARTITION BY query_id, doc_title, section) AS first FROM ev),
 nw AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_title, section ORDER BY coalesce(substr(version, 2)::INT, 0) DESC, pos) AS r FROM k),
 newer AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY first) AS pos FROM nw WHERE r = 1)"""
@@ -105,8 +105,9 @@ def _followups(s, sf):
 
 
 def _tickets(s, sf):
-    d = documents(s, sf).filter("n_chars < 1500")
-    t = d.select(F.concat(F.lit("T"), F.col("doc_id")).alias("ticket_no"), F.col("source").alias("device_model"), F.substring("text", 1, 200).alias("symptom"), F.substring("text", 201, 200).alias("root_cause"), F.lit("").alias("action"), F.lit("").alias("conclusion"))
+    half = F.expr("length(text) div 2").cast("int")
+    d = documents(s, sf)
+    t = d.select(F.concat(F.lit("T"), F.col("doc_id")).alias("ticket_no"), F.col("source").alias("device_model"), F.substring(F.col("text"), F.lit(1), half).alias("symptom"), F.substring(F.col("text"), half + 1, F.length("text")).alias("root_cause"), F.lit("").alias("action"), F.lit("").alias("conclusion"))
     return retrieve.ticket_search(_queries(s, sf).withColumn("device_model", F.concat(F.lit("src"), F.col("query_id") % 20)), t)
 
 
@@ -139,9 +140,10 @@ QUERIES = {
       SELECT event_id, CASE WHEN user_id % 3 < 2 AND event_id % 4 < 3 AND (value / 200 < 0.5 OR event_type = 'error') THEN 'AUGMENT' ELSE 'GENERATE' END AS next FROM events"""),
     "r19_ticket_search": (_tickets, f"""
       WITH q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS device, list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2)) AS t FROM benchmark),
-      k AS (SELECT 'T' || doc_id AS ticket_no, source, list_distinct(list_filter({TOKENS_SQL.format("substr(text, 1, 200) || ' ' || substr(text, 201, 200)")}, lambda x: length(x) >= 2)) AS t FROM documents WHERE n_chars < 1500)
-      SELECT query_id, ticket_no, round(len(list_intersect(q.t, k.t)) / len(q.t) + CASE WHEN device = source THEN 0.5 ELSE 0 END, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticket_no) AS rank
-      FROM q, k WHERE len(list_intersect(q.t, k.t)) > 0 QUALIFY rank <= 3"""),
+      k AS (SELECT 'T' || doc_id AS ticket_no, source, list_distinct(list_filter({TOKENS_SQL.format("substr(text, 1, length(text) // 2) || ' ' || substr(text, length(text) // 2 + 1)")}, lambda x: length(x) >= 2)) AS t FROM documents),
+      h AS (SELECT query_id, ticket_no, any_value(device) AS device, any_value(source) AS source, any_value(n) AS n, count(*) AS hits FROM (SELECT query_id, device, len(t) AS n, unnest(t) AS term FROM q) JOIN (SELECT ticket_no, source, unnest(t) AS term FROM k) USING (term) GROUP BY 1, 2)
+      SELECT query_id, ticket_no, round(hits / n + CASE WHEN device = source THEN 0.5 ELSE 0 END, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(hits / n + CASE WHEN device = source THEN 0.5 ELSE 0 END, 4) DESC, ticket_no) AS rank
+      FROM h QUALIFY rank <= 3"""),
     "t3_hashing_embed": (_embed, r"""
       WITH f AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS f FROM documents),
       w AS (SELECT doc_id, md5(f) AS h, 1 + ln(count(*)) AS w FROM f GROUP BY doc_id, f),

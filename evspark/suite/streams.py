@@ -21,7 +21,7 @@ def _fresh(prefix: str) -> str:
 
 
 def _stats(s, sf):
-    c = _stream(s, sf, "conversations").filter("role = 'user'").select(F.substring("text", 1, 12).alias("question"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60).alias("created_at"))
+    c = _stream(s, sf, "conversations").filter("role = 'user'").select(F.col("text").alias("question"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60).alias("created_at"))
     return tables.run_to_table(tables.stream_question_stats(c), _fresh("stats"), "complete")
 
 
@@ -37,7 +37,7 @@ def _status(s, sf):
 
 
 QUERIES = {
-    "x1_stream_question_stats": (_stats, r"""WITH k AS (SELECT substr(regexp_replace(lower(substr(text, 1, 12)), '[\s，。？！、；：,.?!;:"''（）()\[\]【】《》<>「」『』~～\-—_]+', '', 'g'), 1, 120) AS question_key, TIMESTAMP '2024-01-01' + to_minutes(conv_id::INT) AS t FROM conversations WHERE role = 'user')
+    "x1_stream_question_stats": (_stats, r"""WITH k AS (SELECT substr(regexp_replace(lower(text), '[\s，。？！、；：,.?!;:"''（）()\[\]【】《》<>「」『』~～\-—_]+', '', 'g'), 1, 120) AS question_key, TIMESTAMP '2024-01-01' + to_minutes(conv_id::INT) AS t FROM conversations WHERE role = 'user')
       SELECT question_key, count(*) AS ask_count, min(t) AS first_asked_at, max(t) AS last_asked_at FROM k WHERE question_key <> '' GROUP BY 1"""),
     "x3_stream_order_status": (_status, None),
     "x4_stream_latency": (_latency, "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
