@@ -130,9 +130,9 @@ def enforce_citations(answers: DataFrame, blocks: DataFrame, threshold: float =
 
 def anchors(question: Column) -> tuple[Column, Column, Column]:
     """Device models, numbers with units, and content terms (of two characters or more) of a question."""
-    models = F.array_distinct(F.transform(fx.found(question, MODEL), F.trim))
+    models = F.array_distinct(F.transform(fx.found(question, MODEL), lambda x: F.trim(x)))
     scrubbed = F.aggregate(models, question, lambda t, m: F.replace(t, m, F.lit(" ")))
-    numbers = F.array_distinct(F.transform(fx.found(scrubbed, NUMBER), F.trim))
+    numbers = F.array_distinct(F.transform(fx.found(scrubbed, NUMBER), lambda x: F.trim(x)))
     fragments = F.flatten(F.transform(models, lambda m: F.split(F.lower(m), r"[-\s]")))
     terms = F.array_except(F.filter(fx.tokenize(question), lambda t: F.length(t) >= 2), fragments)  # each once
     return models, numbers, terms
