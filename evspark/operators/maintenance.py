@@ -91,18 +91,6 @@ def due_calc(basis: Column, cycle: Column, meter: Column, since: Column, now: Co
     return F.struct(F.round(remaining, 4).alias("remaining"), due.alias("due_at"), F.when(remaining <= 0, "due").otherwise("pending").alias("status"))
 
 
-def generate_plans(devices: DataFrame, chunks: DataFrame, top_k: int = 20, generic: str = "通用", id_col: str = "chunk_id") -> DataFrame:
-    """device_model, item, basis, value, raw, chunk: for each device, the cycles in its own chunks and the generic ones, once for each clause, basis and value, the first `top_k`. `devices`: device_model; `chunks`: chunk, device_model, text."""
-    sentences = cycle_sentences(chunks, id_col)
-    found = cycles_in_clauses(extract_cycles(sentences, id_col), clauses(sentences, id_col), id_col).join(chunks.select(id_col, F.col("device_model").alias("__of")), id_col)
-    own = devices.join(found, F.col("device_model") == F.col("__of")).unionByName(devices.join(found.filter(F.col("__of") == generic), F.col("device_model") != F.col("__of")))
-    item = F.trim(F.regexp_replace(F.substring(F.col("clause"), F.lit(1), F.col("pos") - F.col("start")), f"({'|'.join(CYCLE_MARKS)}).*$", ""))
-    rows = own.withColumn("item", F.when(item == "", F.substring("clause", 1, 24)).otherwise(item))
-    once = rows.withColumn("__n", F.row_number().over(Window.partitionBy("device_model", "item", "basis", "value").orderBy(id_col, "no", "pos"))).filter("__n = 1")
-    ranked = once.withColumn("__r", F.row_number().over(Window.partitionBy("device_model").orderBy(id_col, "no", "pos"))).filter(F.col("__r") <= top_k)
-    return ranked.select("device_model", "item", "basis", "value", "raw", id_col)
-
-
 def list_plans(plans: DataFrame, device: str | None = None, status: str | None = None) -> DataFrame:
     """Plans in order of what remains."""
     where = (F.lit(True) if device is None else F.col("device_model") == device) & (F.lit(True) if status is None else F.col("status") == status)

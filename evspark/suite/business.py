@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evspark.operators import maintenance, parts, training
+from evspark.operators import maintenance, parts, plan_items, training
 from evspark.suite.inputs import table
 
 
@@ -93,6 +93,39 @@ def _certificates(s, sf):
     return a.select(F.col("attempt_id").alias("id"), "trainee", F.when(F.col("attempt_id") % 11 == 0, "revoked").otherwise("valid").alias("status"), (F.col("issued_at") + F.expr("INTERVAL 365 DAYS")).alias("expires_at"))
 
 
+def _manual(s, sf):
+    """Sentences of manuals with listed items and others, each with one or two cycles."""
+    n = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 6
+    text = (
+        F.when(kind == 0, F.concat(F.lit("排气过滤器每 "), n, F.lit(" 小时更换；消音器每 8000 小时检查。")))
+        .when(kind == 1, F.concat(F.lit("MFC 每 "), n, F.lit(" 年校准。")))
+        .when(kind == 2, F.concat(F.lit("换油周期为 "), n, F.lit("00 小时或每 12 个月，以先到者为准。")))
+        .when(kind == 3, F.concat(F.lit("真空泵，轴封（外侧）每 "), n, F.lit(" 个月检查。")))
+        .when(kind == 4, F.concat(F.lit("绝缘手套每 "), n, F.lit(" 个月试验。")))
+        .otherwise(F.concat(F.lit("压力表：每 "), n, F.lit(" 天校验；安全带每 6 个月更换。")))
+    )
+    scope = F.when(F.col("p_partkey") % 7 == 0, "通用").otherwise(F.col("p_brand"))
+    return table(s, sf, "part").select(F.col("p_partkey").alias("chunk_id"), scope.alias("device_model"), text.alias("text"))
+
+
+MANUAL = """pp AS (SELECT p_partkey AS chunk_id, CASE WHEN p_partkey % 7 = 0 THEN '通用' ELSE p_brand END AS scope, p_partkey % 6 AS k, p_size AS x FROM part),
+cy AS (
+  SELECT chunk_id, scope, 0 AS clause_no, 1 AS rank, '干泵排气过滤器更换' AS listed, '排气过滤器' AS item, '耗材更换' AS kind, 'hours' AS basis, x::DOUBLE AS value, x || ' 小时' AS raw, '' AS more, 1 AS main FROM pp WHERE k = 0
+  UNION ALL SELECT chunk_id, scope, 1, 7, '消音器检查', '消音器', 'PM 项', 'hours', 8000, '8000 小时', '', 1 FROM pp WHERE k = 0
+  UNION ALL SELECT chunk_id, scope, 0, 9, '质量流量控制器（MFC）校准', 'MFC校准', '校准', 'days', x * 365, x || ' 年', '年=365', 1 FROM pp WHERE k = 1
+  UNION ALL SELECT chunk_id, scope, 0, 2, '罗茨泵换油', '换油周期为 ' || x || '00 小时或每 12 个月', '耗材更换', 'hours', x * 100, x || '00 小时', '', 1 FROM pp WHERE k = 2
+  UNION ALL SELECT chunk_id, scope, 0, NULL, NULL, '换油周期为 ' || x || '00 小时或每 12 个月', '耗材更换', 'days', 360, '12 个月', '个月=30', 0 FROM pp WHERE k = 2
+  UNION ALL SELECT chunk_id, scope, 0, 15, NULL, CASE WHEN x < 10 THEN '轴封检查' ELSE '轴封' END, 'PM 项', 'days', x * 30, x || ' 个月', '个月=30', 1 FROM pp WHERE k = 3
+  UNION ALL SELECT chunk_id, scope, 0, 15, NULL, '绝缘手套', '安全检查', 'days', x * 30, x || ' 个月', '个月=30', 1 FROM pp WHERE k = 4
+  UNION ALL SELECT chunk_id, scope, 0, 15, NULL, '压力表校验', '校准', 'days', x, x || ' 天', '', 1 FROM pp WHERE k = 5
+  UNION ALL SELECT chunk_id, scope, 1, 15, NULL, '安全带更换', '耗材更换', 'days', 180, '6 个月', '个月=30', 1 FROM pp WHERE k = 5)"""
+
+
+def _found(s, sf):
+    return plan_items.located(_manual(s, sf))
+
+
 def _now():
     return F.lit("1998-06-01 00:00:00").cast("timestamp")
 
@@ -139,7 +172,17 @@ QUERIES = {
       UNION ALL SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hours' WHEN 1 THEN 'wafers' ELSE 'days' END, p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 10000.0 ELSE 30.0 END::DOUBLE FROM part"""),
     "p3_clauses": (lambda s, sf: maintenance.cycles_in_clauses(maintenance.extract_cycles(maintenance.cycle_sentences(_clauses(s, sf))), maintenance.clauses(maintenance.cycle_sentences(_clauses(s, sf)))).select("chunk_id", "clause_no", "raw", "alternates"), """SELECT p_partkey AS chunk_id, 1 AS clause_no, '500 小时' AS raw, 0 AS alternates FROM part
       UNION ALL SELECT p_partkey, 0, p_size || CASE p_partkey % 3 WHEN 0 THEN ' 小时' WHEN 1 THEN ' 万片' ELSE ' 个月' END, 0 FROM part"""),
-    "p7_generate_plans": (lambda s, sf: maintenance.generate_plans(_clauses(s, sf).select("device_model").distinct().filter("device_model != '通用'"), _clauses(s, sf)), None),
+    "p4_match_candidates": (lambda s, sf: plan_items.match_candidates(_found(s, sf)).select("scope", "rank", "item", "basis", "value", "chunk_id"), f"""WITH {MANUAL}
+      SELECT scope, rank, listed AS item, basis, value, chunk_id FROM cy WHERE listed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scope, rank ORDER BY chunk_id) = 1"""),
+    "p5_item_type": (lambda s, sf: _found(s, sf).select("chunk_id", "raw", plan_items.item_type(F.col("sentence"), F.col("pos")).alias("kind")), f"WITH {MANUAL} SELECT chunk_id, raw, kind FROM cy"),
+    "p6_derive_name": (lambda s, sf: _found(s, sf).select("chunk_id", "raw", plan_items.derive_name(F.col("sentence"), F.col("start"), F.col("pos"), F.col("heading"), F.col("doc_title")).alias("item")), f"WITH {MANUAL} SELECT chunk_id, raw, item FROM cy"),
+    "p7_generate_plans": (lambda s, sf: plan_items.generate_plans(_manual(s, sf).select("device_model").filter("device_model != '通用'"), _manual(s, sf)), f"""WITH {MANUAL},
+      d AS (SELECT DISTINCT scope AS device_model FROM pp WHERE scope <> '通用'), m AS (SELECT device_model, chunk_id, clause_no, rank, coalesce(listed, item) AS item, kind, basis, value, raw, more FROM cy JOIN d ON scope IN (device_model, '通用') WHERE main = 1),
+      o AS (SELECT * FROM m WHERE rank < 15 QUALIFY row_number() OVER (PARTITION BY device_model, rank ORDER BY chunk_id) = 1
+        UNION ALL SELECT * FROM m WHERE rank = 15 QUALIFY row_number() OVER (PARTITION BY device_model, item, basis, value ORDER BY chunk_id, clause_no) = 1)
+      SELECT device_model, row_number() OVER (PARTITION BY device_model ORDER BY rank, chunk_id, clause_no)::INT AS n, item, kind, basis, value, raw, '由知识库生成，依据《未知文档》；周期原文「' || raw || '」'
+        || CASE WHEN more <> '' THEN '，已按 1' || more || ' 天折算为 ' || value::BIGINT || ' 天（折算系数为工程约定，非知识库原文）' ELSE '' END || CASE WHEN rank = 2 THEN '；知识库同时给出：12 个月（以先到者为准）' ELSE '' END AS note, chunk_id
+      FROM o QUALIFY row_number() OVER (PARTITION BY device_model ORDER BY rank, chunk_id, clause_no) <= 20"""),
     "p8_uncovered": (lambda s, sf: maintenance.uncovered(table(s, sf, "nation").select(F.col("n_name").alias("item"), F.lower(F.substring("n_name", 1, 3)).alias("keyword")), table(s, sf, "documents").select(F.lower("text").alias("text")), table(s, sf, "region").select(F.col("r_name").alias("item"))), """
       WITH t AS (SELECT n_name AS item, lower(substr(n_name, 1, 3)) AS k FROM nation WHERE n_name NOT IN (SELECT r_name FROM region)) SELECT item, CASE WHEN (SELECT count(*) FROM documents WHERE contains(lower(text), k)) = 0 THEN 'not in the corpus' ELSE 'mentioned without a value' END AS reason FROM t"""),
     "p9_due_calc": (lambda s, sf: _plans(s, sf).select("id", "remaining", "due_at", "status"), f"WITH {PLANS} SELECT id, remaining, due_at, status FROM pd"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evspark import registry
-from evspark.operators import context, maintenance, parts, retrieve, training, vectors
+from evspark.operators import context, maintenance, parts, plan_items, retrieve, training, vectors
 from evspark.sources import files
 from evspark.streaming import tables
 
@@ -106,3 +106,35 @@ def test_scan_corpus(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"x")
     assert sorted(r.text for r in files.scan_corpus(spark, str(tmp_path)).collect()) == ["泵", "真空"]
     assert files.read_reference(spark, str(tmp_path / "none.json"), files.GLOSSARY).count() == 0
+
+
+def _kinds(spark, rows):
+    return [r.k for r in spark.createDataFrame(rows, "s string, pos int").select(plan_items.item_type(F.col("s"), F.col("pos")).alias("k")).collect()]
+
+
+def test_item_type_is_of_the_nearest_word(spark):
+    rows = [("排气过滤器 4000 h 更换；每 8000 h 检查轴承", 6), ("更换；轴承每满 8000 h 检查", 8), ("清洗" + "甲" * 50 + "每 3 天", 54), ("更换；轴承满 8000 h 检查", 7), ("甲每 3 天", 3), (None, 0)]
+    assert _kinds(spark, rows) == ["耗材更换", "PM 项", "清洗", "耗材更换", "PM 项", "PM 项"]
+
+
+def test_names_of_items(spark):
+    rows = [
+        ("便携式检测仪：每 6 个月检定", 0, 8, "", "", "便携式检测仪"), ("绝缘工具；绝缘手套每 6 个月试验", 5, 11, "", "", "绝缘手套"), ("浓度每 4 小时检测", 0, 4, "", "", "浓度检测"),
+        ("SC-1 药液，更换周期为 24 小时", 8, 14, "", "", "SC-1 药液"), ("每 3 天检查", 0, 2, "维护", "手册", "维护"), ("每 3 天检查", 0, 2, None, "手册", "手册 维护项"),
+    ]
+    d = spark.createDataFrame(rows, "s string, a int, p int, h string, t string, want string")
+    for r in d.select("*", plan_items.derive_name(*[F.col(c) for c in "saph"], F.col("t")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_plans_prefer_the_basis_and_carry_alternates(spark):
+    chunks = [
+        (1, "A", "换油周期为 12 个月。", "手册", 3), (2, "通用", "泵油累计 4000 小时或 12 个月更换，以先到者为准；滤芯每 90 天清洗。", "通则", 7), (3, "B", "绝缘手套每 6 个月试验；绝缘手套每 6 个月试验。", None, None),
+        (4, None, "安全带每 2 年更换。", "", None), (5, "A", None, None, None), (6, "A", "", None, None),
+    ]
+    c = spark.createDataFrame(chunks, "chunk_id int, device_model string, text string, doc_title string, page int")
+    got = {(r.device_model, r.n): r for r in plan_items.generate_plans(spark.createDataFrame([("A",), ("B",), ("A",)], "device_model string"), c).collect()}
+    assert [(k, got[k].item, got[k].chunk_id) for k in sorted(got)] == [(("A", 1), "罗茨泵换油", 2), (("A", 2), "安全带更换", 4), (("B", 1), "罗茨泵换油", 2), (("B", 2), "绝缘手套", 3), (("B", 3), "安全带更换", 4)]
+    assert got["A", 1].value == 4000 and "《通则》 第 7 页" in got["A", 1].note and got["A", 1].note.endswith("12 个月（以先到者为准）")
+    assert "1年=365 天折算为 730 天" in got["A", 2].note and "《未知文档》" in got["A", 2].note
+    assert plan_items.generate_plans(spark.createDataFrame([], "device_model string"), c.limit(0)).count() == 0
