@@ -26,12 +26,16 @@ def match_parts(requests: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def part_availability(parts: DataFrame, low: int = DEFAULT.low_stock) -> DataFrame:
-    """code, stock_state, price, substitutes (only those with a basis), without_basis, forbidden (lines)."""
+    """code, stock_state (low up to `low`, else ok; unknown stock counts as none), price (null if missing), substitutes (only those with a basis), without_basis, forbidden (a line for each part that must not stand in; empty without that column)."""
     based = lambda x: F.coalesce(F.trim(x["basis"]), F.lit("")) != ""
     subs = F.coalesce("substitutes", F.array().cast("array<struct<code:string,basis:string>>"))
+    none = F.array().cast("array<struct<part:string,reason:string>>")
+    bad = F.coalesce("forbidden", none) if "forbidden" in parts.columns else none
+    line = lambda x: F.concat(F.lit("禁止替代："), F.coalesce(x["part"], F.lit("")), F.lit(" —— "), F.coalesce(x["reason"], F.lit("")))
     return parts.select(
-        "code", F.when(F.col("stock") <= 0, "out").when(F.col("stock") <= low, "low").otherwise("ok").alias("stock_state"), F.col("price").cast(MONEY).alias("price"),
+        "code", F.when(F.coalesce("stock", F.lit(0)) <= low, "low").otherwise("ok").alias("stock_state"), F.col("price").cast(MONEY).alias("price"),
         F.transform(F.filter(subs, based), lambda x: x["code"]).alias("substitutes"), F.size(F.filter(subs, lambda x: ~based(x))).alias("without_basis"),
+        F.transform(bad, line).alias("forbidden"),
     )
 
 
@@ -75,17 +79,36 @@ def assign_order_no(orders: DataFrame, existing: DataFrame | None = None) -> Dat
     return rows.select("order_id", "created_at", F.concat_ws("-", F.lit("PO"), "__day", number).alias("order_no"))
 
 
-def fold_cart(events: DataFrame) -> DataFrame:
-    """order_id, code, qty after the events (order_id, seq, action, code, qty): add accumulates up to 999, set replaces (1..999), remove takes out; nothing counts after a submit. Items of quantity 0 are not there."""
+def _edits(events: DataFrame) -> DataFrame:
+    """Edits of carts, and whether the order had been submitted before."""
     w = Window.partitionBy("order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = events.withColumn("__closed", F.coalesce(F.max((F.col("action") == "submit").cast("int")).over(w), F.lit(0))).filter("__closed = 0 AND action IN ('add', 'set', 'remove')")
+    closed = F.coalesce(F.max((F.col("action") == "submit").cast("int")).over(w), F.lit(0)) == 1
+    return events.withColumn("__closed", closed).filter("action IN ('add', 'set', 'remove')")
+
+
+def fold_cart(events: DataFrame) -> DataFrame:
+    """order_id, code, qty after the events (order_id, seq, action, code, qty): add accumulates up to 999, set replaces what is there, remove takes out; nothing counts after a submit. Quantities are brought within 1..999, a null one counts as 1. Items taken out are not there."""
     each = F.sort_array(F.collect_list(F.struct("seq", "action", "qty")))  # the events on one item of one order
 
     def step(q: Column, e: Column) -> Column:
-        n = F.coalesce(e["qty"].cast("long"), F.lit(0))
-        return F.when(e["action"] == "remove", F.lit(0)).when(e["action"] == "set", F.when(n.between(1, MAX_QTY), n).otherwise(q)).otherwise(F.least(F.lit(MAX_QTY), q + F.greatest(n, F.lit(0)))).cast("long")
+        n = F.least(F.lit(MAX_QTY), F.greatest(F.lit(1), F.coalesce(e["qty"].cast("long"), F.lit(1))))
+        return F.when(e["action"] == "remove", F.lit(0)).when(e["action"] == "set", F.when(q > 0, n).otherwise(q)).otherwise(F.least(F.lit(MAX_QTY), q + n)).cast("long")
+
+    return _edits(events).filter(~F.col("__closed")).groupBy("order_id", "code").agg(F.aggregate(each, F.lit(0).cast("long"), step).alias("qty")).filter("qty > 0")
+
+
+def rejected_edits(events: DataFrame) -> DataFrame:
+    """order_id, seq, reject: edits after the submit, and of those before it the ones that set or remove an item that is not there."""
+    w = Window.partitionBy("order_id", "code").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    there = F.coalesce(F.max_by("action", F.when(F.col("action") != "set", F.col("seq"))).over(w) == "add", F.lit(False))  # a set changes nothing about that
+    missing = (F.col("action") != "add") & ~F.col("__there")
+    return _edits(events).withColumn("__there", there).withColumn("reject", F.when(F.col("__closed"), "not a draft").when(missing, "no such item")).filter("reject IS NOT NULL").select("order_id", "seq", "reject")
+
 
-    return open_.groupBy("order_id", "code").agg(F.aggregate(each, F.lit(0).cast("long"), step).alias("qty")).filter("qty > 0")
+def cart_totals(cart: DataFrame, parts: DataFrame) -> DataFrame:
+    """order_id, total of the carts of `fold_cart` at the ledger's prices; a code without a price adds nothing."""
+    priced = cart.join(parts.select(F.lower("code").alias("__code"), F.col("price").cast(MONEY).alias("price")), F.lower("code") == F.col("__code"), "left")
+    return priced.groupBy("order_id").agg(F.sum(F.coalesce(F.col("qty") * F.col("price"), F.lit(0))).cast(MONEY).alias("total"))
 
 
 def fold_order_status(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ def _parts(s, sf):
     return p.withColumn("next", nxt).select(
         F.concat(F.lit("P"), F.col("p_partkey")).alias("code"), F.col("p_name").alias("part"), F.col("p_partkey").alias("ordinal"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"), (F.col("p_size") % 9).alias("stock"), F.col("p_brand").alias("device_model"), F.col("p_type").alias("spec"), F.lit("A").alias("location"),
         F.when(F.col("next").isNull(), F.array().cast("array<struct<code:string,basis:string>>")).otherwise(F.array(F.struct(F.concat(F.lit("P"), F.col("next")).alias("code"), F.when(F.col("next") % 3 == 0, "").otherwise("same fit").alias("basis")))).alias("substitutes"),
+        F.when(F.col("p_partkey") % 4 == 0, F.array(F.struct(F.concat(F.lit("P"), F.col("p_partkey") + 1).alias("part"), F.lit("other seal").alias("reason")))).alias("forbidden"),
     )
 
 
@@ -61,6 +62,13 @@ def _cart(s, sf):
     return e.select((F.col("event_id") % 701).alias("order_id"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("code"), F.col("value").cast("int").alias("qty"))
 
 
+CART = """ev AS (SELECT event_id % 701 AS order_id, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'set' WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'signup' AND event_id % 50 = 0 THEN 'submit' ELSE 'add' END AS action,
+  'c' || (user_id % 3) AS code, trunc(value)::BIGINT AS x, coalesce(min(CASE WHEN event_type = 'signup' AND event_id % 50 = 0 THEN event_id END) OVER (PARTITION BY event_id % 701), 9223372036854775807) AS done FROM events),
+ed AS (SELECT order_id, seq, action, code, least(999, greatest(1, coalesce(x, 1))) AS x, row_number() OVER (PARTITION BY order_id, code ORDER BY seq) AS n FROM ev WHERE action <> 'submit' AND seq < done),
+walk AS (WITH RECURSIVE w AS (SELECT order_id, code, seq, n, CASE WHEN action = 'add' THEN x ELSE 0 END AS q, action <> 'add' AS missing FROM ed WHERE n = 1
+  UNION ALL SELECT ed.order_id, ed.code, ed.seq, ed.n, CASE WHEN ed.action = 'add' THEN least(999, q + x) WHEN ed.action = 'set' AND q > 0 THEN x ELSE 0 END, ed.action <> 'add' AND q = 0 FROM w JOIN ed ON ed.order_id = w.order_id AND ed.code = w.code AND ed.n = w.n + 1) SELECT * FROM w)"""
+
+
 def _sentences(s, sf):
     p = table(s, sf, "part")
     return p.select(F.col("p_partkey").alias("chunk_id"), F.concat_ws("", F.lit("- "), "p_name", F.lit(" needs "), F.col("p_size").cast("string"), F.lit(" bolts and "), (F.col("p_size") + 3).cast("string"), F.lit(" rings and "), (F.col("p_size") + 7).cast("string"), F.lit(" pins。 Short 。 type X-"), F.col("p_size").cast("string"), F.lit(" is plain and without。")).alias("text"))
@@ -133,13 +141,15 @@ def _now():
 QUERIES = {
     "b1_match_parts": (lambda s, sf: parts.match_parts(table(s, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("p"), F.col("item_id") * 7 % 300).alias("text")), _parts(s, sf)), f"""WITH {PARTS}, q AS (SELECT item_id AS request_id, 'p' || (item_id * 7 % 300) AS t FROM benchmark),
       h AS (SELECT request_id, code, ordinal, CASE WHEN lower(code) = t THEN 0 WHEN contains(lower(code), t) THEN 1 WHEN contains(lower(part), t) OR contains(t, lower(part)) THEN 2 END AS level FROM q, pt) SELECT request_id, code, level FROM h WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY level, ordinal) = 1"""),
-    "b2_part_availability": (lambda s, sf: parts.part_availability(_parts(s, sf)).withColumn("substitutes", F.array_join("substitutes", ",")), f"WITH {PARTS} SELECT code, CASE WHEN stock <= 0 THEN 'out' WHEN stock <= 5 THEN 'low' ELSE 'ok' END AS stock_state, price, CASE WHEN nxt % 3 <> 0 THEN 'P' || nxt ELSE '' END AS substitutes, CASE WHEN nxt % 3 = 0 THEN 1 ELSE 0 END AS without_basis FROM pt"),
+    "b2_part_availability": (lambda s, sf: parts.part_availability(_parts(s, sf)).withColumn("substitutes", F.array_join("substitutes", ",")).withColumn("forbidden", F.array_join("forbidden", ",")), f"WITH {PARTS} SELECT code, CASE WHEN stock <= 5 THEN 'low' ELSE 'ok' END AS stock_state, price, CASE WHEN nxt % 3 <> 0 THEN 'P' || nxt ELSE '' END AS substitutes, CASE WHEN nxt % 3 = 0 THEN 1 ELSE 0 END AS without_basis, CASE WHEN ordinal % 4 = 0 THEN '禁止替代：P' || (ordinal + 1) || ' —— other seal' ELSE '' END AS forbidden FROM pt"),
     "b3_substitute_lookup": (lambda s, sf: parts.substitute_lookup(_parts(s, sf)), f"WITH {PARTS} SELECT * FROM sub"),
     "b4_catalog": (lambda s, sf: parts.catalog(_parts(s, sf), None, "p12").select("code", "part"), f"WITH {PARTS} SELECT code, part FROM pt WHERE contains(lower(part), 'p12') OR contains(lower(code), 'p12') OR contains(lower(spec), 'p12')"),
     "b5_resolve_order_items": (_resolved, f"WITH {ITEMS} SELECT * FROM ri"),
     "b6_order_totals": (lambda s, sf: parts.order_totals(_resolved(s, sf).filter("reject IS NULL")), f"WITH {ITEMS} SELECT order_id, sum(amount)::DECIMAL(18,2) AS total FROM ri WHERE reject IS NULL GROUP BY 1"),
     "b7_assign_order_no": (lambda s, sf: parts.assign_order_no(_orders(s, sf)).select("order_id", "order_no"), "SELECT o_orderkey AS order_id, 'PO-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y%m%d') ORDER BY o_orderdate, o_orderkey)::VARCHAR, 4, '0') AS order_no FROM orders"),
-    "b8_fold_cart": (lambda s, sf: parts.fold_cart(_cart(s, sf)), None),
+    "b8_fold_cart": (lambda s, sf: parts.fold_cart(_cart(s, sf)), f"WITH {CART} SELECT order_id, code, arg_max(q, n) AS qty FROM walk GROUP BY 1, 2 HAVING arg_max(q, n) > 0"),
+    "b8_rejected_edits": (lambda s, sf: parts.rejected_edits(_cart(s, sf)), f"WITH {CART} SELECT order_id, seq, 'no such item' AS reject FROM walk WHERE missing UNION ALL SELECT order_id, seq, 'not a draft' FROM ev WHERE action <> 'submit' AND seq > done"),
+    "b8_cart_totals": (lambda s, sf: parts.cart_totals(parts.fold_cart(_cart(s, sf).withColumn("code", F.regexp_replace("code", "c", "p"))), _parts(s, sf)), f"WITH {CART}, {PARTS}, c AS (SELECT order_id, code, arg_max(q, n) AS qty FROM walk GROUP BY 1, 2) SELECT order_id, sum(coalesce(qty * price, 0))::DECIMAL(18,2) AS total FROM c LEFT JOIN pt ON lower(pt.code) = replace(c.code, 'c', 'p') WHERE qty > 0 GROUP BY 1"),
     "b9_fold_order_status": (lambda s, sf: parts.fold_order_status(_steps(s, sf)).select("order_id", "status", F.size("accepted").alias("accepted"), F.size("rejected").alias("rejected")), f"WITH {STEPS} SELECT order_id, arg_max(status, n) AS status, count(*) FILTER (legal) AS accepted, count(*) FILTER (NOT legal) AS rejected FROM walk GROUP BY 1"),
     "b10_settle": (lambda s, sf: parts.settle(_orders(s, sf), table(s, sf, "lineitem").filter("l_linenumber < 3").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_orderkey").alias("order_id"), F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise(F.col("l_extendedprice")).cast("decimal(18,2)").alias("amount")), _orders(s, sf).filter("order_id % 5 = 0")), """
       WITH o AS (SELECT o_orderkey AS order_id, o_totalprice::DECIMAL(18,2) AS total FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey AS order_id, CASE WHEN l_linenumber <> 1 THEN l_extendedprice::DECIMAL(18,2) END AS amount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2)),

@@ -51,6 +51,8 @@ def test_cart_and_status(spark):
     events = [(1, 1, "add", "a", 2), (1, 2, "add", "a", 998), (1, 3, "set", "b", 5), (1, 4, "remove", "b", 0), (1, 5, "submit", None, None), (1, 6, "add", "a", 1)]
     cart = parts.fold_cart(spark.createDataFrame(events, "order_id int, seq int, action string, code string, qty int")).collect()
     assert [tuple(r) for r in cart] == [(1, "a", 999)]
+    lost = parts.rejected_edits(spark.createDataFrame(events, "order_id int, seq int, action string, code string, qty int")).orderBy("seq").collect()
+    assert [tuple(r) for r in lost] == [(1, 3, "no such item"), (1, 4, "no such item"), (1, 6, "not a draft")]
     steps = [(1, 1, "submit", ""), (1, 2, "reject", ""), (1, 3, "reject", "取消：错单"), (1, 4, "approve", "")]
     row = parts.fold_order_status(spark.createDataFrame(steps, "order_id int, seq int, action string, reason string")).first()
     assert (row.status, row.accepted, row.rejected) == ("cancelled", [1, 3], [2, 4])
