@@ -29,6 +29,17 @@ ATTRIBUTION_REST = r"[\s\-*、.,，。:：;；()（）\[\]「」『』\"'*#|]+"
 MODEL = r"[A-Za-z]{1,6}[-\s]?\d{2,4}"
 UNITS = "h|s|min|Pa|kPa|MPa|sccm|slm|L|mL|mm|cm|kg|W|kW|MHz|ppm|r/min|rpm|片|次|天|小时|分钟|秒"
 NUMBER = rf"(?<![-\w])\d+(?:\.\d+)?\s*(?:{UNITS})"
+#: Words of questions that say nothing of what is asked for.
+NOISE = [
+    "什么", "怎么", "如何", "为什么", "多少", "哪个", "哪些", "是否", "请问", "需要", "应该", "可以", "规定", "要求", "标准", "情况",
+    "问题", "时候", "步骤", "顺序", "方法", "处理", "执行", "分别", "具体", "一般", "通常", "以及", "还有", "如果", "怎样", "多久",
+    "何时", "哪几", "几个", "一次", "要是", "假设", "万一", "比如", "例如", "以上", "以下", "太低", "太高", "压得", "毛病", "讲究",
+    "我们", "你们", "他们", "准备", "打算", "换个", "换一个", "这块", "那块", "这个", "那个", "用到", "配药", "药水", "注意", "怎么办",
+    "干嘛", "车间", "起火", "或者", "第一步", "第二步", "后续", "然后", "接着", "顺便", "麻烦", "帮忙", "看下", "问下", "有没有",
+    "能不能", "行不行", "大概", "差不多", "可能", "有点", "特别", "非常", "一下", "一些", "点儿", "哪里", "哪儿", "哪种", "什么样",
+    "后果", "限制", "影响", "原因", "效果", "风险", "区别", "关系", "做法", "作用", "好处", "坏处", "要点", "前提", "依据", "结论",
+    "表现", "现象", "趋势", "幅度", "程度", "细节", "措施", "判据",
+]
 REFUSAL_HEADER = r"(?m)^\s*知识库未覆盖该问题[，,][^\n]*?步骤[。.：:]?\s*$"
 #: Weights of sources by category or type.
 AUTHORITY = {"标准": 1.0, "设备维护": 0.9, "工艺": 0.85, "ticket": 0.6, "image": 0.5}
@@ -129,12 +140,12 @@ def enforce_citations(answers: DataFrame, blocks: DataFrame, threshold: float =
 
 
 def anchors(question: Column) -> tuple[Column, Column, Column]:
-    """Device models, numbers with units, and content terms (of two characters or more) of a question."""
+    """Device models, numbers with units, and content terms (of two characters or more, no noise of questions) of a question."""
     models = F.array_distinct(F.transform(fx.found(question, MODEL), lambda x: F.trim(x)))
     scrubbed = F.aggregate(models, question, lambda t, m: F.replace(t, m, F.lit(" ")))
     numbers = F.array_distinct(F.transform(fx.found(scrubbed, NUMBER), lambda x: F.trim(x)))
     fragments = F.flatten(F.transform(models, lambda m: F.split(F.lower(m), r"[-\s]")))
-    terms = F.array_except(F.filter(fx.tokenize(question), lambda t: F.length(t) >= 2), fragments)  # each once
+    terms = F.array_except(F.filter(fx.tokenize(question), lambda t: (F.length(t) >= 2) & ~t.isin(NOISE)), fragments)  # each once
     return models, numbers, terms
 
 

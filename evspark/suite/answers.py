@@ -136,7 +136,7 @@ QUERIES = {
     "c8_anchor_check": (lambda s, sf: _anchors(s, sf).select("query_id", "term_coverage", F.size("missing_terms").alias("missing"), F.size("corpus_missing").alias("corpus_missing"), "ok"), f"""
       WITH {ANSWERS}, q AS (SELECT doc_id AS query_id, text FROM documents), voc AS (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS term FROM conversations),
       m AS (SELECT query_id, text, regexp_extract_all(text, '[A-Za-z]{{1,6}}[-\\s]?\\d{{2,4}}') AS models FROM q),
-      t AS (SELECT query_id, text, models, list_filter(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2)), lambda x: NOT list_contains(flatten(list_transform(models, lambda z: string_split_regex(lower(z), '[-\\s]'))), x)) AS terms FROM m),
+      t AS (SELECT query_id, text, models, list_filter(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2 AND NOT list_contains({citations.NOISE}, x))), lambda x: NOT list_contains(flatten(list_transform(models, lambda z: string_split_regex(lower(z), '[-\\s]'))), x)) AS terms FROM m),
       gn AS (SELECT query_id, count(*) AS n_lost FROM (SELECT query_id, unnest(terms) AS term FROM t) u ANTI JOIN voc ON u.term = voc.term GROUP BY 1),
       h AS (SELECT t.*, lower(blk.text) AS hay FROM t JOIN blk ON answer_id = query_id AND n = 2), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone, coalesce(n_lost, 0) AS lost FROM h LEFT JOIN gn USING (query_id))
       SELECT query_id, round(CASE WHEN len(terms) = 0 THEN 1 ELSE 1 - len(gone) / len(terms) END, 4) AS term_coverage, len(gone) AS missing, lost AS corpus_missing, (len(terms) = 0 OR (1 - len(gone) / len(terms) >= 0.5 AND lost / len(terms) <= 0.4)) AND len(list_filter(models, lambda x: NOT contains(hay, lower(x)))) = 0 AS ok FROM r"""),

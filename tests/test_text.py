@@ -67,3 +67,8 @@ def test_repeated_lines(spark):
     rows = [(1, p, 10 * p + k, line) for p in range(1, 6) for k, line in enumerate(["Header", f"body {p}", "Footer"])]
     left = ingest.strip_repeated_lines(spark.createDataFrame(rows, "doc_id long, page int, pos int, line string"))
     assert sorted(r.line for r in left.collect()) == [f"body {p}" for p in range(1, 6)]
+
+
+def test_noise_of_questions_is_no_content(spark):
+    terms = one(spark, citations.anchors(F.col("t"))[2], "请问，如何 更换，滤芯")
+    assert sorted(terms) == ["更换", "滤芯"]
