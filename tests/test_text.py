@@ -72,3 +72,9 @@ def test_repeated_lines(spark):
 def test_noise_of_questions_is_no_content(spark):
     terms = one(spark, citations.anchors(F.col("t"))[2], "请问，如何 更换，滤芯")
     assert sorted(terms) == ["更换", "滤芯"]
+
+
+def test_paragraphs(spark):
+    long = "\n".join(["甲" * 250] * 7)
+    assert one(spark, ingest.split_paragraphs(F.col("t")), f" a\nb \n \t\n\n{long}\n\n") == ["a\nb", *["\n".join(["甲" * 250] * 3)] * 2, "甲" * 250]
+    assert one(spark, ingest.split_paragraphs(F.col("t")), None) == [] == one(spark, ingest.split_paragraphs(F.col("t")), " \n\n ")
