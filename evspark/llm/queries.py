@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline over the driver's tables, with their SQL."""
+"""Queries op1 to op12 and the pipeline over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import arrow_sequences, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, warc_fixity
+from evspark.llm import arrow_sequences, bpe, chat_format, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, turn_repair, warc_fixity
 from evspark.llm.common import new_folder, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts have the template's marks in them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat_format.digest(turns.unionByName(more))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup, op11_chat_format, op12_turn_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
