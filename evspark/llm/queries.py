@@ -1,4 +1,4 @@
-"""Queries op1 to op12 and the pipeline over the driver's tables, with their SQL."""
+"""Queries op1 to op13 and the pipeline over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import arrow_sequences, bpe, chat_format, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, turn_repair, warc_fixity
+from evspark.llm import arrow_sequences, bpe, chat_format, exact_dedup, langid, line_dedup, mixing, ngram_join, quality_qda, quality_rules, token_align, turn_repair, warc_fixity
 from evspark.llm.common import new_folder, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,12 +75,16 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.score_alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup, op11_chat_format, op12_turn_repair, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_mixing, op4_ngram_join, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_token_files, op9_warc_fixity, op10_exact_dedup, op11_chat_format, op12_turn_repair, op13_token_align, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
