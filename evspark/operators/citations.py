@@ -80,8 +80,10 @@ def classify_sentences(answers: DataFrame, id_col: str = "answer_id", text_col:
     """answer, line_no, indent, no, sentence, kind, ids: sentences of each line; a structural or empty line is one row of kind 'line'."""
     lines = answers.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     whole = is_structural(F.col("line")) | (fx.trimmed("line") == "")
-    parts = F.when(whole, F.array("line")).otherwise(fx.split_sentences(fx.trimmed("line")))
-    each = lines.select(id_col, "line_no", F.regexp_extract("line", r"^\s*", 0).alias("indent"), whole.alias("whole"), F.posexplode(parts).alias("no", "sentence"))
+    parts = F.when(F.col("whole"), F.array("line")).otherwise(fx.split_sentences(fx.trimmed("line")))
+    # what is made of a whole line is made below the generator, and the line itself ends there: its sentences don't carry it
+    made_of_line = lines.select(id_col, "line_no", "line", F.regexp_extract("line", r"^\s*", 0).alias("indent"), whole.alias("whole")).select(id_col, "line_no", "indent", "whole", parts.alias("parts"))
+    each = made_of_line.select(id_col, "line_no", "indent", "whole", F.posexplode_outer("parts").alias("no", "sentence")).filter("sentence IS NOT NULL")
     kind = F.when(F.col("whole"), "line").otherwise(sentence_kind(F.col("sentence")))
     # one row each through a generator, below which no filter goes: what is tested of a sentence is made once
     made = F.inline_outer(F.array(F.struct(kind.alias("kind"), parse_citation_ids("sentence").alias("ids"))))
