@@ -111,10 +111,16 @@ def cart_totals(cart: DataFrame, parts: DataFrame) -> DataFrame:
     return priced.groupBy("order_id").agg(F.sum(F.coalesce(F.col("qty") * F.col("price"), F.lit(0))).cast(MONEY).alias("total"))
 
 
+def step_action(action: str = "action", reason: str = "reason") -> Column:
+    """The action that an event stands for: a rejection that says cancel or 取消 cancels, and one without a reason is 'refused', which no status allows."""
+    why = F.lower(F.trim(F.coalesce(reason, F.lit(""))))
+    rejects = F.col(action) == "reject"
+    return F.when(rejects & why.rlike(r"^(cancel|取消)"), "cancel").when(rejects & (why == ""), "refused").otherwise(F.col(action))
+
+
 def fold_order_status(events: DataFrame) -> DataFrame:
     """order_id, status, accepted (array of the sequence numbers taken), rejected (of those refused), after events (order_id, seq, action, reason). A rejection needs a reason; one that begins with cancel or 取消 cancels."""
-    reason = F.lower(F.trim(F.coalesce("reason", F.lit(""))))
-    action = F.when((F.col("action") == "reject") & reason.rlike(r"^(cancel|取消)"), "cancel").when((F.col("action") == "reject") & (reason == ""), "refused").otherwise(F.col("action"))
+    action = step_action()
     table = F.create_map(*[F.lit(x) for (s, a), t in STEPS.items() for x in (f"{s} {a}", t)])
     ordered = F.sort_array(F.collect_list(F.struct("seq", action.alias("action"))))  # the steps of one order
     none = F.array().cast("array<bigint>")

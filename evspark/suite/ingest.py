@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from evspark.functions import text as fx
 from evspark.operators import ingest
+from evspark.sources import index
+from evspark.sources.store import shared_folder
 from evspark.suite.inputs import CHUNKS, LINES, MARKED, chunks, documents, marked_lines, table
 
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in fx.STOP_WORDS if w.isascii()) + "))"
@@ -37,16 +39,50 @@ def _front(spark, sf):
     return ingest.split_front_matter(d).select("doc_id", "doc_title", "version", F.array_join("missing", ",").alias("missing"), F.md5("body").alias("body_md5"))
 
 
+def _blocks(spark, sf):
+    return ingest.assemble_blocks(ingest.forward_fill_structure(marked_lines(spark, sf)))
+
+
+def _chunk_udtf(spark, sf):
+    """Chunks of blocks in SQL."""
+    ingest.register_chunking(spark)
+    return spark.sql("""SELECT doc_id, page, section, heading, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, part_no) - 1 AS index, c.text
+      FROM (SELECT *, paragraphs(text) AS cut FROM {blocks}) b, LATERAL chunk_block(b.cut, 300, 50) c""", blocks=_blocks(spark, sf))
+
+
+def _written_index(spark, sf):
+    """Two thirds of the chunks written, then a third of all put in their place or beside them."""
+    path, c = shared_folder(spark, "index"), chunks(spark, sf).select("chunk_id", "doc_id", "text")
+    index.write_index(c.filter("doc_id % 3 < 2"), path, "hash", "512", 512)
+    index.write_index(c.filter("doc_id % 3 > 0").withColumn("text", F.reverse("text")), path, "hash", "512", 512, "upsert")
+    return index.read_index(spark, path).select("chunk_id", "doc_id", F.md5("text").alias("md5"))
+
+
+def _rebuilt(spark, sf):
+    """A rebuild in which documents of two sources fail, and a second beside it that brings some of them right."""
+    path, d = shared_folder(spark, "rebuild"), documents(spark, sf)
+    docs = d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 5 != 0, "V1").alias("version"))
+    cut = lambda x: ingest.chunk_fixed(x, 800, 120).select(F.concat_ws("-", "doc_id", "index").alias("chunk_id"), "doc_id", "text")
+    index.rebuild_index(docs, cut, path, "hash", "512", 512, "overwrite", ("version",))
+    index.rebuild_index(d.filter("doc_id % 14 = 0").select("doc_id", "text", F.lit("V2").alias("version")), cut, path, "hash", "512", 512, "append", ("version",))
+    taken = index.index_documents(spark, path).withColumn("reason", F.lit("ok"))
+    return taken.unionByName(index.read_failures(spark, path).withColumn("n_chunks", F.lit(0)))
+
+
 QUERIES = {
     "s2_front_matter": (_front, """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' || doc_id END AS doc_title, CASE WHEN doc_id % 2 = 0 THEN 'V2' END AS version,
       CASE WHEN doc_id % 2 = 0 THEN 'category' ELSE 'version,category' END AS missing, md5(text) AS body_md5 FROM documents"""),
     "s5_manifest": (lambda s, sf: ingest.manifest(documents(s, sf), "hash", "512", 512, "source").withColumn("documents", F.array_join("documents", ",")), """
       SELECT 'hash' AS provider, '512' AS model, 'hash:512' AS signature, 512 AS dim, count(*) AS n_chunks, array_to_string(list_sort(list(DISTINCT source)), ',') AS documents FROM documents"""),
+    "s5_written_index": (_written_index, f"""WITH {CHUNKS} SELECT chunk_id, doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE reverse(text) END) AS md5 FROM chunks"""),
     "s7_upsert_chunks": (_upsert, """SELECT doc_id, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
       UNION ALL SELECT doc_id, md5(reverse(text)) FROM documents WHERE doc_id % 3 = 0"""),
     "s8_delete_documents": (lambda s, sf: ingest.delete_documents(documents(s, sf).select("doc_id", "lang"), table(s, sf, "labels").filter("toxic = 1")), "SELECT doc_id, lang FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)"),
     "s9_rebuild_report": (lambda s, sf: ingest.rebuild_report(documents(s, sf), ingest.chunk_fixed(documents(s, sf), 800, 120)), f"""WITH {CHUNKS}
       SELECT d.doc_id, count(chunk_id) AS n_chunks, CASE WHEN count(chunk_id) > 0 THEN 'ok' ELSE 'failed' END AS status FROM documents d LEFT JOIN chunks USING (doc_id) GROUP BY 1"""),
+    "s9_rebuild_index": (_rebuilt, f"""WITH {CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1), r AS (SELECT d.doc_id, coalesce(n, 0) AS n,
+        CASE WHEN doc_id % 14 = 0 THEN CASE WHEN n IS NULL THEN 'no text' ELSE 'ok' END WHEN doc_id % 7 = 0 OR n IS NULL THEN 'no text' WHEN doc_id % 5 = 0 THEN 'missing version' ELSE 'ok' END AS reason FROM documents d LEFT JOIN n USING (doc_id))
+      SELECT doc_id, CASE WHEN reason = 'ok' THEN n ELSE 0 END AS n_chunks, reason FROM r"""),
     "d1_explode_lines": (lambda s, sf: ingest.explode_lines(documents(s, sf)), f"WITH {LINES} SELECT doc_id, pos, line FROM lines"),
     "d2_forward_fill_structure": (lambda s, sf: ingest.forward_fill_structure(marked_lines(s, sf)), f"WITH {MARKED} SELECT * FROM placed"),
     "d3_infer_plain_headings": (lambda s, sf: ingest.infer_plain_headings(ingest.explode_lines(documents(s, sf)).select("doc_id", "pos", F.expr("cast(pos div 20 + 1 AS int)").alias("page"), F.when(F.col("pos") % 7 == 0, F.concat_ws(" ", F.expr("concat(pos div 7 + 1, '.2')"), F.substring_index("line", " ", 2))).otherwise(F.col("line")).alias("line"))), rf"""
@@ -69,6 +105,7 @@ QUERIES = {
     "d7_extract_images": (lambda s, sf: ingest.extract_images(ingest.forward_fill_structure(marked_lines(s, sf)).withColumn("line", F.when(F.col("pos") % 4 == 1, F.concat(F.lit("![fig "), F.col("pos"), F.lit("](img/"), F.col("doc_id"), F.lit(".png) "), F.col("line"))).otherwise(F.col("line")))), f"""
       WITH {MARKED} SELECT doc_id, pos, page, section, 'fig ' || pos AS alt, 'img/' || doc_id || '.png' AS src FROM placed WHERE pos % 4 = 1"""),
     "d9_chunk_blocks": (lambda s, sf: ingest.chunk_blocks(ingest.assemble_blocks(ingest.forward_fill_structure(marked_lines(s, sf))), 300, 50), None),
+    "u5_chunk_udtf": (_chunk_udtf, None),
     "d10_chunk_fixed": (lambda s, sf: ingest.chunk_fixed(documents(s, sf), 800, 120), f"WITH {CHUNKS} SELECT doc_id, index, text FROM chunks"),
     "d11_stable_ids": (lambda s, sf: chunks(s, sf).select(fx.doc_id("doc_title", "version", "device_model").alias("doc"), fx.chunk_id("chunk_id", "page", "section", "index", "text").alias("chunk")), f"""WITH {CHUNKS}
       SELECT 'doc_' || substr(sha1(concat_ws('|', doc_title, coalesce(version, ''), device_model)), 1, 12) AS doc, 'c_' || substr(sha1(concat_ws('|', chunk_id, page, section, index, substr(text, 1, 80))), 1, 12) AS chunk FROM chunks""".replace("sha1(", "sha1(")),

@@ -93,15 +93,6 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert [(r.status, r.legal) for r in got] == [("submitted", True), ("submitted", False), ("cancelled", True)]
 
 
-def test_stream_ingest_replay(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
-    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
-    for run in ("c1", "c2"):
-        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-        tables.stream_ingest(stream, lambda d: d, str(tmp_path / "out"), str(tmp_path / run)).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
 def test_scan_corpus(spark, tmp_path):
     (tmp_path / "a.md").write_bytes("真空".encode("gb18030"))
     (tmp_path / "b.TXT").write_bytes("﻿泵".encode())
