@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.operators import matching
+
 #: Words of maintenance actions, of contexts that are not maintenance, and marks of a cycle.
 ACTION_WORDS = [
     "更换", "换油", "替换", "检查", "巡检", "点检", "保养", "维护", "清洗", "校准", "校验", "标定",
@@ -73,13 +75,14 @@ def cycles_in_clauses(cycles: DataFrame, parts: DataFrame, id_col: str = "chunk_
     return both.withColumn("alternates", F.count(F.lit(1)).over(Window.partitionBy(id_col, "no", "clause_no")) - 1)
 
 
-def uncovered(templates: DataFrame, chunks: DataFrame, covered: DataFrame, device: str = "device_model") -> DataFrame:
-    """templates (item, keyword) without a row in `covered` (item), and why: not in the corpus, only a frequency, or mentioned without a value. Templates are a fixed list and are broadcast."""
+def uncovered(templates: DataFrame, chunks: DataFrame, covered: DataFrame) -> DataFrame:
+    """templates (item, keyword) without a row in `covered` (item), and why: not in the corpus, only a frequency, or mentioned without a value. One automaton of the keywords runs over each text."""
     left = templates.join(covered.select("item").distinct(), "item", "left_anti")
-    hit = chunks.select(F.col("text").alias("__text")).join(F.broadcast(left), F.col("__text").contains(F.col("keyword")))
-    seen = hit.groupBy("item").agg(F.max(F.col("__text").rlike(FREQUENCY_ONLY).cast("int")).alias("frequency"))
+    texts = chunks.select("text", F.col("text").rlike(FREQUENCY_ONLY).cast("int").alias("frequency"))
+    hit = matching.find_patterns(texts, left, "text", "keyword", ("frequency",)).groupBy(F.col("pattern").alias("keyword")).agg(F.max("frequency").alias("frequency"))
+    seen = left.join(hit, "keyword").groupBy("item").agg(F.max("frequency").alias("frequency"))
     why = F.when(F.col("frequency").isNull(), "not in the corpus").when(F.col("frequency") == 1, "only a frequency").otherwise("mentioned without a value")
-    return left.join(seen, "item", "left").select("item", why.alias("reason"))
+    return left.select("item").join(seen, "item", "left").select("item", why.alias("reason"))
 
 
 def due_calc(basis: Column, cycle: Column, meter: Column, since: Column, now: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.config import DEFAULT
+from evspark.operators import matching
 
 MONEY = "decimal(18,2)"
 #: Steps of an order: (status, action) -> status. Cancelling is a rejection whose reason says so.
@@ -17,12 +18,17 @@ MAX_QTY = 999
 
 
 def match_parts(requests: DataFrame, parts: DataFrame) -> DataFrame:
-    """request_id, code: equal code before code that contains the text before name that contains it or stands in it; of equals the first in the ledger (ordinal). `parts` is a ledger, and is broadcast if Spark finds it small."""
-    q, code, name = F.lower(F.trim("text")), F.lower("code"), F.lower("part")
-    level = F.when(code == q, 0).when(code.contains(q), 1).when(name.contains(q) | q.contains(name), 2)
-    hits = requests.filter(F.trim("text") != "").join(parts.select("code", "part", "ordinal"), level.isNotNull()).withColumn("level", level)
-    w = Window.partitionBy("request_id").orderBy("level", "ordinal")
-    return hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("request_id", "code", "level")
+    """request_id, code, level: equal code (0) before code that contains the text (1) before name that contains it or stands in it (2); of equals the first in the ledger (ordinal). Requests of one text are matched once, and meet the ledger by equal strings and grams. Null and empty texts match nothing."""
+    asked = requests.select("request_id", F.lower(F.trim("text")).alias("q")).filter("q != ''")
+    texts = asked.select(F.col("q").alias("pattern")).distinct()
+    ledger = parts.select("ordinal", F.lower("code").alias("code"), F.lower("part").alias("name"))
+    by = lambda c: ledger.select(F.col(c).alias("text"), F.col("ordinal").alias("rank"))
+    equal = texts.join(ledger.groupBy(F.col("code").alias("pattern")).agg(F.min("ordinal").alias("first")), "pattern")
+    inside = matching.first_contained(texts.select(F.col("pattern").alias("text")), by("name").withColumnRenamed("text", "pattern")).withColumnRenamed("text", "pattern")
+    hits = [(0, equal), (1, matching.first_containing(by("code"), texts)), (2, matching.first_containing(by("name"), texts)), (2, inside)]
+    every = reduce(DataFrame.unionByName, [df.select("pattern", F.struct(F.lit(n).alias("level"), F.col("first").alias("ordinal")).alias("hit")) for n, df in hits])
+    best = every.groupBy("pattern").agg(F.min("hit").alias("hit")).select(F.col("pattern").alias("q"), "hit.*")
+    return asked.join(best, "q").join(parts.select("ordinal", "code"), "ordinal").select("request_id", "code", "level")
 
 
 def part_availability(parts: DataFrame, low: int = DEFAULT.low_stock) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evspark.config import DEFAULT, Config
 from evspark.functions import text as fx
+from evspark.operators import matching
 from evspark.operators.lexical import top_k
 
 #: Words that point back to an earlier turn, and the length up to which a question needs one.
@@ -38,25 +39,47 @@ def device_filter(device: str, generic: str = "通用") -> Column:
 
 
 def glossary_lookup(terms: DataFrame, glossary: DataFrame) -> DataFrame:
-    """term, canonical, synonyms, queries: the first entry (terms before devices, in file order) whose name or synonym is the term, or contains it or is in it. `glossary` is a curated table and is broadcast."""
-    names = glossary.select("canonical", "kind", "ordinal", "synonyms", F.explode(F.concat(F.array("canonical"), "synonyms")).alias("name"))
-    hit = (F.lower("term") == F.lower("name")) | F.lower("term").contains(F.lower("name")) | F.lower("name").contains(F.lower("term"))
-    found = terms.join(F.broadcast(names), hit)
-    w = Window.partitionBy("term").orderBy(F.when(F.col("kind") == "term", 0).otherwise(1), "ordinal", "name")
-    first = found.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
-    return first.select("term", "canonical", "synonyms", F.slice(F.array_distinct(F.concat(F.array("term", "canonical"), "synonyms")), 1, 3).alias("queries"))
+    """term, canonical, synonyms, queries: the first entry (terms before devices, in file order) that has a name or synonym which is the term or contains it, without regard to case and spaces at the ends.
+
+    Queries: of a term its name and two first synonyms, of a device its name, and the term itself if there is no entry (canonical null, no synonyms). `glossary`: canonical, kind, ordinal, synonyms.
+    """
+    first = F.struct(F.when(F.col("kind") == "term", 0).otherwise(1).alias("late"), "ordinal")
+    names = glossary.select(first.alias("rank"), F.explode(F.concat(F.array("canonical"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("text")).withColumn("text", F.lower("text"))
+    asked = terms.select("term").distinct().withColumn("pattern", F.lower(F.trim("term")))
+    hits = matching.first_containing(names, asked)
+    top = names.agg(F.min("rank").alias("first")).select(F.lit("").alias("pattern"), "first").filter("first IS NOT NULL")  # an empty term is in every name
+    found = asked.join(hits.unionByName(top), "pattern", "left").select("term", F.col("first.late").alias("late"), F.col("first.ordinal").alias("ordinal"))
+    entries = glossary.select(F.when(F.col("kind") == "term", 0).otherwise(1).alias("late"), "ordinal", "canonical", "synonyms")
+    own = found.join(entries, ["late", "ordinal"], "left")
+    none = F.array().cast("array<string>")
+    queries = F.when(F.col("canonical").isNull(), F.array("term")).when(F.col("late") == 1, F.array("canonical")).otherwise(F.concat(F.array("canonical"), F.slice(F.coalesce("synonyms", none), 1, 2)))
+    return own.select("term", "canonical", F.coalesce("synonyms", none).alias("synonyms"), queries.alias("queries"))
 
 
 def expand_queries(queries: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
-    """query_id, forms (three at most): the question, with each entry's first synonym in it made canonical, and with the canonical names added. Model codes are not touched: a synonym counts only where no letter, digit or hyphen is next to it."""
-    syn = glossary.select("canonical", "ordinal", F.posexplode("synonyms").alias("at", "synonym"))
-    hits = queries.join(F.broadcast(syn), F.expr(f"regexp_like({text}, '(?i)(?<![A-Za-z0-9-])' || '\\\\Q' || synonym || '\\\\E' || '(?![A-Za-z0-9-])')"))
-    first = hits.groupBy("query_id", "ordinal", "canonical").agg(F.min_by("synonym", "at").alias("synonym"))
-    by = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "canonical", "synonym"))).alias("hits"))
-    rows = queries.join(by, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<ordinal:int,canonical:string,synonym:string>>")))
-    normal = F.aggregate("hits", F.col(text), lambda t, h: F.when(F.lower(t).contains(F.lower(h["canonical"])), t).otherwise(F.replace(t, h["synonym"], h["canonical"])))
-    added = F.concat_ws(" ", F.array(F.col(text)), F.transform("hits", lambda h: h["canonical"]))
-    return rows.select("query_id", F.slice(F.array_distinct(F.filter(F.array(F.col(text), normal, added), lambda x: fx.trimmed(x) != "")), 1, 3).alias("forms"))
+    """query_id, forms (three at most, each once): the question; the question with synonyms made canonical; the question with the canonical names of these added.
+
+    Entries take their turn in file order, and of each the first synonym that can be replaced. A synonym is not replaced after a letter,
+    digit or hyphen, nor before these if a digit follows, as it is part of a code there. One automaton of the synonyms runs over the questions. An empty question has no form.
+    """
+    synonyms = glossary.filter("kind = 'term'").select("canonical", "ordinal", F.posexplode("synonyms").alias("at", "synonym")).withColumn("low", F.lower("synonym"))
+    asked = queries.select("query_id", F.trim(F.coalesce(text, F.lit(""))).alias("q")).withColumn("low", F.lower("q"))
+    hits = matching.find_patterns(asked, synonyms, "low", "low", ("query_id",)).withColumnRenamed("pattern", "low").join(synonyms, "low")
+    by = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "at", "canonical", "synonym"))).alias("hits"))  # at most the glossary's synonyms
+    rows = asked.join(by, "query_id", "left")
+    start = F.struct(F.col("q").alias("text"), F.lit(-1).cast("long").alias("last"), F.array().cast("array<string>").alias("names"))
+    quoted = lambda c: F.concat(F.lit(r"(?<![A-Za-z0-9\-])\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9\-]*\d)"))
+
+    def turn(s: Column, h: Column) -> Column:
+        pattern = quoted(h["synonym"])
+        goes = (s["last"] != h["ordinal"]) & F.rlike(s["text"], pattern)
+        text = F.when(goes, F.regexp_replace(s["text"], pattern, F.regexp_replace(h["canonical"], r"([\\$])", r"\\$1"))).otherwise(s["text"])
+        return F.struct(text.alias("text"), F.when(goes, h["ordinal"].cast("long")).otherwise(s["last"]).alias("last"), F.when(goes, F.array_append(s["names"], h["canonical"])).otherwise(s["names"]).alias("names"))
+
+    none = F.array().cast("array<struct<ordinal:int,at:int,canonical:string,synonym:string>>")
+    folded = rows.select("query_id", "q", F.aggregate(F.coalesce("hits", none), start, turn).alias("s"))
+    forms = F.array(F.col("q"), F.trim("s.text"), F.array_join(F.array_distinct(F.concat(F.array("q"), "s.names")), " "))
+    return folded.select("query_id", F.array_distinct(F.filter(forms, lambda x: x != "")).alias("forms"))
 
 
 def is_referential(text: Column, markers: list[str] = FOLLOWUP_MARKERS, short: int = SHORT_QUESTION) -> Column:

@@ -37,6 +37,25 @@ vs AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(q.v, u.v),
 vsr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
 
 
+def _glossary(s, sf):
+    """Nations as entries, every fifth a device, with their region before them and a code behind them as synonyms."""
+    n = table(s, sf, "nation").join(table(s, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.col("n_name").alias("canonical"), F.when(F.col("n_nationkey") % 5 == 4, "device").otherwise("term").alias("kind"), F.col("n_nationkey").cast("int").alias("ordinal"), F.array(F.concat_ws(" ", "r_name", "n_name"), F.concat("n_name", F.lit("-X"))).alias("synonyms"))
+
+
+def _terms(s, sf):
+    """Parts of names of nations and segments, in lower case."""
+    c = table(s, sf, "customer").join(table(s, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.lower(F.expr("if(c_custkey % 6 = 0, c_mktsegment, substring(n_name, cast(c_custkey % 4 + 1 AS int), cast(c_custkey % 7 + 1 AS int)))")).alias("term"))
+
+
+def _asked(s, sf):
+    """Questions that have names of nations with their region."""
+    n = table(s, sf, "nation").join(table(s, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws(" ", "r_name", "n_name").alias("name"))
+    b = table(s, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return b.join(n, F.col("query_id") % 25 == F.col("n_nationkey")).select("query_id", F.concat_ws(" ", F.substring("text", 1, 40), "name", F.lit("please")).alias("text"))
+
+
 def _postings(s, sf):
     return lexical.build_postings(documents(s, sf), id_col="doc_id")
 
@@ -112,6 +131,14 @@ def _tickets(s, sf):
 
 
 QUERIES = {
+    "r6_expand_queries": (lambda s, sf: retrieve.expand_queries(_asked(s, sf), _glossary(s, sf)).select("query_id", F.array_join("forms", "|").alias("forms")), """
+      WITH a AS (SELECT item_id AS query_id, trim(substr(text, 1, 40) || ' ' || r_name || ' ' || n_name || ' please') AS q, r_name || ' ' || n_name AS s, n_name AS c, n_nationkey AS k FROM benchmark JOIN nation ON item_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+      SELECT query_id, CASE WHEN k % 5 = 4 THEN q ELSE q || '|' || replace(q, s, c) || '|' || q || ' ' || c END AS forms FROM a"""),
+    "r7_glossary_lookup": (lambda s, sf: retrieve.glossary_lookup(_terms(s, sf), _glossary(s, sf)).select("term", "canonical", F.array_join("queries", "|").alias("queries")), """
+      WITH g AS (SELECT n_name AS c, n_nationkey % 5 = 4 AS late, n_nationkey AS k, unnest([n_name, r_name || ' ' || n_name, n_name || '-X']) AS x, r_name || ' ' || n_name AS s1, n_name || '-X' AS s2 FROM nation JOIN region ON n_regionkey = r_regionkey),
+      t AS (SELECT DISTINCT lower(CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE substr(n_name, c_custkey % 4 + 1, c_custkey % 7 + 1) END) AS term FROM customer JOIN nation ON c_nationkey = n_nationkey),
+      h AS (SELECT term, g.* FROM t LEFT JOIN g ON contains(lower(x), trim(term)) QUALIFY row_number() OVER (PARTITION BY term ORDER BY late, k) = 1)
+      SELECT term, c AS canonical, CASE WHEN c IS NULL THEN term WHEN late THEN c ELSE c || '|' || s1 || '|' || s2 END AS queries FROM h"""),
     "r1_build_postings": (_postings, f"WITH {BM25.split('st AS')[0].rstrip().rstrip(',')} SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM tok GROUP BY ALL"),
     "r2_bm25_search": (_bm25, f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= 10"),
     "r3_vector_search": (lambda s, sf: vectors.vector_search(*_vec(s, sf), 10), f"WITH {VEC} SELECT query_id, vec_id, score, rank FROM vsr WHERE rank <= 10"),
