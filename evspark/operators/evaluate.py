@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions import text as fx
+from evspark.operators import quantiles
 
 
 def point_hit(point: Column, text: Column) -> Column:
@@ -60,13 +61,8 @@ def verdicts(summary: DataFrame, targets: dict[str, float] = TARGETS, degraded:
 
 def exclusive_quantile(df: DataFrame, by: list[str], col: str, q: float = 0.95, least: int = 20) -> DataFrame:
     """by, n, value: the quantile at q (n + 1), interpolated; under `least` samples the maximum."""
-    w = Window.partitionBy(*by).orderBy(col)
-    rows = df.filter(F.col(col).isNotNull()).withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    at = q * (F.col("__n") + 1)
-    low = F.greatest(F.lit(1), F.least(F.floor(at), F.col("__n") - 1))
-    a, b = F.max(F.when(F.col("__r") == low, F.col(col))), F.max(F.when(F.col("__r") == low + 1, F.col(col)))
-    value = F.when(F.first("__n") >= least, a + F.first(at - low) * (b - a)).otherwise(F.max(col))
-    return rows.groupBy(*by).agg(F.first("__n").alias("n"), F.round(value, 6).alias("value"))
+    found = quantiles.quantiles(df, by, col, {"q": (q, quantiles.exclusive), "top": (1.0, quantiles.linear)})
+    return found.select(*by, "n", F.round(F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("top")), 6).alias("value"))
 
 
 def golden_check(golden: DataFrame, sections: DataFrame) -> DataFrame:
@@ -104,11 +100,13 @@ def badcases(items: DataFrame) -> DataFrame:
 
 def load_summary(requests: DataFrame, limit_s: float = 15.0) -> DataFrame:
     """round, ok, failed, error_rate, wall_s, p50, p95, verdict. `requests`: round, ok, started, seconds. Percentiles are linear."""
-    good = F.when(F.col("ok"), F.col("seconds"))
-    return requests.groupBy("round").agg(
+    counts = requests.groupBy("round").agg(
         F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum((~F.col("ok")).cast("long")).alias("n_failed"), F.round(F.avg((~F.col("ok")).cast("int")), 6).alias("error_rate"),
-        F.round(F.max(F.col("started") + F.col("seconds")) - F.min("started"), 6).alias("wall_s"), F.round(F.percentile(good, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(good, F.lit(0.95)), 6).alias("p95"),
-    ).withColumn("verdict", F.when((F.col("n_failed") == 0) & (F.col("p95") <= limit_s), "within capacity").otherwise("over capacity"))
+        F.round(F.max(F.col("started") + F.col("seconds")) - F.min("started"), 6).alias("wall_s"),
+    )
+    found = quantiles.quantiles(requests.filter("ok"), ["round"], "seconds", {"p50": (0.5, quantiles.linear), "p95": (0.95, quantiles.linear)})
+    out = counts.join(found.select(F.col("round").alias("__of"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")), F.col("round").eqNullSafe(F.col("__of")), "left").drop("__of")
+    return out.withColumn("verdict", F.when((F.col("n_failed") == 0) & (F.col("p95") <= limit_s), "within capacity").otherwise("over capacity"))
 
 
 def worst_round(rounds: DataFrame) -> DataFrame:
