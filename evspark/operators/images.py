@@ -43,6 +43,22 @@ def format_tickets(tickets: DataFrame) -> DataFrame:
     return tickets.select(F.concat(F.lit("ticket:"), "ticket_no").alias("chunk_id"), F.concat_ws("\n", *parts).alias("text"), F.lit("ticket").alias("source_type"), F.lit(0.9).alias("normalized"))
 
 
+def format_parts(matches: DataFrame, requests: DataFrame, parts: DataFrame) -> DataFrame:
+    """request_id, chunk_id, text, source_type, normalized and what a context says of a block: the part that each request was matched to (`match_parts`) as evidence; a request without a match has a block that says so."""
+    has = set(parts.columns)
+    field = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
+    line = lambda name, c: F.when(F.coalesce(fx.trimmed(c), F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    none = F.array().cast("array<struct<code:string,basis:string>>")
+    based = F.filter(F.coalesce("substitutes", none) if "substitutes" in has else none, lambda x: F.coalesce(F.trim(x["basis"]), F.lit("")) != "")
+    subs = F.when(F.size(based) > 0, F.array_join(F.transform(based, lambda x: F.concat(F.lit("Substitute: "), x["code"], F.lit(", basis: "), x["basis"])), "\n")).otherwise("Substitute: none with a basis, to be confirmed by the maker")
+    text = F.concat_ws("\n", line("Part", F.concat_ws(" ", field("part"), F.concat(F.lit("("), field("code"), F.lit(")")))), line("Device", F.coalesce(field("device_model"), F.lit("通用"))), line("Stock", F.concat_ws(" ", field("stock"), field("unit"), field("location"))), line("Lead time in days", field("lead_time_days")), line("Specification", field("spec")), subs)
+    known = parts.select(F.col("code").alias("__code"), text.alias("known"))
+    rows = requests.join(matches, "request_id", "left").join(known, F.col("code") == F.col("__code"), "left")
+    missing = F.concat(F.lit("Not in the catalogue: "), F.coalesce(F.trim("text"), F.lit("")), F.lit("\nNo substitute is inferred without a basis, to be confirmed by the maker"))
+    of = F.coalesce("code", F.lit("unknown"))
+    return rows.select("request_id", F.concat(F.lit("parts:"), of).alias("chunk_id"), F.coalesce("known", missing).alias("text"), F.lit("document").alias("source_type"), F.lit(0.9).alias("normalized"), F.lit("备件库存台账").alias("doc_title"), of.alias("section"), F.lit(1).alias("page"))
+
+
 def assert_signature(manifest: DataFrame, signature: str) -> DataFrame:
     """The manifest; reading it fails if the index was built with another embedding."""
     wrong = F.concat(F.lit(f"the index has another signature than {signature}: "), "signature")

@@ -142,8 +142,9 @@ def rerank(candidates: DataFrame, score: Column, normalise: object = clamped, n:
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     first = top_k(candidates.withColumn("__total", total).drop("rank"), "query_id", "fused", id_col, max(n, most)).drop("rank")
     scored = first.withColumn("rerank", F.round(score, 6)).withColumn("normalized", F.round(normalise(score), 6))
-    best = top_k(scored, "query_id", "rerank", id_col, n)
-    return best.withColumnRenamed("rank", "position").withColumn("truncated", F.greatest(F.lit(0), F.col("__total") - max(n, most))).drop("__total")
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank"), F.desc_nulls_last(F.when(F.col("rerank").isNull(), F.col("fused"))), id_col)  # rows that could not be scored stay in the order of fusion
+    best = scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+    return best.withColumn("truncated", F.greatest(F.lit(0), F.col("__total") - max(n, most))).drop("__total")
 
 
 def route_external(text: Column, keywords: dict[str, list[str]]) -> Column:
