@@ -28,24 +28,85 @@ def quiz_sentences(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return kept.filter(F.size("numbers") > 0)
 
 
-def quiz_items(sentences: DataFrame, seed: str = "quiz", id_col: str = "chunk_id") -> DataFrame:
-    """One item a sentence with a number: type (judgement or single), question, options, answer, evidence. Choices go by checksum, so that reruns agree.
+#: Kinds of items in the order in which they take turns; the longest statement, stem and option of a multiple choice.
+TYPES = ("single", "judgement", "multiple", "short")
+LONGEST_STATEMENT, LONGEST_STEM, LONGEST_OPTION = 160, 120, 80
+POINT = NUMBER + r"(?:\s*[A-Za-z%℃°]+(?:/[A-Za-z]+)?)?"
+_ITEM = "struct<type:string,question:string,options:array<string>,answer:string,points:array<string>>"
 
-    A judgement is true, or has its number changed for another of the chunk; a single choice blanks the number, with others of the chunk, or its neighbours in value, as distractors.
+
+def nearest_numbers(sentences: DataFrame) -> DataFrame:
+    """number, near: each different number of the corpus, and the two before and after it in value among those with as many digits and the same first one."""
+    each = sentences.select(F.explode("numbers").alias("number")).distinct()
+    whole = F.regexp_extract("number", r"^[0-9]+", 0)
+    w = Window.partitionBy(F.length(whole), F.substring(whole, 1, 1)).orderBy(number_key(F.col("number")).cast("double"), "number")
+    return each.select("number", F.array_compact(F.array(F.lag("number", 1).over(w), F.lead("number", 1).over(w), F.lag("number", 2).over(w), F.lead("number", 2).over(w))).alias("near"))
+
+
+def _without(numbers: Column, number: Column) -> Column:
+    """Those that have another value."""
+    return F.filter(numbers, lambda x: number_key(x) != number_key(number))
+
+
+def _changed(sentence: Column, numbers: Column, at: Column, new: Column) -> Column:
+    """The sentence with its number at place `at` changed."""
+    between = F.split(sentence, NUMBER, -1)
+    parts = F.transform(numbers, lambda x, i: F.concat(F.get(between, i), F.when(i == at, new).otherwise(x)))
+    return F.concat(F.array_join(parts, ""), F.get(between, F.size(numbers)))
+
+
+def quiz_items(sentences: DataFrame, seed: str = "quiz", id_col: str = "chunk_id", types: tuple[str, ...] = TYPES) -> DataFrame:
+    """One item a sentence with a number: chunk, no, type, question, options, answer, points, evidence. Choices go by checksum, so that reruns agree.
+
+    The sentences of a chunk take the types in turn; one that can't be had of a sentence gives way to the next. judgement: the sentence,
+    of every second one with a number changed for another of its chunk. single: a number left out, with others of the chunk, or else
+    its neighbours in value in the corpus, beside it. multiple: two sentences of the chunk, and the same with a number changed. short:
+    all numbers left out; points are the numbers with their units, three at most. A sentence of which no type can be had has no item.
     """
-    first = sentences.withColumn("number", F.get("numbers", F.lit(0)))
-    w = Window.partitionBy(id_col)
-    pool = F.array_sort(F.collect_set("number").over(w))  # numbers of one chunk
-    rows = first.withColumn("others", F.array_remove(pool, F.col("number")))
-    key = F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col("no").cast("string")))
-    single = (key % 2 == 0) & (F.size("others") >= 2)
-    by_key = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(F.crc32(F.concat_ws("|", F.lit(seed), x)).alias("k"), x.alias("x")))), lambda x: x["x"])
-    options = by_key(F.concat(F.array("number"), F.slice(by_key(F.col("others")), 1, 3)))
-    other = F.get(by_key(F.col("others")), F.lit(0))
-    false = ~single & (key % 4 >= 2) & other.isNotNull()
-    question = F.when(single, F.replace("sentence", "number", F.lit("____"))).when(false, F.replace(F.col("sentence"), F.col("number"), other)).otherwise(F.col("sentence"))
-    answer = F.when(single, (F.array_position(options, F.col("number")) - 1).cast("string")).otherwise((~false).cast("string"))
-    return rows.select(id_col, "no", F.when(single, "single").otherwise("judgement").alias("type"), question.alias("question"), F.when(single, options).alias("options"), answer.alias("answer"), F.col("sentence").alias("evidence"))
+    place, whole = Window.partitionBy(id_col).orderBy("no"), Window.partitionBy(id_col)
+    rows = sentences.select(id_col, "no", "sentence", "numbers", (F.row_number().over(place) - 1).alias("pos"), F.array_sort(F.collect_list(F.struct("no", "sentence", "numbers")).over(whole)).alias("all"))  # the sentences of one chunk
+    dice = lambda *salt: F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col("no").cast("string"), *[F.lit(x) if isinstance(x, str) else x for x in salt]))
+    pick = lambda xs, *salt: F.get(xs, (dice(*salt) % F.size(xs)).cast("int"))
+    shuffled = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(dice(x).alias("k"), x.alias("x")))), lambda y: y["x"])
+    rows = rows.withColumns({"of_chunk": F.array_distinct(F.flatten(F.transform("all", lambda x: x["numbers"]))), "at": (dice("number") % F.size("numbers")).cast("int")})
+    rows = rows.withColumn("number", F.get("numbers", F.col("at"))).withColumn("others", _without(F.col("of_chunk"), F.col("number")))
+    rows = rows.join(nearest_numbers(sentences), "number", "left")
+    item = lambda kind, question, options=None, answer=None, points=None: F.struct(
+        F.lit(kind).alias("type"), question.alias("question"), (F.lit(None) if options is None else options).cast("array<string>").alias("options"), (F.lit(None) if answer is None else answer).cast("string").alias("answer"), (F.lit(None) if points is None else points).cast("array<string>").alias("points"),
+    )
+    length = F.length("sentence")
+
+    false = (F.col("pos") % 2 == 1) & (F.size("others") > 0)
+    judgement = F.when(length <= LONGEST_STATEMENT, item("judgement", F.when(false, _changed(F.col("sentence"), F.col("numbers"), F.col("at"), pick(F.col("others"), "swap"))).otherwise(F.col("sentence")), None, (~false).cast("string")))
+
+    near = F.filter(_without(F.coalesce("near", F.array().cast("array<string>")), F.col("number")), lambda x: ~F.array_contains(F.col("others"), x))
+    wrong = F.when(F.size("others") >= 2, F.slice("others", 1, 3)).otherwise(F.slice(F.concat("others", near), 1, 2))
+    choices = shuffled(F.concat(F.array("number"), wrong))
+    single = F.when((length <= LONGEST_STEM) & (F.size(wrong) >= 2), item("single", _changed(F.col("sentence"), F.col("numbers"), F.col("at"), F.lit("____")), choices, (F.array_position(choices, F.col("number")) - 1).cast("string")))
+
+    def altered(x: Column) -> Column:
+        at = (dice("alter", x["sentence"]) % F.size(x["numbers"])).cast("int")
+        new = pick(_without(F.col("of_chunk"), F.get(x["numbers"], at)), "value", x["sentence"])
+        return F.when(new.isNotNull(), _changed(x["sentence"], x["numbers"], at, new))
+
+    beside = F.get(F.filter("all", lambda x: (x["sentence"] != F.col("sentence")) & (F.length(x["sentence"]) <= LONGEST_OPTION)), F.lit(0))
+    trues = F.array("sentence", beside["sentence"])
+    falses = F.array_distinct(F.filter(F.array_compact(F.transform(F.array(F.struct("no", "sentence", "numbers"), beside), altered)), lambda x: ~F.array_contains(trues, x)))
+    offered = shuffled(F.concat(trues, falses))
+    right = F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(trues, lambda x: F.array_position(offered, x) - 1)).cast("array<string>"), ","), F.lit("]"))
+    multiple = F.when((length <= LONGEST_OPTION) & beside.isNotNull() & (F.size(falses) > 0), item("multiple", F.lit("Which of these statements are right?"), offered, right))
+
+    said = fx.found("sentence", POINT)
+    keys = F.transform("numbers", lambda x: number_key(x))
+    points = F.slice(F.filter(said, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, 3)
+    short = F.when((length <= LONGEST_STATEMENT) & (F.size(points) >= 2), item("short", F.array_join(F.split("sentence", NUMBER, -1), "____"), None, None, points))
+
+    made = {"single": single, "judgement": judgement, "multiple": multiple, "short": short}
+    n = len(types)
+    turn = (F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))) + F.col("pos")) % n
+    tried = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.col("__made"), ((turn + k) % n).cast("int")))
+    out = rows.withColumn("__made", F.array(*[made[t].cast(_ITEM) for t in types])).withColumn("item", F.get(F.array_compact(tried), F.lit(0))).filter("item IS NOT NULL")
+    return out.select(id_col, "no", "item.*", F.col("sentence").alias("evidence"))
 
 
 def quiz_sets(items: DataFrame, n: int, by: str = "quiz_id") -> DataFrame:
