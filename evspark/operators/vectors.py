@@ -102,3 +102,69 @@ def label_knn(hits: DataFrame, labels: DataFrame, id_col: str = "vec_id", query_
     own = labels.select(F.col(id_col).alias(query_col), F.col("label").alias("own"))
     both = hits.filter(F.col(query_col) != F.col(id_col)).join(labels, id_col).join(own, query_col)
     return both.groupBy(query_col).agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("agreement"))
+
+
+#: Vectors that the coarse quantiser is fitted on, at most, and numbers that they may have together; rounds of the fit.
+FIT_VECTORS, FIT_NUMBERS, FIT_ROUNDS = 20_000, 1 << 24, 12
+#: Lists of an index at most; vectors and queries that meet in one matrix product.
+MOST_LISTS, LIST_BLOCK, MEETING_QUERIES = 4096, 4096, 1024
+
+
+def fit_centroids(vectors: DataFrame, dim: int, lists: int, seed: int = 7, id_col: str = "vec_id", col: str = "embedding") -> np.ndarray:
+    """Centres of at most `lists` groups by cosine, fitted on the FIT_VECTORS vectors of the least hash of their id (fewer if they are long). An empty table gives one centre."""
+    most = max(1, min(FIT_VECTORS, FIT_NUMBERS // dim))
+    some = vectors.filter(F.col(col).isNotNull()).select(col, F.xxhash64(F.lit(seed), id_col).alias("h")).orderBy("h").limit(most).select(col).toPandas()
+    if not len(some):
+        return np.zeros((1, dim))
+    x = _unit(some[col])
+    centres = x[: max(1, min(lists, len(x)))].copy()  # the order is that of a hash
+    for _ in range(FIT_ROUNDS):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return centres
+
+
+def nearest_lists(centres: np.ndarray, n: int):
+    """A Column function: the `n` lists nearest to a vector, the nearest first."""
+
+    @F.pandas_udf("array<int>")
+    def of(v: pd.Series) -> pd.Series:
+        near = _unit(v) @ centres.T
+        return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return of
+
+
+def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, lists: int = 64, share: float = 0.45, seed: int = 7, id_col: str = "vec_id", query_col: str = "query_id", col: str = "embedding") -> DataFrame:
+    """query, id, score (cosine, 6 decimals), rank: the best of the vectors in the `share` of the inverted lists nearest to the query. Approximate by nature.
+
+    Every vector is in one list. A list lies in blocks of LIST_BLOCK vectors, and meets its queries MEETING_QUERIES at a time in a
+    matrix product, of which the k best of each query go on: a list or a vector that holds a third of all rows is many blocks, and no
+    pair is a row. Null vectors are in no list and find nothing.
+    """
+    centres = fit_centroids(vectors, dim, min(lists, MOST_LISTS), seed, id_col, col)
+    probes = max(1, int(np.ceil(share * len(centres))))
+    v = vectors.filter(F.col(col).isNotNull()).select(id_col, col, F.get(nearest_lists(centres, 1)(col), F.lit(0)).alias("list"))
+    q = queries.filter(F.col(col).isNotNull()).select(query_col, col, F.explode(nearest_lists(centres, probes)(col)).alias("list"))
+    blocks = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    counts = F.broadcast(blocks(v, LIST_BLOCK, "nv").join(blocks(q, MEETING_QUERIES, "nq"), "list"))  # a row a list
+    deal = lambda id_, n: F.pmod(F.xxhash64(F.lit(seed), id_), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(counts, "list").select(query_col, F.col(col).alias("q"), "list", deal(query_col, F.col("nq")).alias("qb"), each("nv").alias("vb"))
+    right = v.join(counts, "list").select(id_col, F.col(col).alias("v"), "list", deal(id_col, F.col("nv")).alias("vb"), each("nq").alias("qb"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_col), (vectors, id_col))}
+
+    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({query_col: [], id_col: [], "score": []})
+        held = held.sort_values(id_col, kind="stable")
+        scores = np.round(_unit(asked["q"]) @ _unit(held["v"]).T, 6)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({query_col: np.repeat(asked[query_col].to_numpy(), top.shape[1]), id_col: held[id_col].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
+
+    key = ["list", "vb", "qb"]
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double")
+    return top_k(hits, query_col, "score", id_col, k)

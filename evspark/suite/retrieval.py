@@ -142,7 +142,7 @@ QUERIES = {
     "r1_build_postings": (_postings, f"WITH {BM25.split('st AS')[0].rstrip().rstrip(',')} SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM tok GROUP BY ALL"),
     "r2_bm25_search": (_bm25, f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= 10"),
     "r3_vector_search": (lambda s, sf: vectors.vector_search(*_vec(s, sf), 10), f"WITH {VEC} SELECT query_id, vec_id, score, rank FROM vsr WHERE rank <= 10"),
-    "r4_vector_search_ann": (lambda s, sf: vectors.vector_search_ann(*_vec(s, sf), 10, 64), None),
+    "r4_vector_search_ann": (lambda s, sf: vectors.ivf_search(*_vec(s, sf), 10, 64, 256, 0.45), None),
     "r5_metadata_filter": (lambda s, sf: _bm25(s, sf, 10, retrieve.metadata_filter(documents(s, sf), {"lang": {"$in": ["en", "de"]}, "source": {"$eq": "src0"}})), f"""
       WITH {BM25} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND source = 'src0' QUALIFY rank <= 10"""),
     "r8_followup_queries": (_followups, r"""
