@@ -1,21 +1,24 @@
 """WARC files and their fixity, audited by Merkle trees.
 
 Pages are written as WARC records, each a gzip member, in files of ascending page ids. The stored bytes of each record are hashed;
-runs of neighbouring records, which are ranges of offsets, are hashed in order into the nodes of a tree, up to one root a file. Two
-replicas are compared by their roots, and only below nodes that differ are the trees gone through, down to the damaged records.
+its place is hashed with it, and runs of neighbouring records, which are ranges of offsets, are hashed in order into the nodes of a
+tree, up to a root for each file and one for the replica. Each replica's tree is made of what its own folder holds: files, their
+lengths, and the records of the index in them. Replicas are compared by their roots, and only below nodes that differ are the trees
+gone through, down to the damaged records.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.llm.arrow_sequences import local_path
@@ -25,6 +28,8 @@ from evspark.llm.common import slices, small_batches, written
 FANOUT, FILE_BYTES = 32, 1 << 26
 #: Repeated page ids that are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes that are read at a time; characters of a file name's hash that make the nodes over the files.
+PART, CROWN = 1 << 20, (4, 2, 0)
 RECORDS = "file string, seq long, offset long, length long, digest binary"
 
 
@@ -103,26 +108,41 @@ def write(pages: DataFrame, folder: str, partitions: int, date: str, id_col: str
     return written(made.withColumnRenamed("page", id_col), "warc-records")
 
 
-def read_digests(index: DataFrame, folder: str) -> DataFrame:
-    """Hash the stored bytes of a replica again: file, seq, offset, length, digest. `index` has each record's place. A record beyond the file's end, or of a file that is not there, has the digest of what is there."""
+def places(index: DataFrame, folder: str) -> DataFrame:
+    """file, seq, offset, length: what a replica's folder holds. The records of `index` in files that are there; after them, as one more, the bytes that a file has beyond; and as one record a file that `index` does not name. An empty file counts as not there."""
+    spark = index.sparkSession
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("size"))
+    ends = index.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("end"), F.count(F.lit(1)).alias("n"))
+    known = index.select("file", "seq", "offset", "length").join(files.select("file"), "file", "left_semi")
+    end = F.coalesce("end", F.lit(0))
+    beyond = files.join(ends, "file", "left").filter((F.col("size") > end) | F.col("end").isNull())
+    return known.unionByName(beyond.select("file", F.coalesce("n", F.lit(0)).alias("seq"), end.alias("offset"), (F.col("size") - end).alias("length")))
+
+
+def read_digests(places: DataFrame, folder: str) -> DataFrame:
+    """Hash the stored bytes of a replica: file, seq, offset, length, digest. The digest is of the place, of how many bytes were there, and of these; of a record beyond a file's end, that is none."""
     path = local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = None, None
         for batch in batches:
-            digests, name, own = [], None, None
+            digests = []
             for file, offset, length in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
                 if file != name:
                     if own:
                         own.close()
-                    name, there = file, os.path.exists(f"{path}/{file}")
-                    own = open(f"{path}/{file}" if there else os.devnull, "rb")  # noqa: SIM115
-                own.seek(offset if there else 0)
-                digests.append(hashlib.sha256(own.read(length)).digest())
-            if own:
-                own.close()
+                    name, own = file, open(f"{path}/{file}", "rb")  # noqa: SIM115
+                own.seek(offset)
+                stored, left = hashlib.sha256(), length
+                while left and (part := own.read(min(left, PART))):
+                    stored.update(part)
+                    left -= len(part)
+                digests.append(hashlib.sha256(struct.pack("<QQ", offset, length - left) + stored.digest()).digest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["file", "seq", "offset", "length", "digest"])
+        if own:
+            own.close()
 
-    return index.select("file", "seq", "offset", "length").mapInArrow(run, RECORDS)
+    return places.select("file", "seq", "offset", "length").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def copy_replica(index: DataFrame, source: str, folder: str, damage: str | None = None) -> DataFrame:
@@ -163,22 +183,67 @@ def tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     return levels
 
 
+def crown(roots: DataFrame) -> list[DataFrame]:
+    """The levels of the tree over a replica's files: key, digest. Files stand by a hash of their names, so that a node's place needs no count of files; the last level is the replica's one root."""
+    levels = [roots.select(F.sha2("file", 256).alias("key"), F.struct("file", "digest").alias("of"))]
+    levels[0] = levels[0].select("key", F.unhex(F.sha2(F.concat(F.encode("of.file", "utf-8"), F.lit(b"\0"), F.col("of.digest")), 256)).alias("digest"))
+    for width in CROWN:
+        children = F.sort_array(F.collect_list(F.struct("key", "digest")))
+        joined = F.concat(F.array_join(F.transform(children, lambda x: F.concat(x["key"], F.hex(x["digest"]))), ""))
+        levels.append(written(levels[-1].groupBy(F.substring("key", 1, width).alias("key")).agg(F.unhex(F.sha2(joined.cast("binary"), 256)).alias("digest")), "crown"))
+    return levels
+
+
+def _unequal(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of nodes that differ, or that one side lacks."""
+    both = x.withColumnRenamed("digest", "x").join(y.withColumnRenamed("digest", "y"), keys, "full_outer")
+    return written(both.filter(~F.col("x").eqNullSafe(F.col("y"))).select(*keys), "differing")
+
+
+def differing_files(a: DataFrame, b: DataFrame) -> DataFrame:
+    """file: by their roots (file, digest), the files that differ or that only one replica has. The roots of the replicas come first, and of what is below only what differs is looked at."""
+    found, width = None, 0
+    for (x, y), narrow in zip(reversed(list(zip(crown(a), crown(b), strict=True))), (*reversed(CROWN), 64), strict=True):
+        if found is not None:
+            above = found.select(F.col("key").alias("above"))
+            x, y = (level.join(above, F.substring("key", 1, width) == F.col("above"), "left_semi") for level in (x, y))
+        found, width = _unequal(x, y, ["key"]), narrow
+    names = a.select("file").union(b.select("file")).distinct()
+    return names.join(found, F.sha2("file", 256) == F.col("key"), "left_semi")
+
+
 def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """file, seq of the records that differ, or that only one replica has. Trees of different heights are compared from the lower one's top."""
+    files = written(differing_files(*(levels[min(len(a), len(b)) - 1].groupBy("file").agg(_joined_roots()) for levels in (a, b))), "differing")
     found = None
     for x, y in reversed(list(zip(a, b, strict=False))):
+        x, y = (level.join(files, "file", "left_semi") for level in (x, y))
         if found is not None:
             below = found.select("file", F.col("seq").alias("node"))
             x, y = (level.withColumn("node", F.expr(f"seq div {fanout}")).join(below, ["file", "node"], "left_semi").drop("node") for level in (x, y))
-        both = x.withColumnRenamed("digest", "x").join(y.withColumnRenamed("digest", "y"), ["file", "seq"], "full_outer")
-        found = written(both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("file", "seq"), "differing")
+        found = _unequal(x, y, ["file", "seq"])
     return found
 
 
+def _joined_roots() -> Column:
+    """One digest of a file's top nodes: a single one, but where the other replica's trees are lower."""
+    tops = F.sort_array(F.collect_list(F.struct("seq", "digest")))
+    return F.unhex(F.sha2(F.array_join(F.transform(tops, lambda x: F.hex(x["digest"])), "").cast("binary"), 256)).alias("digest")
+
+
+def compare(index: DataFrame, primary: str, replica: str) -> DataFrame:
+    """file, seq, offset, what: each place at which the replicas differ. 'changed', 'missing' or 'extra' (in the replica): a record of `index`, the bytes of a file after its last record, or a file that `index` does not name."""
+    a, b = (written(read_digests(places(index, x), x), "digests") for x in (primary, replica))
+    bad = differing(tree(a), tree(b))
+    of = lambda df, name: df.select("file", "seq", F.col("offset").alias(name))
+    both = bad.join(of(a, "here"), ["file", "seq"], "left").join(of(b, "there"), ["file", "seq"], "left")
+    what = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("changed")
+    return both.select("file", "seq", F.coalesce("here", "there").alias("offset"), what.alias("what"))
+
+
 def audit(index: DataFrame, primary: str, replica: str) -> DataFrame:
-    """`index` with `intact`: whether both replicas hold the same bytes of the record."""
-    a, b = (written(read_digests(index, x), "digests") for x in (primary, replica))
-    bad = differing(tree(a), tree(b)).withColumn("__bad", F.lit(True))
+    """`index` with `intact`: whether both replicas hold the same bytes of the record at its place. What the replicas have beside the index is in `compare`."""
+    bad = compare(index, primary, replica).select("file", "seq", F.lit(True).alias("__bad"))
     return index.join(bad, ["file", "seq"], "left").withColumn("intact", F.col("__bad").isNull()).drop("__bad")
 
 
