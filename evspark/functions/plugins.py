@@ -52,10 +52,16 @@ def embed(name: str, batch: int = 16) -> Callable[[str], Column]:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for s in parts:
-            out = [v for lo in range(0, len(s), batch) for v in model([t or "" for t in s[lo : lo + batch]])]
-            yield pd.Series([list(map(float, v)) for v in out])
+            texts = s.fillna("").tolist()
+            yield pd.Series([_unit(v) for lo in range(0, len(texts), batch) for v in model(texts[lo : lo + batch])], dtype="object")
 
-    return lambda col: fx.l2_normalize(run(col))
+    return run
+
+
+def _unit(vector: list[float]) -> list[float]:
+    """A vector of length 1; one of zeros stays as it is."""
+    length = sum(float(x) ** 2 for x in vector) ** 0.5 or 1.0
+    return [float(x) / length for x in vector]
 
 
 def score(name: str, longest: int = 512) -> Callable[[Column, Column], Column]:

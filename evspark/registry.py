@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.suite import answers, business, ingest, plans, retrieval, streams
+from evspark.suite import answers, business, files, ingest, plans, retrieval, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {k: v for m in (ingest, retrieval, answers, business, plans, streams) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (ingest, retrieval, answers, business, plans, streams, files) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Query]:

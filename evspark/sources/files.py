@@ -41,14 +41,28 @@ def read_golden(spark: SparkSession, path: str, ids: list[str] | None = None, li
     return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
-def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A reference table (TICKETS, PARTS, GLOSSARY) from JSON lines. Rows that don't parse are left out; a missing file is an empty table."""
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines as path, line (the text), row (a struct of `schema`) and corrupt (the line, if it is not an object of these types; row is then null). Empty lines are left out; a missing file is an empty table."""
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        lines = spark.read.text(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], schema)
+        lines = spark.createDataFrame([], "value string")
+    lines = lines.select(F.col("_metadata.file_path").alias("path") if lines.inputFiles() else F.lit(None).cast("string").alias("path"), F.col("value").alias("line")).filter("trim(line) != ''")
+    parsed = lines.withColumn("row", F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    wrong = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~F.col("line").rlike(r"^\s*\{")
+    return parsed.select("path", "line", F.when(~wrong, F.col("row").dropFields("_corrupt")).alias("row"), F.when(wrong, F.col("line")).alias("corrupt"))
+
+
+def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A reference table (TICKETS, PARTS, GLOSSARY) from JSON lines. Lines that don't parse are kept apart: `read_corrupt`. A missing file is an empty table."""
+    return read_lines(spark, path, schema).filter("corrupt IS NULL").select("row.*")
+
+
+def read_corrupt(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, line: the lines of a reference table that don't parse."""
+    return read_lines(spark, path, schema).filter("corrupt IS NOT NULL").select("path", "line")
 
 
 def write_report(rows: DataFrame, path: str) -> None:

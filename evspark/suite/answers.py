@@ -8,6 +8,7 @@ from evspark.functions import text as fx
 from evspark.operators import citations, evaluate, lexical, logs
 from evspark.suite.ingest import BIGRAMS_SQL, SPLIT_SQL, TOKENS_SQL
 from evspark.suite.inputs import documents, table
+from evspark.suite.retrieval import BM25
 
 
 def _answers(s, sf):
@@ -147,7 +148,13 @@ QUERIES = {
     "c11_refusal": (lambda s, sf: citations.refusal(_items(s, sf).select("id", F.when(F.col("id") % 29 == 0, " ").otherwise("a").alias("text"), F.col("claims").alias("n_blocks"), F.when(F.col("citations") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("used"), F.when(F.col("fakes") > 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")).alias("fake"), F.col("claims").alias("total_claims"), "coverage", F.col("rr").alias("top"), F.col("ndcg").alias("confidence"), (F.col("id") % 6 > 0).alias("anchors_ok"), (F.col("id") % 4 == 0).alias("followup"), F.array().cast("array<string>").alias("missing_models"))).select("id", "status", "confidence", F.size("reasons").alias("n_reasons")), f"""
       WITH {ITEMS}, n AS (SELECT id, ndcg, (claims = 0)::INT + (id % 29 = 0)::INT + (claims > 0 AND citations = 0)::INT + (fakes > 0)::INT + (rr < 0.5)::INT + (id % 6 = 0)::INT + (claims > 0 AND coverage < CASE WHEN ndcg < 0.8 THEN 0.8 ELSE 1 END)::INT AS n FROM it)
       SELECT id, CASE WHEN n > 0 THEN 'NOT_COVERED' ELSE 'OK' END AS status, CASE WHEN n > 0 THEN least(ndcg, 0.59) ELSE ndcg END AS confidence, n + (id % 4 = 0 AND n > 0)::INT AS n_reasons FROM n"""),
-    "c12_extractive_answer": (lambda s, sf: citations.extractive_answer(_blocks(s, sf).select(F.col("answer_id").alias("query_id"), "n", F.concat(F.lit("["), F.col("n"), F.lit("] d")).alias("header"), F.regexp_replace("text", r"\.", "。").alias("text")), documents(s, sf).select(F.col("doc_id").alias("query_id"), F.substring_index("text", ".", 1).alias("text"))), None),
+    "c12_extractive_answer": (lambda s, sf: citations.extractive_answer(_blocks(s, sf).select(F.col("answer_id").alias("query_id"), "n", F.concat(F.lit("["), F.col("n"), F.lit("] d")).alias("header"), F.regexp_replace("text", r"\.", "。").alias("text")), documents(s, sf).select(F.col("doc_id").alias("query_id"), F.substring_index("text", ".", 1).alias("text"))), rf"""WITH {ANSWERS.split("ln AS")[0].rstrip().rstrip(",")},
+      b AS (SELECT answer_id AS query_id, n, list_filter(list_transform(string_split(regexp_replace(replace(text, '.', '。'), '([。！？!?；;\n])', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[-*•·]+\s*', ''), '^[0-9]+[.、)]\s*', '')), lambda x: length(x) >= 8) AS s FROM blk),
+      e AS (SELECT query_id, n, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM b),
+      q AS (SELECT doc_id AS query_id, list_distinct(list_filter(string_split(split_part(text, '.', 1), ''), lambda c: NOT regexp_matches(c, '^\s*$'))) AS chars FROM documents),
+      g AS (SELECT e.*, round(CASE WHEN len(chars) = 0 THEN 0 ELSE len(list_intersect(chars, string_split(sentence, ''))) / len(chars) END - 0.01 * n - 0.005 * pos, 6) AS score FROM e JOIN q USING (query_id)),
+      t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, pos) <= 6)
+      SELECT query_id, string_agg('- ' || regexp_replace(sentence, '[。！？!?；;，,]+$', '') || ' [' || n || ']。', chr(10) ORDER BY score DESC, n, pos) || chr(10) || chr(10) || '依据：' || chr(10) || array_to_string(list_sort(list(DISTINCT '- [' || n || '] d')), chr(10)) AS text FROM t GROUP BY 1"""),
     "c13_strip_refusal_header": (lambda s, sf: documents(s, sf).select("doc_id", F.md5(citations.strip_refusal_header(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("知识库未覆盖该问题，不给出具体操作步骤。\n"), F.col("text"))).otherwise(F.col("text")))).alias("md5")), r"""
       SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END) AS md5 FROM documents"""),
     "c14_notices": (lambda s, sf: documents(s, sf).select("doc_id", F.md5(citations.notices(F.when(F.col("doc_id") % 2 == 0, "OK").otherwise("NOT_COVERED"), F.col("text"), ["nde", "que "], F.col("doc_id") % 4, F.col("doc_id") % 8 > 3, "安全提示", "图片未识别")).alias("md5")), """
@@ -167,7 +174,10 @@ QUERIES = {
     "e1_point_hit": (lambda s, sf: _blocks(s, sf).join(documents(s, sf).select(F.col("doc_id").alias("answer_id"), F.substring_index("text", ".", 1).alias("point")), "answer_id").select("answer_id", "n", evaluate.point_hit(F.col("point"), F.col("text")).alias("hit")), rf"""
       WITH b AS (SELECT doc_id AS answer_id, n, regexp_replace(lower(substr(text, (n - 1) * ((length(text) + 3) // 4) + 1, (length(text) + 3) // 4)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t, regexp_replace(lower(split_part(text, '.', 1)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS p FROM documents, range(1, 5) r(n)),
       g AS (SELECT *, {BIGRAMS_SQL.format('t')} AS tp, {BIGRAMS_SQL.format('p')} AS pp FROM b) SELECT answer_id, n, CASE WHEN p = '' THEN false ELSE contains(t, p) OR len(list_intersect(pp, tp)) / len(pp) >= 0.5 END AS hit FROM g"""),
-    "e2_retrieval_metrics": (_metrics, None),
+    "e2_retrieval_metrics": (_metrics, f"""WITH {BM25}, r AS (SELECT bmr.query_id, bmr.doc_id, rank, contains(d.text, b.text) AS rel FROM bmr JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 10),
+      i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM r WHERE rank <= 5),
+      m AS (SELECT query_id, max(rel::INT) AS hit, max(CASE WHEN rel THEN 1 / rank ELSE 0 END) AS rr, sum(rel::INT / log2(rank + 1)) AS dcg, sum(rel::INT / log2(ideal + 1)) AS idcg FROM i GROUP BY 1)
+      SELECT query_id, coalesce(hit, 0)::INT AS hit, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg FROM (SELECT DISTINCT query_id FROM r WHERE rel) LEFT JOIN m USING (query_id)"""),
     "e4_summarize_eval": (lambda s, sf: evaluate.summarize_eval(_items(s, sf)), f"WITH {ITEMS} SELECT * FROM sm"),
     "e5_verdicts": (lambda s, sf: evaluate.verdicts(evaluate.summarize_eval(_items(s, sf))), f"""WITH {ITEMS}, v AS (SELECT unnest(['hit_rate', 'coverage', 'citation_precision', 'points_loose', 'negative_refusal']) AS metric, unnest([hit_rate, coverage, citation_precision, points_loose, negative_refusal]) AS value, unnest([0.8, 1.0, 0.95, 0.8, 0.9])::DOUBLE AS target FROM sm)
       SELECT metric, value, target, CASE WHEN value >= target THEN 'met' WHEN value >= 0.9 * target THEN 'degraded' ELSE 'failed' END AS verdict FROM v"""),
