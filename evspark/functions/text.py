@@ -37,6 +37,7 @@ def found(text: Column | str, pattern: str, group: int = 0) -> Column:
 
 def clean_text(text: Column | str) -> Column:
     """Without control characters, page-number lines, hyphen breaks and runs of white space. Null stays null."""
+    # The patterns of this function
     t = F.regexp_replace(_col(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     t = F.regexp_replace(F.regexp_replace(t, "\r\n", "\n"), "\r", "\n")
     t = F.regexp_replace(t, r"([A-Za-z])-\n([a-z])", "$1$2")

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from evspark.config import DEFAULT, Config
 from evspark.functions import text as fx
 
+#: Shapes of numbers cited, of lines that are structure, of references to a place, and of the line that refuses an answer.
 GROUP = r"[\[［]\s*(\d+(?:\s*[-–,，、]\s*\d+)*)\s*[\]］]"
+STRUCTURAL = [r"^\s*\|.*\|\s*$", r"^\s*```", r"^\s*[-*_]{3,}\s*$", r"^\s*#{1,6}\s"]
+ATTRIBUTION = r"《[^》]*》|第\s*\d+\s*页|章节\s*\d|§\s*\d"
+ATTRIBUTION_PARTS = [GROUP, r"《[^》]*》", r"V?\d+(?:\.\d+)*", "第|页|章节|版本|示例数据|目录|unknown"]
+ATTRIBUTION_REST = r"[\s\-*、.,，。:：;；()（）\[\]「」『』\"'*#|]+"
+REFUSAL_HEADER = r"(?m)^\s*知识库未覆盖该问题[，,][^\n]*?步骤[。.：:]?\s*$"
 #: Lines that need no citation, and sentences that disclaim.
 NO_CITE = [
     r"^[#*\->\s]*$",
@@ -21,10 +27,6 @@ NO_CITE = [
     r"^\*{1,2}[^*\n]{1,40}\*{1,2}\s*[：:]?\s*$",
 ]
 DISCLAIMER = "知识库未覆盖|未检索到|无法确认|未找到|不确定|请人工确认|建议转人工|以上内容摘自|以设备实际型号与版本为准|现场作业请"
-STRUCTURAL = [r"^\s*\|.*\|\s*$", r"^\s*```", r"^\s*[-*_]{3,}\s*$", r"^\s*#{1,6}\s"]
-ATTRIBUTION = r"《[^》]*》|第\s*\d+\s*页|章节\s*\d|§\s*\d"
-ATTRIBUTION_PARTS = [GROUP, r"《[^》]*》", r"V?\d+(?:\.\d+)*", "第|页|章节|版本|示例数据|目录|unknown"]
-ATTRIBUTION_REST = r"[\s\-*、.,，。:：;；()（）\[\]「」『』\"'*#|]+"
 #: Shapes of device models, and of numbers with a unit.
 MODEL = r"[A-Za-z]{1,6}[-\s]?\d{2,4}"
 UNITS = "h|s|min|Pa|kPa|MPa|sccm|slm|L|mL|mm|cm|kg|W|kW|MHz|ppm|r/min|rpm|片|次|天|小时|分钟|秒"
@@ -40,7 +42,6 @@ NOISE = [
     "后果", "限制", "影响", "原因", "效果", "风险", "区别", "关系", "做法", "作用", "好处", "坏处", "要点", "前提", "依据", "结论",
     "表现", "现象", "趋势", "幅度", "程度", "细节", "措施", "判据",
 ]
-REFUSAL_HEADER = r"(?m)^\s*知识库未覆盖该问题[，,][^\n]*?步骤[。.：:]?\s*$"
 #: Weights of sources by category or type.
 AUTHORITY = {"标准": 1.0, "设备维护": 0.9, "工艺": 0.85, "ticket": 0.6, "image": 0.5}
 OTHER_AUTHORITY = 0.8
