@@ -55,10 +55,10 @@ def _best(s, sf):
 
 
 def _anchors(s, sf):
-    """Documents as questions, their second parts as evidence, and the words of another table as the corpus's."""
+    """Documents as questions, all parts of the next one as evidence, and the words of another table as the corpus's."""
     words = lexical.build_postings(table(s, sf, "conversations").withColumn("id", F.struct("conv_id", "turn")), id_col="id")
     questions = documents(s, sf).select(F.col("doc_id").alias("query_id"), "text")
-    return citations.anchor_check(questions, _blocks(s, sf).filter("n = 2").withColumnRenamed("answer_id", "query_id"), words.select("term"))
+    return citations.anchor_check(questions, _blocks(s, sf).select((F.col("answer_id") - 1).alias("query_id"), "n", "text"), words.select("term"))
 
 
 def _log(s, sf):
@@ -109,12 +109,12 @@ def _golden(s, sf):
     i = F.col("doc_id")
     return documents(s, sf).select(
         F.when(i % 50 == 7, i - 1).otherwise(i).alias("id"), F.when(i % 41 == 0, " ").otherwise("q").alias("question"), "lang", (i % 9 == 0).alias("negative"), F.when(i % 18 == 0, F.lit(None)).otherwise("refuse").alias("expect"), F.lit("n").alias("note"),
-        F.array(F.concat_ws("#", F.col("source"), F.when(i % 13 == 0, "none").otherwise(F.col("lang")))).alias("must_cite"), F.when(i % 17 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("text", 1, 20))).alias("answer_points"), F.col("lang").alias("category"),
+        F.array(F.concat_ws("#", F.col("source"), F.when(i % 13 == 0, "none").when(i % 5 == 0, (i + 1).cast("string")).otherwise(i.cast("string")))).alias("must_cite"), F.when(i % 17 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring_index("text", ".", 1))).alias("answer_points"), F.col("lang").alias("category"),
     )
 
 
 def _golden_check(s, sf):
-    sections = documents(s, sf).groupBy(F.col("source").alias("doc"), F.col("lang").alias("section")).agg(F.min("text").alias("text"))
+    sections = documents(s, sf).select(F.col("source").alias("doc"), F.col("doc_id").cast("string").alias("section"), "text")  # each document is a section of its source
     return evaluate.golden_check(_golden(s, sf), sections)
 
 
@@ -139,7 +139,7 @@ QUERIES = {
       m AS (SELECT query_id, text, regexp_extract_all(text, '[A-Za-z]{{1,6}}[-\\s]?\\d{{2,4}}') AS models FROM q),
       t AS (SELECT query_id, text, models, list_filter(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: length(x) >= 2 AND NOT list_contains({citations.NOISE}, x))), lambda x: NOT list_contains(flatten(list_transform(models, lambda z: string_split_regex(lower(z), '[-\\s]'))), x)) AS terms FROM m),
       gn AS (SELECT query_id, count(*) AS n_lost FROM (SELECT query_id, unnest(terms) AS term FROM t) u ANTI JOIN voc ON u.term = voc.term GROUP BY 1),
-      h AS (SELECT t.*, lower(blk.text) AS hay FROM t JOIN blk ON answer_id = query_id AND n = 2), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone, coalesce(n_lost, 0) AS lost FROM h LEFT JOIN gn USING (query_id))
+      nx AS (SELECT answer_id - 1 AS query_id, lower(string_agg(text, ' ' ORDER BY n)) AS hay FROM blk GROUP BY 1), h AS (SELECT t.*, coalesce(hay, '') AS hay FROM t LEFT JOIN nx USING (query_id)), r AS (SELECT *, list_filter(terms, lambda x: NOT contains(hay, x)) AS gone, coalesce(n_lost, 0) AS lost FROM h LEFT JOIN gn USING (query_id))
       SELECT query_id, round(CASE WHEN len(terms) = 0 THEN 1 ELSE 1 - len(gone) / len(terms) END, 4) AS term_coverage, len(gone) AS missing, lost AS corpus_missing, (len(terms) = 0 OR (1 - len(gone) / len(terms) >= 0.5 AND lost / len(terms) <= 0.4)) AND len(list_filter(models, lambda x: NOT contains(hay, lower(x)))) = 0 AS ok FROM r"""),
     "c9_authority": (lambda s, sf: citations.authority(documents(s, sf).select((F.col("doc_id") % 30).alias("query_id"), F.col("lang").alias("category"), F.col("source").alias("source_type")), "query_id", {"en": 0.7, "de": 0.95, "src3": 0.99}), """
       SELECT doc_id % 30 AS query_id, max(CASE WHEN lang = 'en' THEN 0.7 WHEN lang = 'de' THEN 0.95 WHEN source = 'src3' THEN 0.99 ELSE 0.8 END)::DOUBLE AS authority FROM documents GROUP BY 1"""),
@@ -186,8 +186,8 @@ QUERIES = {
       a AS (SELECT *, greatest(1, least(floor(0.95 * (n + 1)), n - 1)) AS low FROM r)
       SELECT user_id, event_type, any_value(n) AS n, round(CASE WHEN any_value(n) >= 20 THEN max(value) FILTER (r = low) + any_value(0.95 * (n + 1) - low) * (max(value) FILTER (r = low + 1) - max(value) FILTER (r = low)) ELSE max(value) END, 6) AS value FROM a GROUP BY 1, 2"""),
     "e7_golden_check": (_golden_check, rf"""
-      WITH g AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN doc_id - 1 ELSE doc_id END AS id, doc_id % 9 = 0 AS negative, source, CASE WHEN doc_id % 13 = 0 THEN 'none' ELSE lang END AS section, substr(text, 1, 20) AS point FROM documents),
-      s AS (SELECT source, lang AS section, min(text) AS text FROM documents GROUP BY ALL),
+      WITH g AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN doc_id - 1 ELSE doc_id END AS id, doc_id % 9 = 0 AS negative, source, CASE WHEN doc_id % 13 = 0 THEN 'none' WHEN doc_id % 5 = 0 THEN (doc_id + 1)::VARCHAR ELSE doc_id::VARCHAR END AS section, split_part(text, '.', 1) AS point FROM documents),
+      s AS (SELECT source, doc_id::VARCHAR AS section, text FROM documents),
       p AS (SELECT g.id, max(CASE WHEN s.text IS NULL THEN 0 WHEN contains(nt, np) OR len(list_intersect(pp, tp)) / len(pp) >= 0.5 THEN 1 ELSE 0 END) AS hit FROM (SELECT *, {BIGRAMS_SQL.format('np')} AS pp FROM (SELECT *, regexp_replace(lower(point), '[^\p{{L}}\p{{N}}]+', '', 'g') AS np FROM g)) g
         LEFT JOIN (SELECT *, {BIGRAMS_SQL.format('nt')} AS tp FROM (SELECT *, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g') AS nt FROM s)) s ON s.source = g.source AND s.section = g.section WHERE NOT negative AND doc_id % 17 <> 0 GROUP BY g.id, g.doc_id)
       SELECT id, 'id repeated' AS problem FROM g GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'no question' FROM g WHERE doc_id % 41 = 0 UNION ALL SELECT id, 'negative without expectation' FROM g WHERE negative AND doc_id % 18 = 0
