@@ -44,8 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this driver has named, in order.
+FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/evspark-{name}-{uuid.uuid4().hex[:12]}"
+    FOLDERS.append(f"{shared_dir(spark)}/evspark-{name}-{uuid.uuid4().hex[:12]}")
+    return FOLDERS[-1]
 
 
 def remove(spark: SparkSession, folder: str) -> None:
