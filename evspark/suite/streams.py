@@ -14,8 +14,9 @@ from evspark.suite.inputs import CHUNKS, table
 
 
 def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files. The path is a pattern of one match, as a plain path must be a folder."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _folders(spark, name: str) -> tuple[str, str]:
