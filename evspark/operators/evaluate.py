@@ -73,10 +73,13 @@ def golden_check(golden: DataFrame, sections: DataFrame) -> DataFrame:
     bare = golden.filter(F.col("negative") & (F.col("expect").isNull() | F.col("note").isNull()))
     pos = golden.filter(~F.col("negative"))
     unlabelled = pos.filter((F.size("must_cite") <= 0) | (F.size("answer_points") <= 0))
-    cites = pos.select("id", F.explode("must_cite").alias("cite")).select("id", F.substring_index("cite", "#", 1).alias("doc"), F.element_at(F.split("cite", "#"), -1).alias("section"))
+    cited = lambda df, *keep: df.select(*keep, F.substring_index("cite", "#", 1).alias("doc"), F.element_at(F.split("cite", "#"), -1).alias("section"))
+    cites = cited(pos.select("id", F.explode("must_cite").alias("cite")), "id")
     gone = cites.join(sections.select("doc", "section").distinct(), ["doc", "section"], "left_anti")
-    points = pos.select("id", F.posexplode("answer_points").alias("at", "point"))
-    hits = points.join(cites.join(sections, ["doc", "section"]).select("id", "text"), "id").groupBy("id", "at").agg(F.max(point_hit(F.col("point"), F.col("text")).cast("int")).alias("hit"))
+    points = pos.select("id", "must_cite", F.posexplode("answer_points").alias("at", "point"))
+    # a point meets the sections that its own item cites, not those of another item with the same id
+    own = cited(points.select("id", "at", "point", F.explode("must_cite").alias("cite")), "id", "at", "point").join(sections, ["doc", "section"])
+    hits = own.groupBy("id", "at").agg(F.max(point_hit(F.col("point"), F.col("text")).cast("int")).alias("hit"))
     missed = points.join(hits.filter("hit = 1"), ["id", "at"], "left_anti").select("id").distinct()
     parts = [say(twice, "id repeated"), say(empty, "no question"), say(bare, "negative without expectation"), say(unlabelled, "positive without labels"), say(gone.select("id").distinct(), "cites what is not there"), say(missed, "point not in a cited section")]
     out = parts[0]
