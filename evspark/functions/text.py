@@ -141,6 +141,13 @@ def from_iso(text: Column | str) -> Column:
     return F.try_to_timestamp(_col(text))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """As SQL rounds a double: the scaled double goes to the nearest whole number, halves away from zero, and a zero keeps its sign. Spark's `round` goes by the decimal digits of the double, which may be just under a half."""
+    scale = 10.0**digits
+    r = F.round(_col(x) * scale) / scale
+    return F.when(r == 0, _col(x) * 0.0).otherwise(r)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """A vector by its length; a vector of zeros stays."""
     x = F.transform(_col(v), lambda a: a.cast("double"))
