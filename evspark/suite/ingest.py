@@ -127,7 +127,7 @@ QUERIES = {
       SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS token FROM documents) GROUP BY ALL"""),
     "t2_char_bigrams": (lambda s, sf: documents(s, sf).select("doc_id", F.array_join(F.sort_array(fx.char_bigrams("text")), "|").alias("bigrams")), rf"""
       WITH n AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents) SELECT doc_id, array_to_string(list_sort({BIGRAMS_SQL.format('t')}), '|') AS bigrams FROM n"""),
-    "t5_l2_normalize": (lambda s, sf: table(s, sf, "embeddings").select("vec_id", F.transform(fx.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("v")), """
+    "t5_l2_normalize": (lambda s, sf: table(s, sf, "embeddings").select("vec_id", F.transform(fx.l2_normalize("embedding"), lambda x: fx.rounded(x, 6)).alias("v")), """
       SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings"""),
     "l1_normalize_question": (lambda s, sf: table(s, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", fx.normalize_question("text").alias("key")), r"""
       SELECT conv_id, turn, substr(regexp_replace(lower(text), '[\s，。？！、；：,.?!;:"''（）()\[\]【】《》<>「」『』~～\-—_]+', '', 'g'), 1, 120) AS key FROM conversations WHERE role = 'user'"""),
