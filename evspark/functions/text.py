@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,17 @@ def tokenize(text: Column | str) -> Column:
     return F.filter(F.concat(cjk, found(t, "[a-z0-9_]+")), lambda x: ~x.isin(STOP_WORDS))
 
 
+_WORD, _RUN, _STOPPED = re.compile("[a-z0-9_]+"), re.compile("[\u3400-\u9fff]+"), frozenset(STOP_WORDS)
+
+
+def tokens_of(low: str) -> list[str]:
+    """What `tokenize` makes of a text, in any order, for use in tasks; the text is lower-cased already."""
+    found_here = _WORD.findall(low)
+    for run in () if low.isascii() else _RUN.findall(low):
+        found_here += [*run, *map("".join, zip(run, run[1:], strict=False))]
+    return [t for t in found_here if t not in _STOPPED]
+
+
 def normalized(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), NOT_WORD, "")
 

@@ -80,27 +80,24 @@ def conversation_questions(conversations: DataFrame) -> DataFrame:
 
 
 class Searcher:
-    """Search by words over chunks: postings of the words asked for are made once."""
+    """Search by words over chunks: the words asked for are counted in the corpus once."""
 
     def __init__(self, asked: DataFrame, chunks: DataFrame, cfg: Config):
         self.chunks, self.cfg = chunks, cfg
         terms = asked.select(F.explode("forms").alias("form")).union(asked.select("text")).select(F.explode(fx.tokenize("form")).alias("term")).distinct()
-        self.postings = written(lexical.build_postings(chunks, terms=terms), "postings")
-        self.stats = lexical.corpus_stats(chunks)
+        self.corpus = lexical.corpus_counts(chunks, terms)
 
     def vocabulary(self) -> DataFrame:
         """Words of the questions that the corpus has."""
-        return self.postings.select("term").distinct()
+        return self.chunks.sparkSession.createDataFrame([(w,) for w in self.corpus.df], "term string")
 
     def search(self, asked: DataFrame, k: int, forms: Column | None = None, filtered: bool = True) -> DataFrame:
         """query_id, chunk_id, score, rank: the forms' hits merged in their order. `filtered`: chunks of the question's device, if it names one, or of none."""
         each = asked.select("query_id", "device_model", F.posexplode(F.col("forms") if forms is None else forms).alias("form", "text"))
         keyed = each.select(F.struct("query_id", "form", "device_model").alias("key"), "text")
-        scores = lexical.bm25_scores(lexical.query_terms(keyed, "key"), self.postings, self.stats, self.cfg, "chunk_id", "key")
-        if filtered and "device_model" in self.chunks.columns:
-            own = scores.join(self.chunks.select("chunk_id", F.col("device_model").alias("of")), "chunk_id")
-            scores = own.filter(F.col("key.device_model").isNull() | F.coalesce(F.col("of") == F.col("key.device_model"), F.col("of") == "通用", F.lit(False))).drop("of")
-        hits = lexical.top_k(scores, "key", "score", "chunk_id", k).select("key.query_id", "key.form", "chunk_id", "score", "rank")
+        own = F.col("key.device_model") if filtered and "device_model" in self.chunks.columns else None
+        found = lexical.bm25_best(lexical.query_terms(keyed, "key"), self.chunks, self.corpus, k, self.cfg, query_col="key", own=own, of=None if own is None else "device_model")
+        hits = written(found.select("key.query_id", "key.form", "chunk_id", "score", "rank"), "hits")
         return retrieve.merge_query_forms(hits, k)
 
 
