@@ -45,7 +45,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", col: str = "embedding") -> DataFrame:
-    """query, id, score (cosine, 6 decimals), rank: exact. Each batch of vectors meets all queries of a block in one matrix product and sends on its k best for each query."""
+    """query, id, score (cosine, 6 decimals), rank: exact. MEETING_VECTORS vectors meet MEETING_QUERIES queries at a time in one matrix product, so that a task's memory does not grow with either, and a task sends on what is among the k best of a query so far."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_col), (vectors, id_col))}
@@ -57,13 +57,22 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str =
         q, ids = _unit(own[col]), own[query_col].to_numpy()
 
         def best(batches: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                batch = batch[batch[col].notna()].sort_values(id_col, kind="stable")
-                if not len(batch):
-                    continue
-                scores = np.round(q @ _unit(batch[col]).T, 6)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({query_col: np.repeat(ids, top.shape[1]), id_col: batch[id_col].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
+            best = np.full((len(q), k), -np.inf)  # the k best scores of each query so far, the least of them first
+            for whole in batches:
+                whole = whole[whole[col].notna()].sort_values(id_col, kind="stable")
+                for start in range(0, len(whole), MEETING_VECTORS):
+                    batch = whole.iloc[start : start + MEETING_VECTORS]
+                    v, own = _unit(batch[col]).T, batch[id_col].to_numpy()
+                    for low in range(0, len(q), MEETING_QUERIES):
+                        some = slice(low, low + MEETING_QUERIES)
+                        scores = np.round(q[some] @ v, 6)
+                        best[some] = np.partition(np.concatenate([best[some], scores], axis=1), -k, axis=1)[:, -k:]
+                        at, which = np.nonzero(scores >= best[some, :1])
+                        found = scores[at, which]
+                        order = np.lexsort((which, -found, at))  # of equal scores the smaller id first
+                        at, which, found = at[order], which[order], found[order]
+                        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+                        yield pd.DataFrame({query_col: ids[at[kept] + low], id_col: own[which[kept]], "score": found[kept]})
 
         parts.append(vectors.select(id_col, col).mapInPandas(best, f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double"))
     if not parts:
@@ -106,8 +115,8 @@ def label_knn(hits: DataFrame, labels: DataFrame, id_col: str = "vec_id", query_
 
 #: Vectors that the coarse quantiser is fitted on, at most, and numbers that they may have together; rounds of the fit.
 FIT_VECTORS, FIT_NUMBERS, FIT_ROUNDS = 20_000, 1 << 24, 12
-#: Lists of an index at most; vectors and queries that meet in one matrix product.
-MOST_LISTS, LIST_BLOCK, MEETING_QUERIES = 4096, 4096, 1024
+#: Lists of an index at most; vectors of a list, queries, and vectors of a table that meet in one matrix product.
+MOST_LISTS, LIST_BLOCK, MEETING_QUERIES, MEETING_VECTORS = 4096, 4096, 1024, 1024
 
 
 def fit_centroids(vectors: DataFrame, dim: int, lists: int, seed: int = 7, id_col: str = "vec_id", col: str = "embedding") -> np.ndarray:
