@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from evspark.functions import text as fx
 from evspark.operators import quantiles
 
 
+def _has(point: str, text: str) -> bool:
+    """Of normalised texts. A pair of the point is a pair of the text if it stands in it, so no pairs of the text are made."""
+    if not point or point in text:
+        return bool(point)
+    pairs = {point[i : i + 2] for i in range(len(point) - 1)}  # one character alone has none, and would stand in the text
+    return bool(pairs) and 2 * sum(x in text for x in pairs) >= len(pairs)
+
+
+@F.pandas_udf(BooleanType())
+def _hit(points: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([_has(p, t) for p, t in zip(points, texts, strict=True)], dtype=bool)
+
+
+@F.pandas_udf(StructType([StructField("hit_answer", LongType()), StructField("hit_any", LongType())]))
+def _hits(points: pd.Series, answers: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+    out = []
+    for some, a, e in zip(points, answers, evidence, strict=True):
+        own = [_has(p, a) for p in some]
+        out.append((sum(own), sum(o or _has(p, a + e) for o, p in zip(own, some, strict=True))))
+    return pd.DataFrame(out, columns=["hit_answer", "hit_any"], dtype="int64")
+
+
 def point_hit(point: Column, text: Column) -> Column:
     """Whether a text has an answer point: as it is without punctuation, or half of its character pairs."""
-    p = fx.normalized(point)
-    return F.when(p == "", False).otherwise(fx.normalized(text).contains(p) | (fx.overlap(fx.char_bigrams(point), fx.char_bigrams(text)) >= 0.5))
+    return _hit(fx.normalized(point), fx.normalized(text))
 
 
 def retrieval_metrics(ranked: DataFrame, labels: DataFrame, k: int = 5, id_col: str = "chunk_id") -> DataFrame:
@@ -29,10 +52,12 @@ def retrieval_metrics(ranked: DataFrame, labels: DataFrame, k: int = 5, id_col:
 
 def answer_metrics(answers: DataFrame, golden: DataFrame) -> DataFrame:
     """id, points, hit_answer, hit_any. `answers`: id, answer, evidence; `golden`: id, answer_points."""
-    each = golden.select("id", F.explode("answer_points").alias("point")).join(answers, "id", "left")
-    a, e = F.coalesce("answer", F.lit("")), F.coalesce("evidence", F.lit(""))
-    own = point_hit(F.col("point"), a)
-    return each.groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.sum(own.cast("long")).alias("hit_answer"), F.sum((own | point_hit(F.col("point"), F.concat_ws("\n", a, e))).cast("long")).alias("hit_any"))
+    # texts are normalised once, not once a point; without punctuation, answer and evidence follow each other
+    own = answers.select("id", fx.normalized("answer").alias("__answer"), fx.normalized("evidence").alias("__evidence"))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    each = golden.filter(F.size("answer_points") > 0).select("id", F.transform("answer_points", fx.normalized).alias("__points")).join(own, "id", "left")
+    counted = each.select("id", F.size("__points").alias("points"), _hits("__points", none("__answer"), none("__evidence")).alias("h"))
+    return counted.groupBy("id").agg(F.sum("points").alias("points"), F.sum("h.hit_answer").alias("hit_answer"), F.sum("h.hit_any").alias("hit_any"))
 
 
 def summarize_eval(items: DataFrame) -> DataFrame:
@@ -79,7 +104,7 @@ def golden_check(golden: DataFrame, sections: DataFrame) -> DataFrame:
     points = pos.select("id", "must_cite", F.posexplode("answer_points").alias("at", "point"))
     # a point meets the sections that its own item cites, not those of another item with the same id
     own = cited(points.select("id", "at", "point", F.explode("must_cite").alias("cite")), "id", "at", "point").join(sections, ["doc", "section"])
-    hits = own.groupBy("id", "at").agg(F.max(point_hit(F.col("point"), F.col("text")).cast("int")).alias("hit"))
+    hits = own.select("id", "at", point_hit(F.col("point"), F.col("text")).cast("int").alias("hit")).groupBy("id", "at").agg(F.max("hit").alias("hit"))
     missed = points.join(hits.filter("hit = 1"), ["id", "at"], "left_anti").select("id").distinct()
     parts = [say(twice, "id repeated"), say(empty, "no question"), say(bare, "negative without expectation"), say(unlabelled, "positive without labels"), say(gone.select("id").distinct(), "cites what is not there"), say(missed, "point not in a cited section")]
     out = parts[0]
