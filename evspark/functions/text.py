@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 CJK = r"[\x{3400}-\x{9fff}]"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE_END = "。！？!?；;"
+#: What counts as white space around a text.
+SPACE = " \t\n\x0b\f\r\u3000"
 #: Function words that lexical search leaves out.
 STOP_WORDS = [
     "的", "了", "是", "在", "和", "与", "或", "及", "有", "我", "你", "他", "它",
@@ -75,12 +78,12 @@ def search_text(section: Column | str, heading: Column | str, text: Column | str
 
 def split_sentences(text: Column | str) -> Column:
     """Sentences, with their end marks, trimmed; empty ones left out."""
-    marked = F.regexp_replace(_col(text), f"([{SENTENCE_END}])", "$1\u001f")
+    marked = reduce(lambda t, mark: F.replace(t, F.lit(mark), F.lit(mark + "\u001f")), SENTENCE_END, _col(text))
     return F.filter(F.transform(F.split(marked, "\u001f"), trimmed), lambda x: x != "")
 
 
 def trimmed(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
+    return F.btrim(_col(text), F.lit(SPACE))
 
 
 def _pairs(run: Column) -> Column:
