@@ -2,33 +2,81 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from evspark.functions import text as fx
 from evspark.operators.lexical import top_k
 
 #: Query vectors that a pass over the corpus carries to every task (at 64 dimensions, 5 MB); more queries take more passes.
 QUERY_BLOCK = 20_000
+#: Features of which a task knows the bucket by heart, and documents whose buckets stand in one matrix (1 MB at 512 dimensions).
+KNOWN_FEATURES, DOCS_AT_ONCE = 1 << 19, 256
+_WORD, _CJK = re.compile("[a-z0-9_]+"), re.compile("[\u3400-\u9fff]")
+
+
+class _Places(dict):
+    """Feature to its bucket, plus `dim` if its sign is negative."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= KNOWN_FEATURES:
+            self.clear()
+        h = hashlib.md5(feature.encode()).hexdigest()
+        self[feature] = place = int(h[:3], 16) % self.dim + self.dim * (int(h[8], 16) % 2)
+        return place
 
 
 def hashing_features(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bucket, value: signed feature hashing of CJK characters and pairs and ASCII words, weighed by 1 + ln(tf), of length 1."""
-    t = F.lower(F.coalesce(text_col, F.lit("")))
-    cjk = F.array_join(fx.found(t, fx.CJK), "")
-    n = F.length(cjk)
-    pairs = F.when(n < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(cjk, i, F.lit(2))))
-    features = F.concat(F.filter(F.split(cjk, ""), lambda x: x != ""), pairs, fx.found(t, "[a-z0-9_]+"))
-    tf = docs.select(id_col, F.explode(features).alias("f")).groupBy(id_col, "f").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
-    h = F.md5("f")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    summed = tf.select(id_col, (F.conv(F.substring(h, 1, 3), 16, 10).cast("int") % dim).alias("bucket"), (F.col("w") * sign).alias("v")).groupBy(id_col, "bucket").agg(F.sum("v").alias("v"))
-    norm = summed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norm, id_col).filter("norm > 0").select(id_col, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+    """id, bucket, value: signed feature hashing of CJK characters and pairs and ASCII words, weighed by 1 + ln(tf), of length 1.
+
+    The rows of an id come one after another, and features are counted in the task that has them: there is no row for each feature.
+    """
+    schema = StructType([docs.schema[id_col], StructField("bucket", IntegerType()), StructField("value", DoubleType())])
+
+    def features(text: str) -> list[str]:
+        cjk = "" if text.isascii() else "".join(_CJK.findall(text))
+        return [*cjk, *map("".join, zip(cjk, cjk[1:], strict=False)), *_WORD.findall(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, kind, ids, bags = _Places(dim), None, [], []
+
+        def made() -> pa.RecordBatch:
+            tf = np.fromiter(chain.from_iterable(b.values() for b in bags), np.float64)
+            place = np.fromiter((places[f] for b in bags for f in b), np.int64, len(tf))
+            at = np.repeat(np.arange(len(bags)), [len(b) for b in bags]) * dim + place % dim
+            size = len(bags) * dim
+            m = np.bincount(at, np.where(place < dim, 1, -1) * (1 + np.log(tf)), size).reshape(-1, dim)
+            norm = np.sqrt((m * m).sum(axis=1))
+            row, bucket = np.nonzero((np.bincount(at, minlength=size).reshape(-1, dim) > 0) & (norm > 0)[:, None])
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(m[row, bucket] / norm[row])], schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not ids or own != ids[-1]:
+                    if len(ids) == DOCS_AT_ONCE:
+                        yield made()
+                        ids, bags = [], []
+                    ids.append(own), bags.append(Counter())
+                bags[-1].update(features(text.as_py()))
+        if ids:
+            yield made()
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("__t"))
+    return rows.repartition(id_col).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
 
 def hashing_embed(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
