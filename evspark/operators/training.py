@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +46,20 @@ def nearest_numbers(sentences: DataFrame) -> DataFrame:
     return each.select("number", F.array_compact(F.array(F.lag("number", 1).over(w), F.lead("number", 1).over(w), F.lag("number", 2).over(w), F.lead("number", 2).over(w))).alias("near"))
 
 
+def _made_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, in which the value is made once for a row, however often it stands there and in whatever lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without(numbers: Column, number: Column) -> Column:
     """Those that have another value."""
-    return F.filter(numbers, lambda x: number_key(x) != number_key(number))
+    return _made_once(number_key(number), lambda key: F.filter(numbers, lambda x: number_key(x) != key))
 
 
 def _changed(sentence: Column, numbers: Column, at: Column, new: Column) -> Column:
     """The sentence with its number at place `at` changed."""
-    between = F.split(sentence, NUMBER, -1)
-    parts = F.transform(numbers, lambda x, i: F.concat(F.get(between, i), F.when(i == at, new).otherwise(x)))
-    return F.concat(F.array_join(parts, ""), F.get(between, F.size(numbers)))
+    parts = lambda between: F.transform(numbers, lambda x, i: F.concat(F.get(between, i), F.when(i == at, new).otherwise(x)))
+    return _made_once(F.split(sentence, NUMBER, -1), lambda between: F.concat(F.array_join(parts(between), ""), F.get(between, F.size(numbers))))
 
 
 def quiz_items(sentences: DataFrame, seed: str = "quiz", id_col: str = "chunk_id", types: tuple[str, ...] = TYPES) -> DataFrame:
@@ -63,50 +70,56 @@ def quiz_items(sentences: DataFrame, seed: str = "quiz", id_col: str = "chunk_id
     its neighbours in value in the corpus, beside it. multiple: two sentences of the chunk, and the same with a number changed. short:
     all numbers left out; points are the numbers with their units, three at most. A sentence of which no type can be had has no item.
     """
-    place, whole = Window.partitionBy(id_col).orderBy("no"), Window.partitionBy(id_col)
-    rows = sentences.select(id_col, "no", "sentence", "numbers", (F.row_number().over(place) - 1).alias("pos"), F.array_sort(F.collect_list(F.struct("no", "sentence", "numbers")).over(whole)).alias("all"))  # the sentences of one chunk
+    place, whole, n = Window.partitionBy(id_col).orderBy("no"), Window.partitionBy(id_col), len(types)
+    rows = sentences.select(id_col, "no", "sentence", "numbers", (F.row_number().over(place) - 1).alias("pos"), F.sort_array(F.collect_list(F.struct("no", "sentence", "numbers")).over(whole)).alias("all"))  # the sentences of one chunk
     dice = lambda *salt: F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col("no").cast("string"), *[F.lit(x) if isinstance(x, str) else x for x in salt]))
-    pick = lambda xs, *salt: F.get(xs, (dice(*salt) % F.size(xs)).cast("int"))
-    shuffled = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(dice(x).alias("k"), x.alias("x")))), lambda y: y["x"])
-    rows = rows.withColumns({"of_chunk": F.array_distinct(F.flatten(F.transform("all", lambda x: x["numbers"]))), "at": (dice("number") % F.size("numbers")).cast("int")})
+    pick = lambda xs, *salt: _made_once(xs, lambda own: F.get(own, (dice(*salt) % F.size(own)).cast("int")))
+    shuffled = lambda xs: F.transform(F.sort_array(F.transform(xs, lambda x: F.struct(dice(x).alias("k"), x.alias("x")))), lambda y: y["x"])
+    turn = (F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))) + F.col("pos")) % n
+    rows = rows.withColumns({"of_chunk": F.array_distinct(F.flatten(F.transform("all", lambda x: x["numbers"]))), "at": (dice("number") % F.size("numbers")).cast("int"), "turn": turn})
     rows = rows.withColumn("number", F.get("numbers", F.col("at"))).withColumn("others", _without(F.col("of_chunk"), F.col("number")))
     rows = rows.join(nearest_numbers(sentences), "number", "left")
+    length, sentence, numbers, others = F.length("sentence"), F.col("sentence"), F.col("numbers"), F.col("others")
+
+    def altered(x: Column) -> Column:
+        def at_place(at: Column) -> Column:
+            new = pick(_without(F.col("of_chunk"), F.get(x["numbers"], at)), "value", x["sentence"])
+            return _made_once(new, lambda new: F.when(new.isNotNull(), _changed(x["sentence"], x["numbers"], at, new)))
+
+        return _made_once((dice("alter", x["sentence"]) % F.size(x["numbers"])).cast("int"), at_place)
+
+    # what decides which types can be had: each is made once, as what comes after it reads it more than once
+    rows = rows.withColumn("beside", F.get(F.filter("all", lambda x: (x["sentence"] != sentence) & (F.length(x["sentence"]) <= LONGEST_OPTION)), F.lit(0)))
+    trues = F.array("sentence", F.col("beside")["sentence"])
+    falses = F.array_distinct(F.filter(F.array_compact(F.transform(F.array(F.struct("no", "sentence", "numbers"), F.col("beside")), altered)), lambda x: ~F.array_contains(trues, x)))
+    near = F.filter(_without(F.coalesce("near", F.array().cast("array<string>")), F.col("number")), lambda x: ~F.array_contains("others", x))
+    points = lambda keys: F.slice(F.filter(fx.found(sentence, POINT), lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, 3)
+    rows = rows.withColumns({
+        "falses": F.when((length <= LONGEST_OPTION) & F.col("beside").isNotNull(), falses).otherwise(F.array().cast("array<string>")),
+        "wrong": F.when(F.size("others") >= 2, F.slice("others", 1, 3)).otherwise(F.slice(F.concat("others", near), 1, 2)),
+        "points": _made_once(F.transform("numbers", number_key), points),
+    })
+    had = {
+        "single": (length <= LONGEST_STEM) & (F.size("wrong") >= 2), "judgement": length <= LONGEST_STATEMENT,
+        "multiple": F.size("falses") > 0, "short": (length <= LONGEST_STATEMENT) & (F.size("points") >= 2),
+    }
+    tried = _made_once(F.array(*[F.when(had[t], t) for t in types]), lambda own: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(own, ((F.col("turn") + k) % n).cast("int"))))
+    rows = rows.withColumn("kind", F.get(F.array_compact(tried), F.lit(0)))
+
     item = lambda kind, question, options=None, answer=None, points=None: F.struct(
         F.lit(kind).alias("type"), question.alias("question"), (F.lit(None) if options is None else options).cast("array<string>").alias("options"), (F.lit(None) if answer is None else answer).cast("string").alias("answer"), (F.lit(None) if points is None else points).cast("array<string>").alias("points"),
-    )
-    length = F.length("sentence")
-
+    ).cast(_ITEM)
     false = (F.col("pos") % 2 == 1) & (F.size("others") > 0)
-    judgement = F.when(length <= LONGEST_STATEMENT, item("judgement", F.when(false, _changed(F.col("sentence"), F.col("numbers"), F.col("at"), pick(F.col("others"), "swap"))).otherwise(F.col("sentence")), None, (~false).cast("string")))
-
-    near = F.filter(_without(F.coalesce("near", F.array().cast("array<string>")), F.col("number")), lambda x: ~F.array_contains(F.col("others"), x))
-    wrong = F.when(F.size("others") >= 2, F.slice("others", 1, 3)).otherwise(F.slice(F.concat("others", near), 1, 2))
-    choices = shuffled(F.concat(F.array("number"), wrong))
-    single = F.when((length <= LONGEST_STEM) & (F.size(wrong) >= 2), item("single", _changed(F.col("sentence"), F.col("numbers"), F.col("at"), F.lit("____")), choices, (F.array_position(choices, F.col("number")) - 1).cast("string")))
-
-    def altered(x: Column) -> Column:
-        at = (dice("alter", x["sentence"]) % F.size(x["numbers"])).cast("int")
-        new = pick(_without(F.col("of_chunk"), F.get(x["numbers"], at)), "value", x["sentence"])
-        return F.when(new.isNotNull(), _changed(x["sentence"], x["numbers"], at, new))
-
-    beside = F.get(F.filter("all", lambda x: (x["sentence"] != F.col("sentence")) & (F.length(x["sentence"]) <= LONGEST_OPTION)), F.lit(0))
-    trues = F.array("sentence", beside["sentence"])
-    falses = F.array_distinct(F.filter(F.array_compact(F.transform(F.array(F.struct("no", "sentence", "numbers"), beside), altered)), lambda x: ~F.array_contains(trues, x)))
-    offered = shuffled(F.concat(trues, falses))
-    right = F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(trues, lambda x: F.array_position(offered, x) - 1)).cast("array<string>"), ","), F.lit("]"))
-    multiple = F.when((length <= LONGEST_OPTION) & beside.isNotNull() & (F.size(falses) > 0), item("multiple", F.lit("Which of these statements are right?"), offered, right))
-
-    said = fx.found("sentence", POINT)
-    keys = F.transform("numbers", lambda x: number_key(x))
-    points = F.slice(F.filter(said, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, 3)
-    short = F.when((length <= LONGEST_STATEMENT) & (F.size(points) >= 2), item("short", F.array_join(F.split("sentence", NUMBER, -1), "____"), None, None, points))
-
-    made = {"single": single, "judgement": judgement, "multiple": multiple, "short": short}
-    n = len(types)
-    turn = (F.crc32(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))) + F.col("pos")) % n
-    tried = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.col("__made"), ((turn + k) % n).cast("int")))
-    out = rows.withColumn("__made", F.array(*[made[t].cast(_ITEM) for t in types])).withColumn("item", F.get(F.array_compact(tried), F.lit(0))).filter("item IS NOT NULL")
-    return out.select(id_col, "no", "item.*", F.col("sentence").alias("evidence"))
+    right = lambda offered: F.concat(F.lit("["), F.array_join(F.sort_array(F.transform(trues, lambda x: F.array_position(offered, x) - 1)).cast("array<string>"), ","), F.lit("]"))
+    made = {
+        "single": _made_once(shuffled(F.concat(F.array("number"), "wrong")), lambda choices: item("single", _changed(sentence, numbers, F.col("at"), F.lit("____")), choices, (F.array_position(choices, F.col("number")) - 1).cast("string"))),
+        "judgement": item("judgement", F.when(false, _changed(sentence, numbers, F.col("at"), pick(others, "swap"))).otherwise(sentence), None, (~false).cast("string")),
+        "multiple": _made_once(shuffled(F.concat(trues, "falses")), lambda offered: item("multiple", F.lit("Which of these statements are right?"), offered, right(offered))),
+        "short": item("short", F.array_join(F.split("sentence", NUMBER, -1), "____"), None, None, F.col("points")),
+    }
+    chosen = reduce(lambda out, t: F.when(F.col("kind") == t, made[t]).otherwise(out), types, F.lit(None).cast(_ITEM))
+    # a generator has no row for an item that isn't there, and no filter goes below it, which would make the item once more
+    return rows.select(id_col, "no", "sentence", F.inline(F.array_compact(F.array(chosen)))).select(id_col, "no", "type", "question", "options", "answer", "points", F.col("sentence").alias("evidence"))
 
 
 def quiz_sets(items: DataFrame, n: int, by: str = "quiz_id") -> DataFrame:

@@ -99,3 +99,9 @@ def test_items(spark, types):
         if kind == "short":
             assert all(p in evidence for p in points) and 2 <= len(points) <= 3
     assert training.quiz_items(sentences.limit(0), types=types).count() == 0
+
+
+def test_what_decides_an_item_stands_once_in_the_plan(spark):
+    rows = training.quiz_sentences(spark.createDataFrame([(1, "It needs 5 bolts and 8 rings.")], "chunk_id long, text string"))
+    plan = training.quiz_items(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("alter") == 1 and plan.count("swap") == 1  # each was made again for the test of whether there is an item
