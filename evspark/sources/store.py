@@ -117,26 +117,32 @@ class Store:
             return {"schema": change.rows.schema.jsonValue(), "key": None, "parts": 1, "folders": {"all": [folder]}}
         parts = old["parts"] if old and change.mode == "upsert" else change.parts
         staged = f"{folder}-new"
-        self._by_part(change.rows.dropDuplicates([change.key]), change.key, parts, staged)
+        self._by_part(change.rows, change.key, parts, staged, once=True)
         touched = {n.split("=")[1] for n in self._names(staged) if n.startswith("part=")}
         if old is None or change.mode == "overwrite":
             return {"schema": change.rows.schema.jsonValue(), "key": change.key, "parts": parts, "folders": {p: [f"{staged}/part={p}"] for p in sorted(touched)}}
         self._same(name, change.rows, old)
-        new = self.spark.read.schema(change.rows.schema).parquet(*[f"{self.path}/{staged}/part={p}" for p in sorted(touched)]) if touched else change.rows.limit(0)
-        kept = self.table(name, only=touched)
-        merged = kept.join(new.select(change.key), change.key, "left_anti").select(*new.columns).unionByName(new)
-        if touched:
-            self._by_part(merged, change.key, parts, folder)
-        return old | {"folders": old["folders"] | {p: [f"{folder}/part={p}"] for p in sorted(touched)}}
+        if not touched:
+            return old
+        # what is new stays as it was written; of the old rows of these parts, those that it does not replace are written beside it
+        new = self.spark.read.schema(change.rows.schema).parquet(*[f"{self.path}/{staged}/part={p}" for p in sorted(touched)])
+        self._by_part(self.table(name, only=touched).join(new.select(change.key), change.key, "left_anti").select(*new.columns), change.key, parts, folder)
+        stayed = {n.split("=")[1] for n in self._names(folder) if n.startswith("part=")}
+        return old | {"folders": old["folders"] | {p: [*([f"{folder}/part={p}"] if p in stayed else []), f"{staged}/part={p}"] for p in sorted(touched)}}
 
     def _same(self, name: str, rows: DataFrame, old: dict) -> None:
         kinds = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
         if kinds(rows.schema) != kinds(StructType.fromJson(old["schema"])):
             raise ValueError(f"rows for {name} have other columns than the table")
 
-    def _by_part(self, rows: DataFrame, key: str, parts: int, folder: str) -> None:
-        part: Column = F.pmod(F.xxhash64(key), F.lit(parts))
-        rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+    def _by_part(self, rows: DataFrame, key: str, parts: int, folder: str, once: bool = False) -> None:
+        """Write rows by parts, with `once` one of each key. A part is written in slices, by other bits of the key's hash, so that more tasks than parts share the work; the rows of a key are in one slice, so one shuffle serves for both."""
+        at = F.xxhash64(key)
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+        part: Column = F.pmod(at, F.lit(parts))
+        dealt = rows.withColumns({"part": part, "__slice": F.pmod(F.shiftright(at, 32), F.lit(slices))}).repartition("part", "__slice")
+        kept = dealt.dropDuplicates(["part", "__slice", key]) if once else dealt
+        kept.drop("__slice").write.partitionBy("part").parquet(f"{self.path}/{folder}")
 
     def vacuum(self, keep: int = 2) -> None:
         """Remove all versions but the last `keep`, and data that none of these names. No job may write meanwhile."""

@@ -18,11 +18,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed windows over the documents as chunks of manuals."""
     from evspark.operators import ingest
 
-    cut = ingest.chunk_fixed(documents(spark, sf_dir), 800, 120)
-    meta = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("device_model"))
-    return cut.join(meta, "doc_id").select(
+    cut = ingest.chunk_fixed(documents(spark, sf_dir), 800, 120, keep=("lang", "source"))
+    return cut.select(
         F.concat_ws("-", "doc_id", "index").alias("chunk_id"), "doc_id", F.concat(F.lit("manual "), F.col("doc_id") % 50).alias("doc_title"),
-        F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("V"), F.col("doc_id") % 4)).alias("version"), "category", "device_model",
+        F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("V"), F.col("doc_id") % 4)).alias("version"), F.col("lang").alias("category"), F.col("source").alias("device_model"),
         (F.floor(F.col("index") / 3) + 1).cast("int").alias("page"), (F.col("index") % 3).cast("string").alias("section"), F.lit("").alias("heading"), "index", "text",
     )
 
