@@ -90,21 +90,26 @@ def exclusive_quantile(df: DataFrame, by: list[str], col: str, q: float = 0.95,
     return found.select(*by, "n", F.round(F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("top")), 6).alias("value"))
 
 
-def golden_check(golden: DataFrame, sections: DataFrame) -> DataFrame:
-    """id, problem. `golden`: id, question, answer_points, must_cite ("document#section"), negative, expect, note; `sections`: doc, section, text."""
+def golden_check(golden: DataFrame, sections: DataFrame, bare_points: bool = False) -> DataFrame:
+    """id, problem. `golden`: id, question, answer_points, must_cite ("document#section"), negative, expect, note; `sections`: doc, section, text.
+
+    A point without a letter or digit is in no section, or, with `bare_points`, in any that has a text.
+    """
     say = lambda df, problem: df.select("id", F.lit(problem).alias("problem"))
     twice = golden.groupBy("id").count().filter("count > 1")
     empty = golden.filter(fx.trimmed(F.coalesce("question", F.lit(""))) == "")
     bare = golden.filter(F.col("negative") & (F.col("expect").isNull() | F.col("note").isNull()))
     pos = golden.filter(~F.col("negative"))
     unlabelled = pos.filter((F.size("must_cite") <= 0) | (F.size("answer_points") <= 0))
-    cited = lambda df, *keep: df.select(*keep, F.substring_index("cite", "#", 1).alias("doc"), F.element_at(F.split("cite", "#"), -1).alias("section"))
-    cites = cited(pos.select("id", F.explode("must_cite").alias("cite")), "id")
-    gone = cites.join(sections.select("doc", "section").distinct(), ["doc", "section"], "left_anti")
+    named = sections.select(F.concat("doc", F.lit("#"), "section").alias("cite"), "text")  # not the parts of a cite, as a document's name may have a #
+    gone = pos.select("id", F.explode("must_cite").alias("cite")).join(named.select("cite").distinct(), "cite", "left_anti")
     points = pos.select("id", "must_cite", F.posexplode("answer_points").alias("at", "point"))
     # a point meets the sections that its own item cites, not those of another item with the same id
-    own = cited(points.select("id", "at", "point", F.explode("must_cite").alias("cite")), "id", "at", "point").join(sections, ["doc", "section"])
-    hits = own.select("id", "at", point_hit(F.col("point"), F.col("text")).cast("int").alias("hit")).groupBy("id", "at").agg(F.max("hit").alias("hit"))
+    own = points.select("id", "at", "point", F.explode("must_cite").alias("cite")).join(named, "cite")
+    hit = point_hit(F.col("point"), F.col("text"))
+    if bare_points:
+        hit = hit | ((fx.normalized("point") == "") & F.col("text").isNotNull())
+    hits = own.select("id", "at", hit.cast("int").alias("hit")).groupBy("id", "at").agg(F.max("hit").alias("hit"))
     missed = points.join(hits.filter("hit = 1"), ["id", "at"], "left_anti").select("id").distinct()
     parts = [say(twice, "id repeated"), say(empty, "no question"), say(bare, "negative without expectation"), say(unlabelled, "positive without labels"), say(gone.select("id").distinct(), "cites what is not there"), say(missed, "point not in a cited section")]
     out = parts[0]
