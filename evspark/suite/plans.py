@@ -41,7 +41,7 @@ def _replies(s, sf):
 
 
 def _tickets(s, sf):
-    return documents(s, sf).select(F.concat(F.lit("T"), F.col("doc_id")).alias("ticket_no"), F.col("source").alias("device_model"), F.col("text").alias("symptom"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("c").alias("root_cause"), F.lit(None).cast("string").alias("action"), F.lit("done").alias("conclusion"))
+    return documents(s, sf).select(F.concat(F.lit("T"), F.col("doc_id")).alias("ticket_no"), F.col("source").alias("device_model"), F.col("text").alias("symptom"), F.when(F.col("doc_id") % 2 > 0, "c").otherwise("").alias("root_cause"), F.lit(None).cast("string").alias("action"), F.lit("done").alias("conclusion"))
 
 
 QUERIES = {
