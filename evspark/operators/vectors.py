@@ -39,10 +39,11 @@ class _Places(dict):
         return place
 
 
-def hashing_features(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hashing_features(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """id, bucket, value: signed feature hashing of CJK characters and pairs and ASCII words, weighed by 1 + ln(tf), of length 1.
 
     The rows of an id come one after another, and features are counted in the task that has them: there is no row for each feature.
+    Rows without an id, and texts whose features cancel out, are left out, or, if `whole`, are one document, and have NaN in their buckets.
     """
     schema = StructType([docs.schema[id_col], StructField("bucket", IntegerType()), StructField("value", DoubleType())])
 
@@ -60,8 +61,10 @@ def hashing_features(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", te
             size = len(bags) * dim
             m = np.bincount(at, np.where(place < dim, 1, -1) * (1 + np.log(tf)), size).reshape(-1, dim)
             norm = np.sqrt((m * m).sum(axis=1))
-            row, bucket = np.nonzero((np.bincount(at, minlength=size).reshape(-1, dim) > 0) & (norm > 0)[:, None])
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(m[row, bucket] / norm[row])], schema.names)
+            row, bucket = np.nonzero((np.bincount(at, minlength=size).reshape(-1, dim) > 0) & ((norm > 0) | whole)[:, None])
+            with np.errstate(invalid="ignore"):
+                value = m[row, bucket] / norm[row]
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(value)], schema.names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -75,7 +78,7 @@ def hashing_features(docs: DataFrame, dim: int = 512, id_col: str = "doc_id", te
         if ids:
             yield made()
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("__t"))
+    rows = docs.filter(F.lit(whole) | F.col(id_col).isNotNull()).select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("__t"))
     return rows.repartition(id_col).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
 
